@@ -18,15 +18,20 @@ def prepare(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only where that is unset (tests on one machine) one of our own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fusewright-"))
+    return named or context.getCheckpointDir()
+
 
-    Only where that setting is absent (tests on one machine) a folder of our own is set.
-    """
+def cut(frame: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint() in the shared folder."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fusewright-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 

@@ -2,19 +2,27 @@
 from __future__ import annotations
 
 from fusewright.llm.byte_bpe import op9_byte_bpe
+from fusewright.llm.chat_format import OP7_SQL, op7_chat_format
 from fusewright.llm.decontamination import op10_decontamination
 from fusewright.llm.embedding_dedup import op1_embedding_dedup
+from fusewright.llm.html_extract import op8_html_extract
 from fusewright.llm.ngram_jaccard import op3_ngram_jaccard
 from fusewright.llm.secret_scan import op5_secret_scan
 from fusewright.llm.token_counts import op4_token_counts
+from fusewright.llm.toxicity import op2_toxicity
+from fusewright.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
+    "op6_url_filter": op6_url_filter,
+    "op7_chat_format": op7_chat_format,
+    "op8_html_extract": op8_html_extract,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_format": OP7_SQL}
