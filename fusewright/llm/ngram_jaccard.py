@@ -14,7 +14,8 @@ into blocks of rows, and each pair of blocks is a task of its own, so no column
 
 Products are evaluated in two steps, so that a large group of near copies does not turn into all its pairs: first each row of a
 column block with the block's first row; the verified links give components; then only pairs of rows of different components that
-the bounds let through. Verified means that the overlap is counted over the two whole sets.
+the bounds let through. For either, the overlap is first accumulated over the heads, and with what the rest of the rows can add at most
+it drops the pairs that cannot reach the similarity; verified means that it is then counted over the two whole sets.
 
 Shingles are compared by 64-bit hashes, see ``_text``.
 """
@@ -239,6 +240,36 @@ def _apart(num: int, den: int):
     return run
 
 
+def _hopeful(num: int, den: int):
+    """Pairs that can still reach the similarity once the overlap of their heads is known.
+
+    After the last common column of the heads at p and q the rows can share ``min(a - p - 1, b - q - 1)`` more. Up to where the shorter
+    head ends everything is known, so the rest adds at most what lies beyond the heads.
+    """
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def beyond(n):
+        return -(-(num * n) // den) - 1
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("ex").to_pylist(), batch.column("ey").to_pylist(), strict=True):
+                n, m = a["n"], b["n"]
+                places = dict(zip(b["h"], b["pos"], strict=True))
+                both, p, q = 0, -1, -1
+                for h, pos in zip(a["h"], a["pos"], strict=True):
+                    if (other := places.get(h)) is not None:
+                        both += 1
+                        p, q = max(p, pos), max(q, other)
+                most = both + min(min(n - p - 1, m - q - 1), max(beyond(n), beyond(m)))
+                keep.append(most >= -(-(num * (n + m)) // (num + den)))
+            where = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("x").take(where), batch.column("y").take(where)], schema=schema)
+
+    return run
+
+
 def _whole_sets(size: int, shared):
     """(sig, set) of the documents whose key may be wanted."""
     schema = pa.schema([("sig", pa.int64()), ("shingles", pa.binary())])
@@ -306,9 +337,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = cut(heads.mapInArrow(_shared_columns, "h long, i int, j int, pos int, n int, sig long, pos0 int, n0 int, sig0 long"))
     keys = each.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"))
 
+    entries = columns.groupBy("sig", "n").agg(F.collect_set(F.struct("h", "pos")).alias("e"))
+    entries = entries.select("sig", F.struct(F.col("n").cast("long").alias("n"), F.col("e.h").alias("h"), F.col("e.pos").alias("pos")).alias("e"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that reach the similarity, counted over their whole sets."""
-        pairs = cut(pairs)
+        """The pairs (x, y) that reach the similarity: by the overlap of their heads they can, over their whole sets they do."""
+        heads_x, heads_y = (entries.select(F.col("sig").alias(k), F.col("e").alias(f"e{k}")) for k in "xy")
+        pairs = cut(pairs.join(heads_x, "x").join(heads_y, "y").select("x", "y", "ex", "ey").mapInArrow(_hopeful(num, den), "x long, y long"))
         wanted = pairs.select(F.col("x").alias("sig")).union(pairs.select(F.col("y").alias("sig"))).distinct()
         slots = wanted.join(keys, "sig").select("key").mapInArrow(_slots, "slot long")
         slots = slots.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
