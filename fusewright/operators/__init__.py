@@ -1 +1 @@
-
+"""Operators: resume sections, fusion, projection, validation."""

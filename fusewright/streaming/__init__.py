@@ -1 +1 @@
-
+"""Streams of source profiles."""
