@@ -48,8 +48,12 @@ def _is(v: Column, kind: str) -> Column:
 
 def _text(v: Column) -> Column:
     """A scalar as text, null for lists, objects and nulls, and for what counts as false."""
-    text = F.when(~_kind(v).isin("ARRAY", "OBJECT", "VOID"), F.try_variant_get(v, "$", "string"))
-    return truthy(F.when(~(_is(v, "BOOLEAN") & (text == "false")) & ~(~_is(v, "STRING") & (text.try_cast("double") == 0)), text))
+
+    def of(x: Column) -> Column:
+        false = (x["kind"] == "BOOLEAN") & (x["text"] == "false") | (x["kind"] != "STRING") & (x["text"].try_cast("double") == 0)
+        return F.when(~x["kind"].isin("ARRAY", "OBJECT", "VOID") & ~F.coalesce(false, F.lit(False)), truthy(x["text"]))
+
+    return let(F.struct(_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")), of)
 
 
 def _list(v: Column) -> Column:
@@ -67,8 +71,12 @@ def _by_presence(m: Column, field: str) -> Column:
 
 def _texts(v: Column) -> Column:
     """A string, or another scalar, as a list of one; a list without what is empty; all stripped."""
-    many = F.filter(F.transform(_list(v), _text), lambda x: x.isNotNull())
-    return not_empty(F.transform(F.when(_is(v, "ARRAY"), many).when(_text(v).isNotNull(), F.array(_text(v))), strip_ws))
+    one = let(_text(v), lambda x: F.when(x.isNotNull(), F.array(x)))
+    return let(F.transform(F.when(_is(v, "ARRAY"), _text_list(v)).otherwise(one), strip_ws), not_empty)
+
+
+def _text_list(v: Column) -> Column:
+    return F.filter(F.transform(_list(v), _text), lambda x: x.isNotNull())
 
 
 def _first(m: Column, *names: str) -> Column:
@@ -92,65 +100,64 @@ def flatten(m: Column) -> Column:
 
 
 def _location(v: Column) -> Column:
-    m = _map(F.when(_is(v, "OBJECT"), v))
-    inside = place(_first(m, "city", "town"), _text(m["country"]), _first(m, "region", "state"))
-    return F.when(_is(v, "OBJECT") & (F.size(m) > 0), inside).when(_is(v, "STRING") & _text(v).isNotNull(), split_place(_text(v)))
+    inside = lambda m: F.when(F.size(m) > 0, place(_first(m, "city", "town"), _text(m["country"]), _first(m, "region", "state")))
+    return F.when(_is(v, "OBJECT"), let(_map(v), inside)).when(_is(v, "STRING"), let(_text(v), split_place))
 
 
-def _links(m: Column) -> Column:
-    v = _by_presence(m, "links")
-    obj, many = _map(F.when(_is(v, "OBJECT"), v)), F.filter(F.transform(_list(v), _text), lambda x: x.isNotNull())
+def _links(v: Column, m: Column) -> Column:
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     build = lambda a, b, c, d: F.struct(a.alias("linkedin"), b.alias("github"), c.alias("portfolio"), d.alias("other"))
-    has = lambda site: lambda u: F.contains(u, F.lit(site))
-    last = lambda f: F.get(F.reverse(F.filter(many, f)), 0)
-    github_only = lambda u: has("github.com")(u) & ~has("linkedin.com")(u)
-    listed = build(last(has("linkedin.com")), last(github_only), none, F.filter(many, lambda u: ~has("linkedin.com")(u) & ~has("github.com")(u)))
-    stated = build(_text(obj["linkedin"]), _text(obj["github"]), _text(obj["portfolio"]), F.coalesce(F.filter(F.transform(_list(obj["other"]), _text), lambda x: x.isNotNull()), empty))
-    github, linkedin = _first(m, "github", "github_url"), _first(m, "linkedin", "linkedin_url")
-    root = F.when(F.coalesce(github, linkedin).isNotNull(), build(linkedin, github, none, empty))
-    return F.when(_is(v, "OBJECT"), stated).when(_is(v, "ARRAY"), listed).otherwise(root)
-
-
-def _experience(m: Column) -> Column:
-    v = _by_presence(m, "experience")
-    items = F.transform(F.filter(_list(v), lambda x: _is(x, "OBJECT")), _map)
-    jobs = F.transform(items, lambda e: job(_first(e, "company", "employer"), _first(e, "title", "role"), _first(e, "start", "start_date"), _first(e, "end", "end_date"), _first(e, "summary", "description")))
-    company, title, none = _first(m, "current_company", "company"), _first(m, "title", "role"), F.lit(None)
-    made = F.when(F.coalesce(company, title).isNotNull(), F.array(job(company, title, none, none, F.lit(SYNTHESIZED))))
-    return F.when(F.size(_list(v)) > 0, not_empty(jobs)).otherwise(made)
-
-
-def _education(m: Column) -> Column:
-    items = F.transform(F.filter(_list(_by_presence(m, "education")), lambda x: _is(x, "OBJECT")), _map)
+    linkedin, github = (lambda u: F.contains(u, F.lit("linkedin.com"))), (lambda u: F.contains(u, F.lit("github.com")))
+    last = lambda l, f: F.get(F.reverse(F.filter(l, f)), 0)  # noqa: E731, E741
+    listed = lambda l: build(last(l, linkedin), last(l, lambda u: github(u) & ~linkedin(u)), none, F.filter(l, lambda u: ~linkedin(u) & ~github(u)))  # noqa: E731, E741
+    stated = lambda o: build(_text(o["linkedin"]), _text(o["github"]), _text(o["portfolio"]), F.coalesce(_text_list(o["other"]), empty))
+    root = F.struct(_first(m, "linkedin", "linkedin_url").alias("l"), _first(m, "github", "github_url").alias("g"))
+    of_root = let(root, lambda r: F.when(F.coalesce(r["l"], r["g"]).isNotNull(), build(r["l"], r["g"], none, empty)))
+    return F.when(_is(v, "OBJECT"), let(_map(v), stated)).when(_is(v, "ARRAY"), let(_text_list(v), listed)).otherwise(of_root)
+
+
+def _experience(v: Column, m: Column) -> Column:
+    one = lambda e: job(_first(e, "company", "employer"), _first(e, "title", "role"), _first(e, "start", "start_date"), _first(e, "end", "end_date"), _first(e, "summary", "description"))
+    jobs = lambda l: let(F.transform(F.filter(l, lambda x: _is(x, "OBJECT")), lambda x: let(_map(x), one)), not_empty)  # noqa: E731, E741
+    none = F.lit(None)
+    root = F.struct(_first(m, "current_company", "company").alias("c"), _first(m, "title", "role").alias("t"))
+    made = let(root, lambda r: F.when(F.coalesce(r["c"], r["t"]).isNotNull(), F.array(job(r["c"], r["t"], none, none, F.lit(SYNTHESIZED)))))
+    return let(_list(v), lambda l: F.when(F.size(l) > 0, jobs(l)).otherwise(made))
+
+
+def _education(v: Column) -> Column:
     year = lambda v: F.when(_is(v, "STRING"), strip_ws(_text(v)).try_cast("int")).otherwise(F.try_variant_get(v, "$", "double").cast("int"))
-    return not_empty(F.transform(items, lambda e: school(_first(e, "institution", "school", "college"), _text(e["degree"]), _first(e, "field", "major", "field_of_study"), year(e["end_year"]))))
+    one = lambda e: school(_first(e, "institution", "school", "college"), _text(e["degree"]), _first(e, "field", "major", "field_of_study"), year(e["end_year"]))
+    return let(F.transform(F.filter(_list(v), lambda x: _is(x, "OBJECT")), lambda x: let(_map(x), one)), not_empty)
 
 
 def parse_ats(frame: DataFrame, raw: str = "raw", key: str = "candidate_key", settings: Settings | None = None, lenient: bool = False) -> DataFrame:
     """Profiles of JSON texts in the column ``raw``; ``lenient`` also takes comments and trailing commas."""
     settings = settings or Settings()
     text = clean_json(F.col(raw)) if lenient else F.col(raw)
-    # the parsed object is a column of its own, so that it is parsed once
+    # each step is a projection of its own, so that nothing is parsed or looked up twice
     parsed = frame.select(F.col(key), _map(F.try_parse_json(text)).alias("root")).select(key, "root", flatten(F.col("root")).alias("m"))
-    m, conf = F.col("m"), settings.ats_confidence
-    skills = _by_presence(m, "skills")
-    names = F.when(_is(skills, "STRING"), F.filter(F.transform(F.split(_text(skills), ","), strip_ws), lambda s: s != "")).otherwise(F.filter(F.transform(_list(skills), _text), lambda s: s.isNotNull()))
-    years = _by_presence(m, "years_experience")
+    found = parsed.select(key, "root", "m", *[_by_presence(F.col("m"), f).alias(f"at_{f}") for f in ALIASES])
+    m, conf, at = F.col("m"), settings.ats_confidence, {f: F.col(f"at_{f}") for f in ALIASES}
+    split = lambda x: F.filter(F.transform(F.split(x, ","), strip_ws), lambda s: s != "")
+    names = F.when(_is(at["skills"], "STRING"), let(_text(at["skills"]), split)).otherwise(_text_list(at["skills"]))
+    years = at["years_experience"]
     number = F.when(~_kind(years).isin("ARRAY", "OBJECT", "VOID"), strip_ws(F.try_variant_get(years, "$", "string")).try_cast("double"))
     tag = lambda v: tagged(v, conf, SOURCE)
-    phones = _by_presence(m, "phones")
-    parts = {
-        "full_name": tag(_text(_by_presence(m, "full_name"))),
-        "headline": tag(_text(_by_presence(m, "headline"))),
-        "years_experience": tag(number),
-        "location": tag(_location(_by_presence(m, "location"))),
-        "links": tag(_links(m)),
-        "emails": tag(_texts(_by_presence(m, "emails"))),
-        "phones": tag(F.when(~_is(phones, "OBJECT"), _texts(phones))),
-        "skills": skill_claims(names, conf, SOURCE),
-        "experience": _experience(m),
-        "education": _education(m),
+    values = {
+        "full_name": _text(at["full_name"]),
+        "headline": _text(at["headline"]),
+        "years_experience": number,
+        "location": _location(at["location"]),
+        "links": _links(at["links"], m),
+        "emails": _texts(at["emails"]),
+        "phones": F.when(~_is(at["phones"], "OBJECT"), _texts(at["phones"])),
+        "names": names,
+        "experience": _experience(at["experience"], m),
+        "education": _education(at["education"]),
     }
+    found = found.select(key, "root", *[v.alias(k) for k, v in values.items()])
+    parts = {k: tag(F.col(k)) for k in ("full_name", "headline", "years_experience", "location", "links", "emails", "phones")}
+    parts |= {"skills": skill_claims(F.col("names"), conf, SOURCE), "experience": F.col("experience"), "education": F.col("education")}
     error = F.when(F.col("root").isNull(), F.lit("not a JSON object"))
-    return profiles(parsed, key, SOURCE, settings.ord(SOURCE), parts, error)
+    return profiles(found, key, SOURCE, settings.ord(SOURCE), parts, error)
