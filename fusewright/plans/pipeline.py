@@ -9,6 +9,7 @@ from fusewright.functions.normalize import normalize_profile
 from fusewright.operators.fuse import fuse
 from fusewright.operators.project import project, project_json
 from fusewright.operators.validate import accepted, validate, validate_projected
+from fusewright.plans.staging import staged
 from fusewright.settings import Settings
 from fusewright.sources.ats import parse_ats
 from fusewright.sources.github import discovered_urls, parse_github
@@ -53,7 +54,8 @@ def source_profiles(inputs: Inputs, settings: Settings | None = None) -> DataFra
     found = []
     if inputs.ats is not None:
         found.append(parse_ats(inputs.ats, settings=settings, lenient=inputs.lenient))
-    resumes = parse_resumes(inputs.resumes, settings=settings) if inputs.resumes is not None else None
+    # resumes are read again for the addresses found in them
+    resumes = staged(parse_resumes(inputs.resumes, settings=settings)) if inputs.resumes is not None else None
     if resumes is not None:
         found.append(resumes)
     if inputs.csv is not None:
@@ -74,9 +76,13 @@ def source_profiles(inputs: Inputs, settings: Settings | None = None) -> DataFra
 
 
 def run(inputs: Inputs, config: dict, settings: Settings | None = None) -> Outcome:
-    """All of it, lazily. With on_missing "error", records whose projection has errors are not projected."""
-    profiles = source_profiles(inputs, settings)
-    fused = fuse(profiles.where("error is null"), settings)
+    """All of it. With on_missing "error", records whose projection has errors are not projected.
+
+    Sources are parsed once and records fused once: both are staged, since fusion reads the profiles once per kind of field, and
+    validation and projection both read the records.
+    """
+    profiles = staged(source_profiles(inputs, settings))
+    fused = staged(fuse(profiles.where("error is null"), settings))
     validated = validate_projected(validate(fused), config)
     good = accepted(validated, config).drop("validation", "projection_errors")
     return Outcome(profiles, quarantine(profiles), fused, validated, project(good, config), project_json(good, config))

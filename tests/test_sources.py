@@ -99,7 +99,7 @@ def test_resumes_of_all_formats(spark, tmp_path):
     assert (a["full_name"]["value"], a["headline"]["value"]) == ("Jane Doe", "Data Engineer")
     assert [s["name"] for s in a["skills"]] == ["Python", "SQL", "MySQL"] and a["links"]["value"]["github"] == "github.com/jane"
     assert a["experience"] == [
-        {"company": "Acme", "title": "Data Engineer", "start": None, "end": None, "summary": "built things"},
+        {"company": "Acme", "title": "Data Engineer", "start": "2024-01", "end": "2024-03", "summary": "built things"},
         {"company": "Beta Labs", "title": "Intern at Beta", "start": "2023-06", "end": "Present", "summary": "ran - tests"},
     ]
     assert a["years_experience"]["value"] == round(37 / 12, 2)
