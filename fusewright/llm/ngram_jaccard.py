@@ -99,22 +99,22 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return counts.reshape(-1)
 
 
-def _column_levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _column_levels(counts: np.ndarray, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Per sketch slot: the level by which columns are ordered (0: not seen to be frequent) and its number of row blocks."""
     usual = float(np.median(counts))
     over = np.maximum(counts.astype(np.float64) - usual, 0)
     frequent = over > 8 + 8 * np.sqrt(usual)
     levels = np.where(frequent, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
-    return levels, np.where(frequent, np.ceil(over / BLOCK_ROWS), 1).astype(np.int64)
+    return levels, np.where(frequent, np.ceil(over / block_rows), 1).astype(np.int64)
 
 
-def _heads(size: int, num: int, den: int, shared):
+def _heads(size: int, num: int, den: int, shared, block_rows: int):
     """The entries that are multiplied: (column, pair of row blocks, position, set size, set)."""
     schema = pa.schema([("h", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("sig", pa.int64())])
 
     def run(batches):
         counts = shared.value
-        levels, blocks = _column_levels(counts)
+        levels, blocks = _column_levels(counts, block_rows)
         seen = set()
         for _, _, texts in _rows_of(batches, size):
             hs, ps, ns, ss = [], [], [], []
@@ -312,7 +312,7 @@ def _linked(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Link documents whose sets of distinct ``words``-word shingles have a Jaccard similarity of ``num / den`` or more.
 
     Words end at ASCII white space, A-Z is lower-cased. Returns one row per input row: ``doc_id`` (the id), ``n_shingles`` (set
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = described.where("kind = 0").select("doc_id", "key", "n", "sig")
     sketch = spark.sparkContext.broadcast(_sketch(described))
 
-    heads = source.select("key", "text").mapInArrow(_heads(words, num, den, sketch), "h long, i int, j int, pos int, n int, sig long")
+    heads = source.select("key", "text").mapInArrow(_heads(words, num, den, sketch, block_rows), "h long, i int, j int, pos int, n int, sig long")
     heads = heads.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "pos", "n", "sig")
     columns = cut(heads.mapInArrow(_shared_columns, "h long, i int, j int, pos int, n int, sig long, pos0 int, n0 int, sig0 long"))
     keys = each.where("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"))
