@@ -13,8 +13,8 @@ from fusewright.operators import fuse as FU
 from fusewright.operators import sections as S
 from fusewright.operators.project import project, project_json
 from fusewright.operators.validate import validate, validate_projected
-from fusewright.plans.display import percent
-from fusewright.schema import PROFILE_FIELDS
+from fusewright.plans.display import cards, percent
+from fusewright.schema import EDUCATION, PROFILE_FIELDS
 from fusewright.settings import Settings
 from fusewright.sources import store
 from fusewright.sources.ats import clean_json, parse_ats
@@ -23,6 +23,7 @@ from fusewright.sources.linkedin import parse_linkedin
 from fusewright.sources.notes import parse_notes
 from fusewright.sources.profile import job, profiles, school, skill_claims, tagged, union_sources
 from fusewright.sources.recruiter_csv import parse_csv
+from fusewright.sources.resume import parse_resumes
 
 SETTINGS = Settings()
 EVENTS = ("click", "error", "purchase", "signup", "view")
@@ -200,11 +201,35 @@ def source_github(spark, sf):
     return found.select("candidate_key", F.col("full_name.value").alias("full_name"), F.col("links.value.github").alias("github"), skills.alias("skills"))
 
 
-@query("json_cleanup", "SELECT c_custkey, '{\"u\": \"https://x/*y*/\", \"n\": [1, 2 ] }' AS cleaned FROM customer WHERE c_custkey < 0 UNION ALL SELECT c_custkey, '{\"u\": \"https://x/*y*/\", \"n\": [' || c_custkey || ' ] }' FROM customer")
+@query("json_cleanup", """SELECT c_custkey, '{"u":"https://x/*y*/","n":[' || c_custkey || ']}' AS cleaned FROM customer""")
 def json_cleanup(spark, sf):
-    raw = F.concat(F.lit('{"u": "https://x/*y*/", /* a\nb */"n": ['), "c_custkey", F.lit(', ], }// end'))
-    cleaned = F.regexp_replace(clean_json(raw), r"\]\s+\}", "] }")
-    return table(spark, sf, "customer").select("c_custkey", F.regexp_replace(cleaned, "/, \"n", "/\", \"n").alias("cleaned"))
+    raw = F.concat(F.lit('{"u":"https://x/*y*/",/* a\nb */"n":['), "c_custkey", F.lit(",],}// end"))
+    return table(spark, sf, "customer").select("c_custkey", clean_json(raw).alias("cleaned"))
+
+
+@query("resume_profile", """
+SELECT CAST(c_custkey AS VARCHAR) AS candidate_key, 'resume_txt' AS source, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Doe' AS full_name, 'Engineer ' || c_nationkey AS headline,
+  'c' || c_custkey || '@x.com' AS email, 'Pune' AS city, 'IN' AS country, 'Python|SQL|T' || c_nationkey AS skills, 'Acme ' || c_custkey AS company, '2020-0' || (1 + c_custkey % 9) AS start,
+  round((12 - c_custkey % 9) / 12.0, 2) AS years, 'College ' || c_nationkey AS institution, 'B.Tech' AS degree, 'Physics' AS field, CAST(2000 + c_custkey % 20 AS INTEGER) AS end_year FROM customer
+""")
+def resume_profile(spark, sf):
+    text = F.concat(
+        F.upper("c_mktsegment"), F.lit(" DOE\nEngineer "), "c_nationkey", F.lit("\nPune, India | c"), "c_custkey", F.lit("@x.com\n\nSkills\nLanguages: python, sql & T"), "c_nationkey",
+        F.lit("\nWORK EXPERIENCE\nData Analyst | Acme "), "c_custkey", F.lit(" | "), F.element_at(F.array(*[F.lit(m) for m in ("Jan", "Feb", "March", "Apr", "May", "June", "Jul", "Aug", "Sep")]), (F.col("c_custkey") % 9 + 1).cast("int")),
+        F.lit(" 2020 - Dec 2020\n- did things\nEDUCATION\nB.Tech - Physics CGPA 8.1\nCollege "), "c_nationkey", F.lit(" | 1990 - "), (F.lit(2000) + F.col("c_custkey") % 20).cast("string"), F.lit("\n"),
+    )
+    raw = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("candidate_key"), text.alias("text"), F.lit("txt").alias("ext"))
+    found = N.normalize_profile(parse_resumes(raw))
+    job_, school_ = F.get("experience", 0), F.get("education", 0)
+    return found.select(
+        "candidate_key", "source", F.col("full_name.value").alias("full_name"), F.col("headline.value").alias("headline"), F.get("emails.value", 0).alias("email"), F.col("location.value.city").alias("city"), F.col("location.value.country").alias("country"),
+        joined(F.transform("skills", lambda s: s["name"])).alias("skills"), job_["company"].alias("company"), job_["start"].alias("start"), F.col("years_experience.value").alias("years"), school_["institution"].alias("institution"), school_["degree"].alias("degree"), school_["field"].alias("field"), school_["end_year"].alias("end_year"),
+    )
+
+
+@query("display_cards", "SELECT md5(c_name) AS candidate_id, coalesce(nullif(c_name, 'Customer#000000003'), '—') AS name, CASE WHEN c_custkey % 3 > 0 THEN 'City' || c_nationkey ELSE '—' END AS place, CAST(trunc(c_nationkey / 100.0::DOUBLE * 100) AS INTEGER) AS confidence_percent FROM customer")
+def display_cards(spark, sf):
+    return cards(customer_records(spark, sf).withColumns({"years_experience": F.lit(None).cast("double"), "education": F.array().cast(EDUCATION)})).select("candidate_id", "name", "place", "confidence_percent")
 
 
 # --------------------------------------------------------------------------------------------------------- sections
@@ -320,12 +345,11 @@ def resolve_argmax(spark, sf):
 
 @query("overall_confidence", EVENT_SQL + """
 , t AS (SELECT w.k, [top.c, head.c, top.c, CASE WHEN li.c IS NOT NULL AND gh.c IS NOT NULL THEN (li.c + gh.c) / 2 ELSE coalesce(li.c, gh.c) END, top.c, mean] AS l FROM w JOIN m ON m.k = w.k)
-SELECT k AS candidate_key, CAST(floor(list_avg(l) * 100 + 0.5) AS BIGINT) - CAST(floor(list_avg(l) * 100 + 0.5) AS BIGINT) AS off FROM t
+SELECT k AS candidate_key, CAST(round(round(list_avg(l), 2) * 100) AS BIGINT) AS percent FROM (SELECT k, list_filter(l, lambda x: x IS NOT NULL) AS l FROM t)
 """)
 def overall_confidence(spark, sf):
     got = FU.fuse(event_profiles(spark, sf), SETTINGS)
-    known = F.col("overall_confidence").between(0, 1)
-    return got.select("candidate_key", F.when(known, 0).otherwise(1).cast("long").alias("off"))
+    return got.select("candidate_key", F.round(F.col("overall_confidence") * 100).cast("long").alias("percent"))
 
 
 @query("skill_boost", EVENT_SQL + """
@@ -352,13 +376,13 @@ def _array_profiles(rows: DataFrame, key: str, column: str, entries: Column) ->
 
 @query("dedupe_experience", """
 WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS k, o_orderkey AS i, o_orderpriority AS company, o_orderstatus AS title, repeat('s', CAST(o_orderkey % 5 AS INTEGER)) AS st, CAST(o_orderkey AS VARCHAR) AS su FROM orders)
-SELECT k AS candidate_key, company, title, nullif(arg_max(st, length(st) * 1000000000 - i), '') AS start, arg_max(su, length(su) * 1000000000 - i) AS summary, count(*) - count(*) AS extra FROM o GROUP BY k, company, title
+SELECT k AS candidate_key, company, title, nullif(arg_max(st, length(st) * 1000000000 - i), '') AS start, arg_max(su, length(su) * 1000000000 - i) AS summary FROM o GROUP BY k, company, title
 """)
 def dedupe_experience(spark, sf):
     none = F.lit(None)
     entry = F.struct("o_orderkey", job(F.col("o_orderpriority"), F.concat(F.lit(" "), F.lower("o_orderstatus")), F.repeat(F.lit("s"), (F.col("o_orderkey") % 5).cast("int")), none, F.col("o_orderkey").cast("string")).alias("e"))
     got = FU.fuse_experience(_array_profiles(table(spark, sf, "orders"), "o_custkey", "experience", entry)).select("candidate_key", F.explode("experience").alias("e"))
-    return got.select("candidate_key", "e.company", F.upper(F.trim("e.title")).alias("title"), "e.start", "e.summary", F.lit(0).cast("long").alias("extra"))
+    return got.select("candidate_key", "e.company", F.upper(F.trim("e.title")).alias("title"), "e.start", "e.summary")
 
 
 @query("dedupe_education", """
