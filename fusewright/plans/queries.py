@@ -329,7 +329,7 @@ w AS (SELECT k, arg_max({'t': s || n, 's': s, 'c': c, 'v': v, 'e': s || n || '@x
 x AS (SELECT k, s, o, c, unnest([{'name': 'skill' || (n % 7), 'pos': 0}, {'name': 'skill' || ((n + 1) % 7), 'pos': 1}], recursive := true) FROM p),
 y AS (SELECT k, name, list(c ORDER BY o, pos) AS cs, array_to_string(list(s ORDER BY o, pos), '+') AS sources, min(o * 10 + pos) AS place FROM x GROUP BY ALL),
 z AS (SELECT k, name, CASE WHEN len(cs) = 1 THEN cs[1] ELSE list_reduce(cs, lambda a, b: least(1.0::DOUBLE, greatest(a, b) + 0.1::DOUBLE)) END AS c, sources, place FROM y),
-m AS (SELECT k, avg(c) AS mean FROM z GROUP BY k)
+m AS (SELECT k, list_reduce(list(c ORDER BY place), lambda a, b: a + b) / count(*) AS mean FROM z GROUP BY k)
 """
 
 
@@ -345,7 +345,7 @@ def resolve_argmax(spark, sf):
 
 @query("overall_confidence", EVENT_SQL + """
 , t AS (SELECT w.k, [top.c, head.c, top.c, CASE WHEN li.c IS NOT NULL AND gh.c IS NOT NULL THEN (li.c + gh.c) / 2 ELSE coalesce(li.c, gh.c) END, top.c, mean] AS l FROM w JOIN m ON m.k = w.k)
-SELECT k AS candidate_key, CAST(round(round(list_avg(l), 2) * 100) AS BIGINT) AS percent FROM (SELECT k, list_filter(l, lambda x: x IS NOT NULL) AS l FROM t)
+SELECT k AS candidate_key, CAST(round(round(list_reduce(l, lambda a, b: a + b) / len(l), 2) * 100) AS BIGINT) AS percent FROM (SELECT k, list_filter(l, lambda x: x IS NOT NULL) AS l FROM t)
 """)
 def overall_confidence(spark, sf):
     got = FU.fuse(event_profiles(spark, sf), SETTINGS)
