@@ -187,6 +187,20 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS l FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS l FROM benchmark),
+bk AS (SELECT item, l, least(len(l), 13) AS k FROM b WHERE len(l) > 0),
+bi AS (SELECT item, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM bk), bw AS (SELECT DISTINCT item, k, array_to_string(l[i:i + k - 1], ' ') AS win FROM bi),
+di AS (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM bk) WHERE len(l) >= k),
+h AS (SELECT doc_id, i, d.k, item FROM (SELECT doc_id, k, i, array_to_string(l[i:i + k - 1], ' ') AS win FROM di) d JOIN bw ON bw.k = d.k AND bw.win = d.win),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(l) AS contaminated FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
+"""
+
+
 def brute_force(docs, items, window: int = WINDOW):
     """The same digest by plain Python, for tests: docs and items are lists of (id, text)."""
     import re

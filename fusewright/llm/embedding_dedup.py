@@ -218,3 +218,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def op1_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of near_duplicates over all of ``embeddings``."""
     return near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+g AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(node, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.y, r.comp FROM r JOIN p ON p.x = r.node),
+m AS (SELECT node, min(comp) AS comp FROM r GROUP BY node), k AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, m.comp AS component_id, vec_id = m.comp AS kept FROM embeddings JOIN m ON m.node = vec_id LEFT JOIN k ON k.x = vec_id
+"""

@@ -419,3 +419,18 @@ def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """The contract's digest: 3-word shingles, similarity 0.9."""
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs, words=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(l) >= 3 THEN list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])
+  WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS h FROM c),
+p AS (SELECT a.rep AS x, b.rep AS y FROM e a JOIN e b ON a.h = b.h AND a.rep < b.rep AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+q AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r(node, comp) AS (SELECT rep, rep FROM c UNION SELECT q.y, r.comp FROM r JOIN q ON q.x = r.node),
+m AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m ON m.node = c.rep
+"""

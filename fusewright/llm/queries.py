@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from fusewright.llm.byte_bpe import op9_byte_bpe
 from fusewright.llm.chat_format import OP7_SQL, op7_chat_format
-from fusewright.llm.decontamination import op10_decontamination
-from fusewright.llm.embedding_dedup import op1_embedding_dedup
+from fusewright.llm.decontamination import OP10_SQL, op10_decontamination
+from fusewright.llm.embedding_dedup import OP1_SQL, op1_embedding_dedup
 from fusewright.llm.html_extract import op8_html_extract
-from fusewright.llm.ngram_jaccard import op3_ngram_jaccard
+from fusewright.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from fusewright.llm.secret_scan import op5_secret_scan
 from fusewright.llm.token_counts import op4_token_counts
 from fusewright.llm.toxicity import op2_toxicity
@@ -25,4 +25,9 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_format": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": OP1_SQL,
+    "op3_ngram_jaccard": OP3_SQL,
+    "op7_chat_format": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
+}
