@@ -23,7 +23,7 @@ from fusewright.llm.components import components
 
 KEY_BITS = 48
 ROWS_IN_BLOCK = 512
-MEMBERS_IN_BLOCK = 1024
+MEMBERS_IN_BLOCK = 256
 
 
 def _planes(dim: int, pass_no: int) -> np.ndarray:
