@@ -26,8 +26,8 @@ OVERLAP = 1 << 10
 SPREAD = 1 << 22
 #: A match that ends so many characters before a chunk's end does not depend on what follows the chunk.
 LOOKAHEAD = 3
-#: Pieces a worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+#: Pieces a task remembers; beyond that it starts anew. They are forgotten when it ends, since workers live on and serve other stages.
+REMEMBERED = 300_000
 
 
 def chunk_borders(pattern, chunk: str, last: bool) -> list[int]:
@@ -132,9 +132,12 @@ def codec(path: str, pattern: str) -> Codec:
 def _digests(path, pattern, size, overlap):
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            got = [own.digest(pieces(own.pattern, x or "", size, overlap)) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                got = [own.digest(pieces(own.pattern, x or "", size, overlap)) for x in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.clear()
 
     return run
 
@@ -195,6 +198,7 @@ def _stitched(path, pattern):
         own = codec(path, pattern)
         for batch in batches:
             out = []
+            own.clear()
             for text, chunks in zip(batch.column("text").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
                 borders = stitch([(c["start"], c["last"], c["borders"]) for c in chunks])
                 found = pieces(own.pattern, text) if borders is None else [text[a:b] for a, b in zip([0, *borders], borders, strict=False)]
