@@ -279,6 +279,36 @@ def education_lookahead(spark, sf):
     return found.select("conv_id", "e.line", F.col("e.next").alias("after"))
 
 
+def _whole_talks(spark, sf) -> DataFrame:
+    """(conv_id, lines): each turn's role and whole text, in order; a missing role or text is empty."""
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("x")
+    turns = table(spark, sf, "conversations").select("conv_id", F.struct("turn", line).alias("t"))
+    return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]).alias("l"))
+
+
+@query("experience_sessionize_whole", """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') || ' ' || coalesce(text, '') AS x, coalesce(role = 'user', false) AS opens FROM conversations),
+g AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn, x ROWS UNBOUNDED PRECEDING) AS entry FROM t)
+SELECT conv_id, CAST(entry AS BIGINT) AS entry, max(x) FILTER (WHERE opens) AS first, count(*) FILTER (WHERE NOT opens) AS n_rest, coalesce(string_agg(x, '~' ORDER BY turn, x) FILTER (WHERE NOT opens), '') AS rest
+FROM g WHERE entry > 0 GROUP BY ALL
+""")
+def experience_sessionize_whole(spark, sf):
+    label = lambda x: F.when(x.startswith("user "), x)
+    blocks = _whole_talks(spark, sf).select("conv_id", F.posexplode(S.cut_at(F.col("l"), label)).alias("entry", "b")).where("entry > 0")
+    return blocks.select("conv_id", F.col("entry").cast("long").alias("entry"), F.col("b.name").alias("first"), F.size("b.body").cast("long").alias("n_rest"), joined(F.col("b.body"), "~").alias("rest"))
+
+
+@query("education_lookahead_whole", """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') || ' ' || coalesce(text, '') AS x, coalesce(role <> 'assistant', true) AS flag FROM conversations),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, x) AS i FROM t),
+r AS (SELECT *, i - max(CASE WHEN NOT flag THEN i ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS k, lead(x) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM i)
+SELECT conv_id, x AS line, after FROM r WHERE flag AND k % 2 = 1
+""")
+def education_lookahead_whole(spark, sf):
+    found = _whole_talks(spark, sf).select("conv_id", F.explode(S.lookahead(F.col("l"), lambda x: ~x.startswith("assistant "))).alias("e"))
+    return found.select("conv_id", "e.line", F.col("e.next").alias("after"))
+
+
 @query("parse_skills_section", "SELECT p_partkey, 'Java|' || p_name || '|CSS|' || p_brand AS skills FROM part")
 def parse_skills_section(spark, sf):
     line = F.concat(F.lit("Languages: Java, "), "p_name", F.lit(" (CSS) | * "), "p_brand", F.lit(" & Java"))
