@@ -35,6 +35,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
+SHORTEST = 20
+SEPARATORS = "+/_-"
+CUTS = (re.compile(r"[+/]"), re.compile(r"[_-]"), re.compile(r"[+/_-]"))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Alphabets in the order in which they are tried.
 ENCODINGS = (
@@ -123,12 +126,43 @@ def natural_p(stat: float, n: int, alphabet: str, written: np.ndarray) -> float:
     return _upper_tail((mean - stat) / math.sqrt(var))
 
 
-def random_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of candidates that pass the battery and the length-aware false-discovery control."""
+def _pieces(text: str, base: list[tuple[str, int, int]]):
+    """(start, end) of what is judged: runs outside base spans, whole and cut at either kind of separator or at both.
+
+    No encoding holds both ``+ /`` and ``- _``, and either may join a token to a path or to words, so a run that holds separators is
+    also judged by its parts. At a base span the separators that join it to the rest are left out.
+    """
+    fixed, at = sorted((s, e) for _, s, e in base), 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(fixed) and fixed[at][1] <= start:
+            at += 1
+        rests, k = [], at
+        while k < len(fixed) and fixed[k][0] < end:
+            rests.append((start, fixed[k][0]))
+            start = max(start, fixed[k][1])
+            k += 1
+        for a, b in [*rests, (start, end)]:
+            while a > m.start() and a < b and text[a] in SEPARATORS:
+                a += 1
+            while b < m.end() and a < b and text[b - 1] in SEPARATORS:
+                b -= 1
+            if b - a < SHORTEST:
+                continue
+            found = {(a, b)}
+            for separator in CUTS:
+                if separator.search(text, a, b):
+                    cuts = [(a, a), *(c.span() for c in separator.finditer(text, a, b)), (b, b)]
+                    found.update((x, y) for (_, x), (y, _) in zip(cuts, cuts[1:], strict=False))
+            yield from sorted((x, y) for x, y in found if y - x >= SHORTEST and len(text[x:y].rstrip("=")) >= SHORTEST)
+
+
+def random_spans(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, int]]:
+    """Spans outside ``base`` that pass the battery and the length-aware false-discovery control; those that overlap are one."""
     found = []
     written = None
-    for m in CANDIDATE.finditer(text):
-        inferred = infer_encoding(m.group())
+    for start, end in _pieces(text, base):
+        inferred = infer_encoding(text[start:end])
         if inferred is None:
             continue
         name, x, k = inferred
@@ -140,13 +174,19 @@ def random_spans(text: str) -> list[tuple[int, int]]:
             if written is None:
                 written = _written(CANDIDATE.sub(" ", text))
             p = natural_p(stat, n, dict(ENCODINGS)[name], written)
-        found.append((p, n, m.start(), m.end()))
+        found.append((p, n, start, end))
     if not found:
         return []
     weight = len(found) / sum(n for _, n, _, _ in found)
     ranked = sorted((p / (n * weight), a, b) for p, n, a, b in found)
     best = max((r for r, (q, _, _) in enumerate(ranked, 1) if q <= FALSE_DISCOVERY_RATE * r / len(found)), default=0)
-    return sorted((a, b) for _, a, b in ranked[:best])
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in ranked[:best]):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -160,9 +200,9 @@ def _order(span):
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans), by start and then kind. The method's span goes where a base span overlaps it."""
+    """(base spans, all spans), by start and then kind. The method judges what the base spans leave."""
     base = sorted(base_spans(text), key=_order)
-    more = [("random", a, b) for a, b in random_spans(text) if not any(s < b and a < e for _, s, e in base)]
+    more = [("random", a, b) for a, b in random_spans(text, base)]
     return base, sorted([*base, *more], key=_order)
 
 

@@ -25,3 +25,25 @@ def test_a_text_of_many_keys():
     rng = random.Random(6)
     keys = ["".join(rng.choice(BASE62) for _ in range(44)) for _ in range(50)]
     assert len(secret_scan.random_spans("\n".join(keys))) >= 45
+
+
+@pytest.mark.parametrize("before", ["/some-page/", "well-known/word-", "https://h.org/a-b/c_d/", "AKIA" + "Z9" * 8 + "/", "AKIA" + "Z9" * 8 + "-"])
+def test_tokens_joined_to_other_runs(before):
+    rng = random.Random(7)
+    text = "The committee met on Tuesday to discuss the new plan for the harbour and the roads around it. " * 5
+    covered = 0
+    for _ in range(50):
+        token = "".join(rng.choice(BASE62) for _ in range(44))
+        whole = f"{text}{before}{token} {text}"
+        at = whole.index(token)
+        redacted = secret_scan.redact(whole)
+        assert not before.startswith("AKIA") or "<access>" in redacted
+        covered += any(k == "random" and a <= at and at + 44 <= b for k, a, b in secret_scan.all_spans(whole)[1]) and token not in redacted
+    assert covered >= 45
+
+
+def test_spans_outside_base_spans():
+    key = "AKIA" + "Z9" * 8
+    for text in (key, f"/{key}/", f"{key}/{key}", f"{key}-some-long-page-name-of-words", "=" * 30, "-" * 40, "a/b-c_d+" * 9):
+        base, spans = secret_scan.all_spans(text)
+        assert spans == base
