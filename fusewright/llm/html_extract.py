@@ -2,18 +2,22 @@
 
 A page's text lines (blocks) are of three kinds: inside an article or main element; inside boilerplate, that is menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments and the like, by element, role or class name; and open. If a page has lines of the
-first kind, they are its main text. Otherwise its open lines are: pages are sorted by host and URL path, each is paired with the one
-before it in its host (the first with the one after it), their open lines are aligned by a longest common subsequence, and the shared
-lines are deleted.
+first kind, they are its main text. Otherwise its open lines are: pages with open lines are sorted by host and URL path, and each is
+paired with the nearest one before it in its host whose lines differ from its own (if there is none, with the nearest one after it), their
+open lines are aligned by a longest common subsequence, and the shared lines are deleted. Copies are so never paired with one another,
+nor is a page paired with one that has no open lines.
 
 Lines inside an article are not deleted when a neighbour shares them: neighbours that quote or copy one another share much of their
 articles, and deleting that loses text that belongs to the page (see the README for the count on the test tables).
 
-One range shuffle by host, path and id brings neighbours together, whatever the size of a host. Where a partition begins, its first page
-is paired with the next one.
+Pages whose structure decides never leave their task. Of the others one range shuffle by host, path and id brings neighbours together,
+whatever the size of a host; of pages that only serve as neighbours it moves hashes of their lines. The first two and last two pages
+that differ, of each partition's first and last host, go to the driver as hashes of lines, and from there over the borders, so results do
+not depend on the partitions.
 """
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from html import unescape
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.llm._shared import prepare, table
+from fusewright.llm._shared import cut, prepare, table
 from fusewright.llm.url_filter import host_and_path
 
 _MARKUP = re.compile(
@@ -168,40 +172,179 @@ def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | No
     return "\n".join(own)
 
 
-def _extracted(batches):
-    """Pages in order of host and path: each is paired with the one before it in its host, the first with the next."""
-    before = None  # (host, lines) of the page before
-    waiting = None  # a first page that waits for its successor
+HASH_BYTES = 16
 
-    def row(r, text):
-        return [r[0], r[1], text, len(text)]
 
-    def packed(rows, kinds):
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+def _hash(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=HASH_BYTES).digest()
 
-    kinds = None
+
+def _split(hashes: bytes) -> list[bytes]:
+    return [hashes[k : k + HASH_BYTES] for k in range(0, len(hashes), HASH_BYTES)]
+
+
+def _open(page: list[tuple[str, int]]) -> list[str]:
+    return [x for x, kind in page if kind == OPEN]
+
+
+def _needs(page: list[tuple[str, int]]) -> bool:
+    """Whether the page's main text depends on its neighbours."""
+    return bool(page) and all(kind == OPEN for _, kind in page)
+
+
+def _parts(batch, columns):
+    for start in range(0, batch.num_rows, 256):
+        part = batch.slice(start, 256)
+        yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _packed(rows, fields):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _chunks(rows, fields):
+    """Record batches of at most 256 rows."""
+    now = []
+    for r in rows:
+        now.append(r)
+        if len(now) == 256:
+            yield _packed(now, fields)
+            now = []
+    if now:
+        yield _packed(now, fields)
+
+
+def _texts(kind):
+    return [("page_id", kind), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]
+
+
+def _decided(batches):
+    """The pages whose main text needs no neighbour."""
+    for batch in batches:
+        found = ((i, url, lines(html or "")) for i, url, html in _parts(batch, ("page_id", "url", "html")))
+        rows = ((i, url, main_text(page, None)) for i, url, page in found if not _needs(page))
+        yield from _chunks(((*r, len(r[2])) for r in rows), _texts(batch.schema.field("page_id").type))
+
+
+def _undecided(batches):
+    """The pages with open lines: hashes of these, a digest of all lines, and the open lines where the main text needs a neighbour."""
+    for batch in batches:
+        fields = [("page_id", batch.schema.field("page_id").type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.binary()), ("hashes", pa.binary()), ("lines", pa.list_(pa.string()))]
+
+        def rows(batch=batch):
+            for i, url, host, path, html in _parts(batch, ("page_id", "url", "host", "path", "html")):
+                page = lines(html or "")
+                if own := _open(page):
+                    digest = hashlib.blake2b(b"".join(bytes([kind]) + _hash(x) for x, kind in page), digest_size=HASH_BYTES).digest()
+                    yield i, url, host, path, digest, b"".join(map(_hash, own)), own if _needs(page) else None
+
+        yield from _chunks(rows(), fields)
+
+
+def _later(last, page):
+    """The state (latest page, latest page before that differs from it) after one more page; pages are (digest, hashes)."""
+    one, two = last
+    return (page, two) if one is not None and one[0] == page[0] else (page, one)
+
+
+def _other(state, digest):
+    """The hashes of the nearest page of the state that differs."""
+    return next((p[1] for p in state if p is not None and p[0] != digest), None)
+
+
+def _ends(batches):
+    """One row a partition: the first and last host, and of each the two pages at that end that differ."""
+    first = last = part = None
+    head: list = []
+    tail = (None, None)
     for batch in batches:
-        kinds = [batch.schema.field("page_id").type, pa.string(), pa.string(), pa.int64()]
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            rows = []
-            for r in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-                page, host = lines(r[3] or ""), r[2]
-                if before is not None and before[0] == host:
-                    if waiting is not None:
-                        rows.append(row(waiting, main_text(before[1], page)))
-                        waiting = None
-                    rows.append(row(r, main_text(page, before[1])))
-                else:
-                    if waiting is not None:
-                        rows.append(row(waiting, main_text(before[1], None)))
-                    waiting = r[:2]
-                before = (host, page)
-            if rows:
-                yield packed(rows, kinds)
-    if waiting is not None:
-        yield packed([row(waiting, main_text(before[1], None))], kinds)
+        for part, host, digest, hashes in _parts(batch, ("part", "host", "digest", "hashes")):
+            page = (digest, hashes)
+            if first is None:
+                first = host
+            if host == first and len(head) < 2 and all(p[0] != digest for p in head):
+                head.append(page)
+            tail = _later(tail, page) if host == last else (page, None)
+            last = host
+    if part is not None:
+        row = [part, first, last]
+        for p in [*head, None, None][:2] + list(tail):
+            row += p or (None, None)
+        yield _packed([row], [(n, pa.string() if n in ("first", "last") else pa.int32() if n == "part" else pa.binary()) for n in _END_NAMES])
+
+
+_END_NAMES = ("part", "first", "last", "d0", "h0", "d1", "h1", "d2", "h2", "d3", "h3")
+
+
+def _carried(ends):
+    """Per partition what its neighbours hand over: (host, pages) from before and from after."""
+
+    def walk(rows, side):
+        out, host, state = {}, None, (None, None)
+        for r in rows:
+            out[r["part"]] = (host, state)
+            pages = [None if r[f"d{k}"] is None else (bytes(r[f"d{k}"]), bytes(r[f"h{k}"])) for k in range(4)]
+            near, far = (r["last"], r["first"]) if side else (r["first"], r["last"])
+            one, two = pages[2:] if side else pages[:2]
+            if two is None and near == far == host:
+                # all of the partition is copies of one page of the host
+                two = next((p for p in state if p is not None and p[0] != one[0]), None)
+            host, state = near, (one, two)
+        return out
+
+    ends = sorted(ends, key=lambda r: r["part"])
+    before, after = walk(ends, True), walk(ends[::-1], False)
+    return {part: (before[part], after[part]) for part in before}
+
+
+def _differenced(carried):
+    def run(batches):
+        """Pages in order of host and path, each paired with the nearest of its host that differs."""
+        now, state, after, fields = None, (None, None), (None, (None, None)), None
+        waiting: list = []  # ids and URLs of pages, all copies of one, with nothing but copies before them
+        lines_, digest_ = None, None
+
+        def text(own, neighbour):
+            gone = shared_lines(list(map(_hash, own)), _split(neighbour)) if neighbour else ()
+            return "\n".join(x for k, x in enumerate(own) if k not in gone)
+
+        def settled(neighbour):
+            done = text(lines_, neighbour)
+            rows = [(i, url, done, len(done)) for i, url in waiting]
+            waiting.clear()
+            return rows
+
+        def rows(batch):
+            nonlocal now, state, after, lines_, digest_
+            for part, i, url, host, digest, hashes, own in _parts(batch, ("part", "page_id", "url", "host", "digest", "hashes", "lines")):
+                if host != now:
+                    if waiting:
+                        yield from settled(None)
+                    if now is None:
+                        (from_host, from_state), after = carried[part]
+                        state = from_state if from_host == host else (None, None)
+                    else:
+                        state = (None, None)
+                    now = host
+                if waiting and digest != digest_:
+                    yield from settled(hashes)
+                neighbour = _other(state, digest)
+                if own is not None:
+                    if neighbour is None:
+                        waiting.append((i, url))
+                        lines_, digest_ = own, digest
+                    else:
+                        done = text(own, neighbour)
+                        yield i, url, done, len(done)
+                state = _later(state, (digest, hashes))
+
+        for batch in batches:
+            fields = _texts(batch.schema.field("page_id").type)
+            yield from _chunks(rows(batch), fields)
+        if waiting:
+            yield from _chunks(settled(_other(after[1], digest_) if after[0] == now else None), fields)
+
+    return run
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -210,14 +353,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Whole pages are read. A null or empty page has an empty text. A null URL, or one without ``://``, has the host ''. Rows with null
     or repeated ids stay; pages with the same URL are neighbours. An empty table gives an empty result. Only the three columns are read.
     """
-    prepare(pages.sparkSession)
+    spark = pages.sparkSession
+    prepare(spark)
     host, path = host_and_path(F.col("url"))
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    source = source.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").drop("path")
     kind = source.schema["page_id"].dataType.simpleString()
-    return ordered.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    texts = f"page_id {kind}, url string, text string, n_chars long"
+    decided = source.mapInArrow(_decided, texts)
+    hosted = source.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
+    undecided = hosted.mapInArrow(_undecided, f"page_id {kind}, url string, host string, path string, digest binary, hashes binary, lines array<string>")
+    order = ["host", "path", "page_id", "digest"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut(undecided.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("path")).withColumn("part", F.spark_partition_id())
+    names = ", ".join(f"{c} {'string' if c in ('first', 'last') else 'int' if c == 'part' else 'binary'}" for c in _END_NAMES)
+    ends = ordered.select("part", "host", "digest", "hashes").mapInArrow(_ends, names).collect()  # a row a partition
+    return decided.union(ordered.mapInArrow(_differenced(_carried(ends)), texts))
 
 
 def op8_html_extract(spark, sf_dir: str) -> DataFrame:
