@@ -27,7 +27,10 @@ from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed
 FOLDS = 5
 MAX_ROWS = 10_000
 FEATURES = 256
+#: Rows that a feature needs, unless it has ``least_share`` of a rare category's rows, see ``fit``.
 LEAST_ROWS = 10
+FEWEST_ROWS = 3
+LEAST_SHARE = 0.1
 #: Beginnings of so many bytes are features beside the words.
 BEGINNINGS = (4, 5, 6, 7)
 #: Columns of ``labels``, in chain order, and the value that is the category.
@@ -132,12 +135,15 @@ def _hashed(batches):
         yield out.append_column("h", pa.array(keys, pa.list_(pa.int64()))).append_column("c", pa.array(counts, pa.list_(pa.int32()))).append_column("n_words", pa.array(sizes, pa.int64()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, max_rows: int = MAX_ROWS, features: int = FEATURES, least_share: float = LEAST_SHARE) -> Chain:
     """A chain fitted on at most ``max_rows`` of the labelled documents.
 
     Labels with a null id, and null texts, are left out; of repeated ids one row counts. A null label leaves its row out of that
     category only. A category without both kinds of rows gets a model that predicts the share it saw (0 with no rows), which never
     reaches its threshold unless all rows are of the category.
+
+    A word can be a feature if it is in LEAST_ROWS labelled rows, or in ``least_share`` of the rows of a category (at least FEWEST_ROWS),
+    so that categories with few rows have features too.
     """
     prepare(docs.sparkSession)
     names = [c for c, _, _ in categories]
@@ -153,12 +159,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     cells = [(k, f, v) for k in range(len(names)) for f in range(FOLDS) for v in (0, 1)]
     sums = [F.count_if((F.col("fold") == f) & (F.col(names[k]) == v)).cast("int").alias(f"s{i}") for i, (k, f, v) in enumerate(cells)]
-    exploded = rows.select("fold", *names, F.explode("h").alias("h"))
-    counted = exploded.groupBy("h").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= LEAST_ROWS).drop("n").toPandas()
     shape = (len(names), FOLDS, 2)
+    totals = np.array(rows.agg(*sums).first(), dtype=np.float64).reshape(shape)
+    enough = F.col("n") >= LEAST_ROWS
+    for k, name in enumerate(names):
+        least = max(FEWEST_ROWS, int(np.ceil(least_share * totals[k, :, 1].sum())))
+        if least < LEAST_ROWS:
+            enough = enough | (F.col(f"n_{name}") >= least)
+    exploded = rows.select("fold", *names, F.explode("h").alias("h"))
+    grouped = exploded.groupBy("h").agg(F.count("*").alias("n"), *[F.count_if(F.col(c) == 1).alias(f"n_{c}") for c in names], *sums)
+    counted = grouped.where(enough).drop("n", *[f"n_{c}" for c in names]).toPandas()
     table_ = counted[[f"s{i}" for i in range(len(cells))]].to_numpy(dtype=np.float64).reshape(-1, *shape)
     hashes = counted["h"].to_numpy(dtype=np.int64).view(U64)
-    totals = np.array(rows.agg(*sums).first(), dtype=np.float64).reshape(shape)
 
     def select(k: int, without: int | None) -> np.ndarray:
         keep = [f for f in range(FOLDS) if f != without]
