@@ -1,12 +1,15 @@
-"""Session helpers of the subpackage: shared folders, lineage cuts, sources and imports on executors."""
+"""Session helpers of the subpackage: shared folders, staged tables, sources and imports on executors."""
 from __future__ import annotations
 
 import os
 import pathlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+#: With this setting Spark removes the shuffle files of a query once it has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -19,27 +22,62 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only where that is unset (tests on one machine) one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset a temporary one, but only on a single machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fusewright-"))
     return named or context.getCheckpointDir()
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the shared folder."""
+    """Cut the lineage: the frame as a table in the shared folder, written once and read back by column.
+
+    A table goes when ``discard`` is called on the frame, or else when the application ends. The shuffle files that led to it go
+    as soon as it is written.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/fusewright-{uuid.uuid4().hex}"
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The lineage cut by checkpoint() in the shared folder, for steps that need the partitions and their order as they are."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``cut`` returned and that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(frame._staged_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(wanted: str, taken) -> str:
+    """``wanted``, or with as many underscores before it as keep it apart from all columns (by any case)."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted = "_" + wanted
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def sha256_hex(column):
-    return F.sha2(column, 256)
