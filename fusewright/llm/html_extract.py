@@ -1,39 +1,43 @@
-"""HTML extraction: page structure, and nearest-URL differencing for what the structure leaves open.
-
-A page's text lines (blocks) are of three kinds: inside an article or main element; inside boilerplate, that is menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments and the like, by element, role or class name; and open. If a page has lines of the
-first kind, they are its main text. Otherwise its open lines are: pages with open lines are sorted by host and URL path, and each is
-paired with the nearest one before it in its host whose lines differ from its own (if there is none, with the nearest one after it), their
-open lines are aligned by a longest common subsequence, and the shared lines are deleted. Copies are so never paired with one another,
-nor is a page paired with one that has no open lines.
-
-Lines inside an article are not deleted when a neighbour shares them: neighbours that quote or copy one another share much of their
-articles, and deleting that loses text that belongs to the page (see the README for the count on the test tables).
-
-Pages whose structure decides never leave their task. Of the others one range shuffle by host, path and id brings neighbours together,
-whatever the size of a host; of pages that only serve as neighbours it moves hashes of their lines. The first two and last two pages
-that differ, of each partition's first and last host, go to the driver as hashes of lines, and from there over the borders, so results do
-not depend on the partitions.
+"""HTML extraction: nearest-URL page differencing, with page structure as its guard.
+
+A page's text lines (blocks) are of four kinds: prose of an article or main element (paragraphs, headings, list items, cells and text that
+stands in it directly); loose lines of an article, which only containers hold; open lines, outside any article; and dropped ones: menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments and the like, by element, role or exact class name. A page with an
+article offers its prose and loose lines as main text, another page its open lines.
+
+Pages are sorted by host and URL path. Each is paired with the nearest one before it in its host whose lines differ from its own (if there
+is none, with the nearest one after it), all lines of the two that are not dropped are aligned by a longest common subsequence, and the
+shared lines are deleted, save prose of articles. Copies are so never paired with one another, nor is a page paired with one that has no
+lines but prose (or none at all), which shows nothing of the site's frame.
+
+Prose is not deleted when a neighbour shares it: neighbours that quote or copy one another share much of their articles, and deleting
+that loses text that belongs to the page (see the README for the count on the test tables).
+
+Pages whose main text is prose only never leave their task. Of the others one range shuffle by host, path and id brings neighbours
+together, whatever the size of a host; of pages that only serve as neighbours it moves hashes of their lines. The first two and last two
+pages that differ, of each partition's first and last host, go to the driver as hashes of lines, and from there over the borders, so
+results do not depend on the partitions.
 """
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.llm._shared import cut, prepare, table
+from fusewright.llm._shared import checkpointed, prepare, table
 from fusewright.llm.url_filter import host_and_path
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*>|</?\Z""",
     re.S,
 )
-_NAMES = re.compile(r"""\b(class|id|role|itemprop|aria-hidden|hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 #: Fixed lists of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,29 +55,48 @@ NAMES = frozenset(
     "footer comment comments disqus share sharing social related recommended popup modal overlay widget widgets toolbar skip".split()
 )
 
-OPEN, MAIN, DROPPED = 0, 1, 2
+#: Elements that hold prose, and those that may hold boilerplate inside an article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption summary address legend".split())
+CONTAINERS = frozenset("div section ul ol dl table details figure fieldset center".split())
+#: An open element of the left kind ends where one of the right kinds begins.
+ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
+
+OPEN, MAIN, DROPPED, LOOSE = 0, 1, 2, 3
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Names (in lower case) and values; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def _named(value: str, whole: bool) -> set[str]:
+    """The words of a class or id: by white space, and each with its first part (``whole``) or all its parts at hyphens and underscores."""
+    out = set()
+    for token in value.lower().split():
+        parts = re.split(r"[_-]+", token)
+        out.add(token)
+        out.update(parts[:1] if whole else parts)
+    return out
 
 
 def _region(tag: str, attributes: str, inside: int) -> int:
-    """The kind of lines inside an element."""
+    """The kind of lines inside an element: dropped, main or open."""
     if inside == DROPPED or tag in BOILERPLATE or (tag == "header" and inside != MAIN):
         return DROPPED
     main = tag in ("article", "main")
-    if attributes and ("=" in attributes or "hidden" in attributes):
-        for name, a, b, c in _NAMES.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
-            if name == "role":
-                main = main or value in ("main", "article")
-                if value in ROLES:
-                    return DROPPED
-            elif name == "itemprop":
-                main = main or value == "articlebody"
-            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+    if attributes.strip(" /"):
+        given = attributes_of(attributes)
+        role = given.get("role", "").lower()
+        if role in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(given.get("style", "")):
+            return DROPPED
+        main = main or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
+        if tag not in ("html", "body", "article", "main") and (inside != MAIN or tag in CONTAINERS):
+            words = _named(given.get("class", ""), inside == MAIN) | _named(given.get("id", ""), inside == MAIN)
+            if words & NAMES or ("header" in words and inside != MAIN):
                 return DROPPED
-            elif tag not in ("html", "body", "article", "main"):
-                words = set(re.split(r"[\s_-]+", value))
-                if words & NAMES or ("header" in words and inside != MAIN):
-                    return DROPPED
     return MAIN if main else inside
 
 
@@ -81,8 +104,10 @@ def lines(html: str) -> list[tuple[str, int]]:
     """The page's text blocks in order with their kinds; white space is one space, character references are decoded."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int]] = []  # element, kind around it, level of containers around it
+    opened: Counter = Counter()
     kind, at, n = OPEN, 0, len(html)
+    loose = 0  # inside an article: 0 is text that stands in it, 1 in a container, 2 in prose
     raw_end: dict[str, re.Pattern] = {}
 
     def close():
@@ -90,7 +115,17 @@ def lines(html: str) -> list[tuple[str, int]]:
             text = "".join(parts)
             parts.clear()
             if kind != DROPPED and (text := " ".join(text.split())):
-                out.append((text, kind))
+                out.append((text, LOOSE if kind == MAIN and loose == 1 else kind))
+
+    def leave(k):
+        nonlocal kind, loose
+        _, before, level = stack[k]
+        for tag, _, _ in stack[k:]:
+            opened[tag] -= 1
+        if before != kind or level != loose:
+            close()
+        del stack[k:]
+        kind, loose = before, level
 
     while at < n:
         m = _MARKUP.search(html, at)
@@ -108,14 +143,8 @@ def lines(html: str) -> list[tuple[str, int]]:
         if closing:
             if tag in BLOCKS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    before = stack[k][1]
-                    del stack[k:]
-                    if before != kind:
-                        close()
-                        kind = before
-                    break
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
             pattern = raw_end.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I))
@@ -125,51 +154,97 @@ def lines(html: str) -> list[tuple[str, int]]:
             continue
         if tag in BLOCKS:
             close()
+            if stack and tag in ENDED_BY.get(stack[-1][0], ()):
+                leave(len(stack) - 1)
         if tag in VOID:
             continue
         inner = _region(tag, attributes, kind)
         if tag in BOILERPLATE or tag in BLOCKS or inner != kind:
-            stack.append((tag, kind))
+            stack.append((tag, kind, loose))
+            opened[tag] += 1
+            level = loose if loose == 2 else 2 if tag in PROSE else 1 if tag in CONTAINERS else loose
             if inner != kind:
                 close()
+                level = 0 if inner == MAIN else level
                 kind = inner
+            loose = level if kind == MAIN else 0
     close()
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (Hunt-Szymanski)."""
-    where: dict[str, list[int]] = {}
+BITS = 1 << 28
+
+
+def _lengths(a: list, b: list) -> list[int]:
+    """Length of a longest common subsequence of all of ``a`` with each beginning of ``b``."""
+    where: dict = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    ends: list[int] = []
-    links: list[tuple | None] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(ends, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(node)
-            elif j < ends[k]:
-                ends[k] = j
-                links[k] = node
-    out, node = set(), links[-1] if links else None
-    while node:
-        out.add(node[0])
-        node = node[1]
+        where[x] = where.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    v = every
+    for x in a:
+        u = v & where.get(x, 0)
+        v = (v + u | v - u) & every
+    out = [0]
+    for j in range(len(b)):
+        out.append(out[-1] + (~v >> j & 1))
+    return out
+
+
+def shared_lines(a: list, b: list, bits: int = BITS) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``.
+
+    Rows of the table of lengths are bit vectors, so a line that both repeat often costs no more than others. A table of more than
+    ``bits`` is cut in two where the lengths of both halves add up to the most, so memory is bounded.
+    """
+    out: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.add(n)
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) > bits and n - i > 1:
+            half = (i + n) // 2
+            head, tail = _lengths(a[i:half], b[j:m]), _lengths(a[half:n][::-1], b[j:m][::-1])[::-1]
+            k = max(range(m - j + 1), key=lambda k: head[k] + tail[k])
+            todo += [(i, half, j, j + k), (half, n, j + k, m)]
+            continue
+        where: dict = {}
+        for k in range(j, m):
+            where[b[k]] = where.get(b[k], 0) | 1 << (k - j)
+        every = (1 << (m - j)) - 1
+        v, rows = every, []
+        for x in a[i:n]:
+            u = v & where.get(x, 0)
+            v = (v + u | v - u) & every
+            rows.append(v)
+        row, col = n - i, m - j
+        while row and col:
+            if rows[row - 1] >> (col - 1) & 1:
+                col -= 1  # the last line of b adds nothing
+            else:
+                row -= 1
+                if not row or rows[row - 1] >> (col - 1) & 1:
+                    out.add(i + row)
+                    col -= 1
     return out
 
 
+def differenced(page: list[tuple[str, int]], shared: set[int]) -> str:
+    """The main text of a page of which the lines at ``shared`` also stand in its neighbour."""
+    article = any(kind in (MAIN, LOOSE) for _, kind in page)
+    return "\n".join(x for k, (x, kind) in enumerate(page) if kind == MAIN or (kind == (LOOSE if article else OPEN) and k not in shared))
+
+
 def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
     """The page's main text, given its lines and those of the page next to it."""
-    own = [x for x, kind in page if kind == MAIN]
-    if not own:
-        own = [x for x, kind in page if kind == OPEN]
-        if own and neighbour:
-            gone = shared_lines(own, [x for x, kind in neighbour if kind == OPEN])
-            own = [x for k, x in enumerate(own) if k not in gone]
-    return "\n".join(own)
+    return differenced(page, shared_lines([x for x, _ in page], [x for x, _ in neighbour]) if neighbour else set())
 
 
 HASH_BYTES = 16
@@ -183,13 +258,10 @@ def _split(hashes: bytes) -> list[bytes]:
     return [hashes[k : k + HASH_BYTES] for k in range(0, len(hashes), HASH_BYTES)]
 
 
-def _open(page: list[tuple[str, int]]) -> list[str]:
-    return [x for x, kind in page if kind == OPEN]
-
-
 def _needs(page: list[tuple[str, int]]) -> bool:
     """Whether the page's main text depends on its neighbours."""
-    return bool(page) and all(kind == OPEN for _, kind in page)
+    kinds = {kind for _, kind in page}
+    return LOOSE in kinds or kinds == {OPEN}
 
 
 def _parts(batch, columns):
@@ -227,16 +299,17 @@ def _decided(batches):
 
 
 def _undecided(batches):
-    """The pages with open lines: hashes of these, a digest of all lines, and the open lines where the main text needs a neighbour."""
+    """The pages with other lines than prose: hashes of all lines, a digest, and the lines where the main text needs a neighbour."""
     for batch in batches:
-        fields = [("page_id", batch.schema.field("page_id").type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.binary()), ("hashes", pa.binary()), ("lines", pa.list_(pa.string()))]
+        fields = [("page_id", batch.schema.field("page_id").type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.binary()), ("hashes", pa.binary()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())]
 
         def rows(batch=batch):
             for i, url, host, path, html in _parts(batch, ("page_id", "url", "host", "path", "html")):
                 page = lines(html or "")
-                if own := _open(page):
-                    digest = hashlib.blake2b(b"".join(bytes([kind]) + _hash(x) for x, kind in page), digest_size=HASH_BYTES).digest()
-                    yield i, url, host, path, digest, b"".join(map(_hash, own)), own if _needs(page) else None
+                if any(kind != MAIN for _, kind in page):
+                    hashes, kinds = b"".join(_hash(x) for x, _ in page), bytes(kind for _, kind in page)
+                    digest = hashlib.blake2b(kinds + hashes, digest_size=HASH_BYTES).digest()
+                    yield i, url, host, path, digest, hashes, [x for x, _ in page] if _needs(page) else None, kinds
 
         yield from _chunks(rows(), fields)
 
@@ -305,8 +378,7 @@ def _differenced(carried):
         lines_, digest_ = None, None
 
         def text(own, neighbour):
-            gone = shared_lines(list(map(_hash, own)), _split(neighbour)) if neighbour else ()
-            return "\n".join(x for k, x in enumerate(own) if k not in gone)
+            return differenced(own, shared_lines([_hash(x) for x, _ in own], _split(neighbour)) if neighbour else set())
 
         def settled(neighbour):
             done = text(lines_, neighbour)
@@ -316,7 +388,7 @@ def _differenced(carried):
 
         def rows(batch):
             nonlocal now, state, after, lines_, digest_
-            for part, i, url, host, digest, hashes, own in _parts(batch, ("part", "page_id", "url", "host", "digest", "hashes", "lines")):
+            for part, i, url, host, digest, hashes, own, kinds in _parts(batch, ("part", "page_id", "url", "host", "digest", "hashes", "lines", "kinds")):
                 if host != now:
                     if waiting:
                         yield from settled(None)
@@ -330,6 +402,7 @@ def _differenced(carried):
                     yield from settled(hashes)
                 neighbour = _other(state, digest)
                 if own is not None:
+                    own = list(zip(own, kinds, strict=True))
                     if neighbour is None:
                         waiting.append((i, url))
                         lines_, digest_ = own, digest
@@ -351,7 +424,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per input row: page_id, url, text (lines joined by a newline, empty if none) and n_chars (its code points).
 
     Whole pages are read. A null or empty page has an empty text. A null URL, or one without ``://``, has the host ''. Rows with null
-    or repeated ids stay; pages with the same URL are neighbours. An empty table gives an empty result. Only the three columns are read.
+    or repeated ids stay; pages with the same URL are neighbours, in order of their ids and then of a digest of their lines. An empty
+    table gives an empty result. Only the three columns are read, so others may have any name. A page of any length is held by one task.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -361,14 +435,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     texts = f"page_id {kind}, url string, text string, n_chars long"
     decided = source.mapInArrow(_decided, texts)
     hosted = source.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    undecided = hosted.mapInArrow(_undecided, f"page_id {kind}, url string, host string, path string, digest binary, hashes binary, lines array<string>")
+    undecided = hosted.mapInArrow(_undecided, f"page_id {kind}, url string, host string, path string, digest binary, hashes binary, lines array<string>, kinds binary")
     order = ["host", "path", "page_id", "digest"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(undecided.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("path")).withColumn("part", F.spark_partition_id())
+    ordered = checkpointed(undecided.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("path")).withColumn("part", F.spark_partition_id())
     names = ", ".join(f"{c} {'string' if c in ('first', 'last') else 'int' if c == 'part' else 'binary'}" for c in _END_NAMES)
     ends = ordered.select("part", "host", "digest", "hashes").mapInArrow(_ends, names).collect()  # a row a partition
     return decided.union(ordered.mapInArrow(_differenced(_carried(ends)), texts))
 
 
 def op8_html_extract(spark, sf_dir: str) -> DataFrame:
+    """The contract's rows: extract over all of ``pages``."""
     return extract(table(spark, sf_dir, "pages"))
