@@ -34,13 +34,22 @@ def only(df):
     return rows[0].asDict(recursive=True)
 
 
-def test_merge_of_two_profiles(spark):
-    a = profile("resume_docx", 1, full_name="Jane", emails=["j@x.com"], skills=["Python", "Git"])
-    b = profile("ats_json", 0, conf=0.9, full_name="Jane Roe", emails=["jr@x.com"], skills=["Python", "SQL"])
-    got = only(fuse(frame(spark, a, b)))
-    skills = {s["name"]: s["confidence"] for s in got["skills"]}
-    assert got["full_name"] == "Jane Roe" and got["emails"] == ["jr@x.com"] and skills == {"Python": 1.0, "SQL": 0.9, "Git": 0.8}
-    assert [s["name"] for s in got["skills"]] == ["Python", "SQL", "Git"]
+def test_conflicts_between_three_sources(spark):
+    rows = [
+        profile("resume_txt", 2, conf=0.6, full_name="Tomas Quill", headline="Glass Blower", skills=["Kilns", "Welding"], emails=["tq@kiln.example"]),
+        profile("recruiter_csv", 1, conf=0.85, full_name="T. Quill", skills=["Welding"], phones=["+447700900111"]),
+        profile("recruiter_notes", 3, conf=0.7, full_name="Tomas", headline="Artist", skills=["Kilns", "Etching"], emails=["tomas@kiln.example"], phones=["+447700900222"]),
+    ]
+    got = only(fuse(frame(spark, *rows)))
+    assert (got["full_name"], got["headline"], got["emails"], got["phones"]) == ("T. Quill", "Artist", ["tomas@kiln.example"], ["+447700900111"])
+    # each agreement adds the bonus to the greater confidence; sources stand in their order
+    bonus = Settings().agreement_bonus
+    assert [(s["name"], round(s["confidence"], 6), s["sources"]) for s in got["skills"]] == [
+        ("Welding", round(0.85 + bonus, 6), ["recruiter_csv", "resume_txt"]),
+        ("Kilns", round(0.7 + bonus, 6), ["resume_txt", "recruiter_notes"]),
+        ("Etching", 0.7, ["recruiter_notes"]),
+    ]
+    assert {(p["field"], p["source"]) for p in got["provenance"]} == {("full_name", "recruiter_csv"), ("headline", "recruiter_notes"), ("emails", "recruiter_notes"), ("phones", "recruiter_csv")}
 
 
 def test_ties_folds_and_order(spark):
@@ -74,7 +83,7 @@ def test_no_email_and_no_name(spark):
     assert fuse(frame(spark, profile("a", 0))).count() == 0
 
 
-RECORD = {"candidate_key": "k", "full_name": "Jane", "emails": ["a@x.com", "b@x.com"], "phones": ["9876543210"], "skills": [("Python", 0.9, ["s"]), ("py", None, None)], "location": ("Pune", "", None), "overall_confidence": 0.85}
+RECORD = {"candidate_key": "k", "full_name": "Jane", "emails": ["a@x.com", "b@x.com"], "phones": ["+447700900321"], "skills": [("Python", 0.9, ["s"]), ("py", None, None)], "location": ("Pune", "", None), "overall_confidence": 0.85}
 
 
 def record(spark, **changes):
@@ -87,7 +96,7 @@ def test_projection_paths(spark):
     config = {"fields": [{"path": "name", "from": "full_name"}, {"path": "first", "from": "emails[0]"}, {"path": "far", "from": "emails[7]"}, {"path": "skills", "from": "skills[].name", "normalize": "canonical"}, {"path": "city", "from": "location.city"}, {"path": "bad", "from": "experience[0].title"}, {"path": "phones", "normalize": "E164"}, {"path": "location"}], "include_confidence": True, "include_provenance": True}
     got = only(project(record(spark), config))
     assert (got["name"], got["first"], got["far"], got["skills"], got["city"], got["bad"]) == ("Jane", "a@x.com", None, ["Python", "Python"], "Pune", None)
-    assert got["phones"] == ["+919876543210"] and got["location"] == {"city": "Pune", "region": None, "country": None}
+    assert got["phones"] == ["+447700900321"] and got["location"] == {"city": "Pune", "region": None, "country": None}
     assert got["overall_confidence"] == 0.85 and got["provenance"] == []
     assert json.loads(only(project_json(record(spark), config))["projected"]) == {k: v for k, v in got.items() if k != "candidate_key"}
 
@@ -123,9 +132,10 @@ def test_validation(spark):
 
 
 def sample_inputs(spark):
-    ats = spark.createDataFrame([("k", '{"candidate_name":"Jane Roe","mail":"JANE@X.COM","mobile":"9876543210","skills":["py","sql","git"]}')], "candidate_key string, raw string")
-    csv = spark.createDataFrame([("k", "Jane A Roe", "j@x.com", "+919502235163", "Acme", "Web Intern")], "candidate_key string, name string, email string, phone string, current_company string, title string")
-    text = "Candidate: Jane A Roe\nCurrent Role: Developer Intern\nLocation: Chennai, India\nPhone: +91 9502235163\nEmail: j@x.com\nSkills: Python, Java, MySQL, Git, GitHub\nExperience: 3 years of experience."
+    raw = {"full_name": "Ines Calder", "emails": ["Ines@Corvid.example", "other@corvid.example"], "technologies": ["postgres", "py"], "exp_years": 4, "academic_history": [{"college": "Porto Tech", "degree": "MSc", "major": "Botany", "end_year": 2011}]}
+    ats = spark.createDataFrame([("k", json.dumps(raw))], "candidate_key string, raw string")
+    csv = spark.createDataFrame([("k", "I. Calder", "ic@corvid.example", "+44 7700 900123", "Corvid Labs", "Field Botanist")], "candidate_key string, candidate_name string, mail string, contact string, company string, role string")
+    text = "Notes on: Ines M Calder\nHeadline: Plant Hunter\nShe brings 6.5 yrs of experience.\nTechnologies: Rust | Python & Seeds\nMail to ines@seeds.example"
     return Inputs(ats=ats, csv=csv, notes=spark.createDataFrame([("k", text)], "candidate_key string, text string"))
 
 
@@ -135,43 +145,45 @@ CONFIG = {"fields": [{"path": "full_name", "required": True}, {"path": "primary_
 def test_whole_pipeline(spark):
     got = run(sample_inputs(spark), CONFIG)
     r = only(got.fused)
-    assert (r["full_name"], r["headline"], r["years_experience"], r["emails"], r["phones"]) == ("Jane Roe", "Web Intern", 3.0, ["jane@x.com"], ["+919876543210"])
-    assert [(s["name"], round(s["confidence"], 2)) for s in r["skills"]] == [("Python", 0.95), ("Git", 0.95), ("SQL", 0.85), ("Java", 0.7), ("MySQL", 0.7), ("GitHub", 0.7)]
-    assert r["overall_confidence"] == 0.79 and r["location"]["city"] == "Chennai" and len(r["experience"]) == 1
-    assert [p["field"] for p in r["provenance"]] == ["full_name", "headline", "years_experience", "location", "emails", "phones"]
+    assert (r["full_name"], r["headline"], r["years_experience"], r["emails"], r["phones"]) == ("Ines Calder", "Field Botanist", 4.0, ["ines@corvid.example"], ["+447700900123"])
+    assert sorted(s["name"] for s in r["skills"]) == ["Python", "Rust", "Seeds", "postgres"] and r["skills"][0]["name"] == "Python" and r["skills"][0]["sources"] == ["ats_json", "recruiter_notes"]
+    assert r["location"] is None and [(e["company"], e["title"]) for e in r["experience"]] == [("Corvid Labs", "Field Botanist")]
+    assert r["education"] == [{"institution": "Porto Tech", "degree": "MSc", "field": "Botany", "end_year": 2011}]
+    assert [p["field"] for p in r["provenance"]] == ["full_name", "headline", "years_experience", "emails", "phones"]
     assert only(got.validated)["validation"]["status"] == "PASS" and got.quarantined.count() == 0
-    assert json.loads(only(got.projected_json)["projected"])["primary_email"] == "jane@x.com"
+    assert json.loads(only(got.projected_json)["projected"])["primary_email"] == "ines@corvid.example"
 
 
 def test_store(spark, tmp_path):
     got = run(sample_inputs(spark), CONFIG)
+    confidence = only(got.fused)["overall_confidence"]
     table = store.CandidateStore(spark, str(tmp_path / "store"))
     table.init()
     rows = store.store_rows(got.fused, got.projected_json)
     assert table.save(rows) == (1, 1) and table.save(rows.union(rows)) == (2, 2)
     assert [r["id"] for r in table.latest(2).collect()] == [3, 2]
     row = table.get(2).first()
-    assert json.loads(row["final_profile"])["links"] is None and row["location"] == "Chennai, IN" and row["skills_count"] == 6
+    assert json.loads(row["final_profile"])["links"] is None and row["location"] == "" and row["skills_count"] == 4
     stats = table.stats().first()
-    assert (stats["total"], stats["avg_confidence"], stats["avg_skills"]) == (3, 0.79, 6.0)
+    assert (stats["total"], stats["avg_confidence"], stats["avg_skills"]) == (3, confidence, 4.0)
     table.delete(3)
     assert [r["id"] for r in table.latest().collect()] == [2, 1] and table.save(rows) == (4, 1)
     table.clear()
     assert table.rows().count() == 0 and table.save(rows) == (5, 1) and table.get(9).count() == 0
     assert len(json.loads(store.json_array(table.export(), "projected_profile").first()["document"])) == 1
     card = only(display.cards(got.fused))
-    assert card["place"] == "Chennai, IN" and card["confidence_percent"] == 79
+    assert card["place"] == display.DASH and card["confidence_percent"] == int(confidence * 100)
 
 
 def test_command_line(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"name":"Jane Roe","mail":"j@x.com","mobile":"9876543210","skills":["py"]}')
+    (tmp_path / "a.json").write_text('{"candidate_name":"Pavel Moss","email":"pm@moss.example","mobile":"+44 7700 900888","skill_set":["py"]}')
     (tmp_path / "c.json").write_text(json.dumps(CONFIG))
-    (tmp_path / "r.txt").write_text("Jane Roe\nDev\nlinkedin.com/in/jane-roe\n")
+    (tmp_path / "r.txt").write_text("Pavel Moss\nGardener\nlinkedin.com/in/pavel-moss\n")
     out = tmp_path / "out/profile.json"
     args = ["--ats", str(tmp_path / "a.json"), "--resume", str(tmp_path / "r.txt"), "--config", str(tmp_path / "c.json"), "--output", str(out)]
     assert cli.main(args, spark) == 0
-    assert json.loads(out.read_text())["full_name"] == "Jane Roe"
-    assert json.loads((tmp_path / "out/canonical_profile.json").read_text())["links"]["linkedin"] == "https://linkedin.com/in/jane-roe"
+    assert json.loads(out.read_text())["full_name"] == "Pavel Moss"
+    assert json.loads((tmp_path / "out/canonical_profile.json").read_text())["links"]["linkedin"] == "https://linkedin.com/in/pavel-moss"
     assert json.loads((tmp_path / "out/validation_report.json").read_text())["status"] == "PASS"
     assert cli.main(["--ats", "none", "--resume", "none", "--config", str(tmp_path / "c.json")], spark) == 1
 

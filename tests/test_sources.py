@@ -8,7 +8,7 @@ from fusewright.sources import ats, files, github, linkedin, notes, recruiter_cs
 
 RESUME = """JANE DOE
 Data Engineer
-Pune, India | jane@x.com | +91 98765 43210 | github.com/jane
+Pune, India | jane@x.com | +44 7700 900777 | github.com/jane
 SKILLS
 Languages: Python, SQL (MySQL)
 EXPERIENCE
@@ -58,11 +58,11 @@ def test_csv(spark, tmp_path):
 
 
 def test_notes(spark):
-    text = "Candidate: Jane Roe\nCurrent Role: Developer Intern\nLocation: Chennai, India\nPhone: +91 9502235163\nEmail: j@x.com\nSkills: Python, Go & Git\nExperience: 3 years of experience."
+    text = "Met at the harbour fair\nName: Oskar Lind\nTitle: Boat Builder\nTurku, Finland\nReach him at oskar@lind.example or +44 7700 900555\nTechnologies: Rust | Sails & Knots\n12.5 yrs of experience with wood"
     got = {r["candidate_key"]: r for r in notes.parse_notes(spark.createDataFrame([("a", text), ("b", "Bo Li\nx"), ("c", None)], "candidate_key string, text string")).collect()}
     a = got["a"]
-    assert (a["full_name"]["value"], a["headline"]["value"], a["years_experience"]["value"]) == ("Jane Roe", "Developer Intern", 3.0)
-    assert [s["name"] for s in a["skills"]] == ["Python", "Go", "Git"] and a["location"]["value"]["country"] == "India"
+    assert (a["full_name"]["value"], a["headline"]["value"], a["years_experience"]["value"]) == ("Oskar Lind", "Boat Builder", 12.5)
+    assert [s["name"] for s in a["skills"]] == ["Rust", "Sails", "Knots"] and a["location"]["value"]["country"] == "Finland" and a["emails"]["value"] == ["oskar@lind.example"]
     assert got["b"]["full_name"]["value"] == "Bo Li" and got["c"]["error"] == "no text"
 
 
