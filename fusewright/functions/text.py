@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -63,6 +62,7 @@ def lines_of(text: Column) -> Column:
 
 #: Fixed list of top-level domains before which white space around a dot is closed up.
 TLDS = "com|org|net|edu|gov|in|io|co|info|me"
+#: Fixed pattern.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
@@ -70,9 +70,12 @@ def extract_emails(text: Column) -> Column:
     """Distinct addresses in order of first appearance; white space around @ and before common domains is closed up."""
     closed = F.regexp_replace(text, r"(?U)\s*@\s*", "@")
     closed = F.regexp_replace(closed, rf"(?iU)\s*\.\s*({TLDS})\b", ".$1")
-    return F.array_distinct(F.regexp_extract_all(closed, F.lit(EMAIL), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(closed, F.lit(EMAIL), F.lit(0)))
+    # most texts have none, and need not be rewritten to see it
+    return F.when(~F.contains(text, F.lit("@")), F.array().cast("array<string>")).otherwise(found)
 
 
+#: Fixed pattern.
 PHONE = r"\+?\d[\d\s\-().]{8,14}\d"
 
 
@@ -82,6 +85,7 @@ def extract_phones(text: Column) -> Column:
     return F.transform(F.filter(found, lambda p: F.length(F.regexp_replace(p, r"[^\d+]", "")).between(10, 15)), strip_ws)
 
 
+#: Fixed pattern.
 URL = r"https?://[^\s|]+|[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}/[^\s|]+"
 PROFILE_URL = r"\b(?:github\.com/[^\s|]+|linkedin\.com/in/[^\s|]+)\b"
 
@@ -104,6 +108,7 @@ def any_link(links: Column) -> Column:
     return F.coalesce(links["linkedin"], links["github"], links["portfolio"]).isNotNull() | (F.size(links["other"]) > 0)
 
 
+#: Fixed pattern.
 PLACE = r"(?U)^([A-Za-z\s]+),\s*([A-Za-z\s]+)$"
 #: Countries that are looked for anywhere in a text.
 COUNTRIES = "India|USA|United States|UK|United Kingdom|Germany|Singapore|Canada|Australia"

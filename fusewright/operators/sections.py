@@ -13,7 +13,7 @@ from fusewright.functions import text as X
 from fusewright.functions.normalize import MONTHS, YEAR, normalize_date
 from fusewright.sources.profile import job, school
 
-#: Section headers, in the order in which they are tried.
+#: Section headers, in the order in which they are tried.
 HEADERS = (
     "PROFESSIONAL SUMMARY",
     "SUMMARY",
@@ -31,6 +31,7 @@ HEADERS = (
     "LANGUAGES",
     "DECLARATION",
 )
+#: Words of job titles, degrees and well-known skills, and how spans and scores are written.
 JOB_WORDS = ("intern", "developer", "engineer", "designer", "analyst", "lead", "manager", "architect", "specialist", "consultant", "ambassador", "executive")
 DEGREE_WORDS = ("b.tech", "b.e", "b.sc", "bachelor", "master", "phd", "intermediate", "secondary", "class xii", "class x", "cbse", "icse", "school")
 SKILL_WORDS = ("python", "java", "mysql", "html", "css", "git", "github", "javascript", "cloud computing", "oop", "docker")

@@ -33,13 +33,30 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--linkedin", help="address of a LinkedIn profile")
     parser.add_argument("--config", default="configs/default.json", help="projection configuration, JSON")
     parser.add_argument("--settings", default="configs/settings.json", help="confidences and bonus, JSON")
+    parser.add_argument("--log", help="file that the log goes to as well, such as logs/pipeline.log")
     parser.add_argument("--output", default="output/candidate_profile.json", help="where the projected record goes")
     return parser.parse_args(argv)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args, began = arguments(argv), time.time()
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
+    layout = "%(asctime)s %(levelname)s %(message)s"
+    logging.basicConfig(level=logging.INFO, format=layout)
+    kept = None
+    if args.log:
+        os.makedirs(os.path.dirname(args.log) or ".", exist_ok=True)
+        kept = logging.FileHandler(args.log, encoding="utf-8")
+        kept.setFormatter(logging.Formatter(layout))
+        log.addHandler(kept)
+    try:
+        return _run(args, began, spark)
+    finally:
+        if kept:
+            log.removeHandler(kept)
+            kept.close()
+
+
+def _run(args: argparse.Namespace, began: float, spark: SparkSession | None) -> int:
     there = {k: v for k in ("ats", "resume", "csv", "notes") if (v := getattr(args, k)) and os.path.exists(v)}
     if not there and not (args.github or args.linkedin):
         log.error("No valid candidate sources; nothing is written")
@@ -54,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     inputs = Inputs(
         ats=keyed(read_texts(spark, there["ats"], "raw")) if "ats" in there else None,
         resumes=keyed(read_resumes(spark, there["resume"])) if "resume" in there else None,
-        csv=keyed(first_row(read_csv(spark, there["csv"]))) if "csv" in there else None,
+        csv=keyed(first_row(read_csv(spark, there["csv"], position=True))) if "csv" in there else None,
         notes=keyed(read_texts(spark, there["notes"])) if "notes" in there else None,
         urls=spark.createDataFrame([(KEY, args.github, args.linkedin)], "candidate_key string, github string, linkedin string") if args.github or args.linkedin else None,
     )

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusewright.functions.text import truthy
-from fusewright.sources.store import location_text
+from fusewright.sources.store import iso_utc, location_text
 
 DASH = "—"
 
@@ -31,12 +31,31 @@ def cards(fused: DataFrame) -> DataFrame:
     )
 
 
+class Session:
+    """The results of one user's runs, newest first; only results that hold something are kept."""
+
+    def __init__(self):
+        self.runs: list[dict] = []
+
+    def append(self, result: dict | None) -> None:
+        if result:
+            self.runs.append(result)
+
+    def clear(self) -> None:
+        self.runs.clear()
+
+    def newest_first(self) -> list[tuple[int, dict]]:
+        """(number, result): the first run has number 1."""
+        return list(enumerate(self.runs, 1))[::-1]
+
+
 def history(session: DataFrame, seq: str = "seq") -> DataFrame:
-    """A session's runs, newest first, each with its number. A session is one user's; it is ordered in one task."""
+    """A session's runs as a frame, newest first, each with its number. A session is one user's; it is ordered in one task."""
     return session.withColumn("number", F.row_number().over(Window.orderBy(seq))).orderBy(F.desc(seq))
 
 
-def grid(page: DataFrame, order: str = "id", width: int = 3) -> DataFrame:
-    """A page of rows (see CandidateStore.latest) with the line of the grid each is on."""
+def grid(page: DataFrame, order: str = "id", width: int = 3, limit: int = 200) -> DataFrame:
+    """A page of at most ``limit`` rows (see CandidateStore.latest), newest first, with the line of the grid each is on."""
     place = F.row_number().over(Window.orderBy(F.desc(order))) - 1
-    return page.withColumn("line", F.floor(place / width)).withColumn("processed_on", F.substring(F.col("processed_at").cast("string"), 1, 10))
+    page = page.orderBy(F.desc(order)).limit(limit)
+    return page.withColumn("line", F.floor(place / width)).withColumn("processed_on", F.substring(iso_utc(F.col("processed_at")), 1, 10))

@@ -12,8 +12,9 @@ from fusewright.functions import text as X
 from fusewright.operators import fuse as FU
 from fusewright.operators import sections as S
 from fusewright.operators.project import project, project_json
-from fusewright.operators.validate import validate, validate_projected
-from fusewright.plans.display import cards, percent
+from fusewright.operators.validate import accepted, validate, validate_projected
+from fusewright.plans.display import cards, grid, percent
+from fusewright.plans.staging import new_folder
 from fusewright.schema import EDUCATION, PROFILE_FIELDS
 from fusewright.settings import Settings
 from fusewright.sources import store
@@ -251,34 +252,6 @@ def section_segment(spark, sf):
     return blocks.where(F.size("b.body") > 0).select("doc_id", F.col("block").cast("long").alias("block"), "b.name", F.size("b.body").cast("long").alias("n_lines"), F.md5(joined(F.col("b.body"), "~")).alias("digest"))
 
 
-def _talks(spark, sf) -> DataFrame:
-    """(conv_id, lines): each turn's role and the start of its text, in order."""
-    turns = table(spark, sf, "conversations").select("conv_id", F.struct("turn", F.concat_ws(" ", "role", F.substring("text", 1, 30)).alias("x")).alias("t"))
-    return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]).alias("l"))
-
-
-@query("experience_sessionize", """
-WITH t AS (SELECT conv_id, turn, role || ' ' || substr(text, 1, 30) AS x, role = 'user' AS opens FROM conversations),
-g AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn, x) AS entry FROM t)
-SELECT conv_id, CAST(entry AS BIGINT) AS entry, max(x) FILTER (WHERE opens) AS first, count(*) FILTER (WHERE NOT opens) AS n_rest, coalesce(string_agg(x, '~' ORDER BY turn, x) FILTER (WHERE NOT opens), '') AS rest
-FROM g WHERE entry > 0 GROUP BY ALL
-""")
-def experience_sessionize(spark, sf):
-    label = lambda x: F.when(x.startswith("user "), x)
-    blocks = _talks(spark, sf).select("conv_id", F.posexplode(S.cut_at(F.col("l"), label)).alias("entry", "b")).where("entry > 0")
-    return blocks.select("conv_id", F.col("entry").cast("long").alias("entry"), F.col("b.name").alias("first"), F.size("b.body").cast("long").alias("n_rest"), joined(F.col("b.body"), "~").alias("rest"))
-
-
-@query("education_lookahead", """
-WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || ' ' || substr(text, 1, 30)) AS i, role || ' ' || substr(text, 1, 30) AS x, role <> 'assistant' AS flag FROM conversations),
-r AS (SELECT *, i - max(CASE WHEN NOT flag THEN i ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS k, lead(x) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM t)
-SELECT conv_id, x AS line, after FROM r WHERE flag AND k % 2 = 1
-""")
-def education_lookahead(spark, sf):
-    found = _talks(spark, sf).select("conv_id", F.explode(S.lookahead(F.col("l"), lambda x: ~x.startswith("assistant "))).alias("e"))
-    return found.select("conv_id", "e.line", F.col("e.next").alias("after"))
-
-
 def _whole_talks(spark, sf) -> DataFrame:
     """(conv_id, lines): each turn's role and whole text, in order; a missing role or text is empty."""
     line = F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("x")
@@ -545,11 +518,133 @@ def store_stats(spark, sf):
     return store.stats(_stored(spark, sf))
 
 
+def _saved(spark, sf) -> store.CandidateStore:
+    """The table with all customers saved, in the order of their keys."""
+    saved = store.CandidateStore(spark, new_folder(spark))
+    saved.init()
+    saved.save(_stored(spark, sf).orderBy("id").drop("id"))
+    return saved
+
+
 @query("store_latest", "SELECT CAST(c_custkey + 1 AS BIGINT) AS id, md5(c_name) AS candidate_id, c_name AS full_name, c_nationkey AS skills_count FROM customer ORDER BY c_custkey DESC LIMIT 200")
 def store_latest(spark, sf):
-    return _stored(spark, sf).select(*store.LISTED).orderBy(F.desc("id")).limit(200).select("id", "candidate_id", "full_name", "skills_count")
+    return _saved(spark, sf).latest().select("id", "candidate_id", "full_name", "skills_count")
 
 
 @query("store_lookup", "SELECT CAST(c_custkey + 1 AS BIGINT) AS id, c_name AS full_name FROM customer WHERE c_custkey = 41")
 def store_lookup(spark, sf):
-    return _stored(spark, sf).where(F.col("id") == 42).select("id", "full_name")
+    return _saved(spark, sf).get(42).select("id", "full_name")
+
+
+@query("store_record", """SELECT CAST(c_custkey + 1 AS BIGINT) AS id, md5(c_name) AS candidate_id, nullif(c_name, 'Customer#000000003') AS full_name, 'c' || c_custkey || '@x.com' AS email,
+ CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS skill, 'C' || c_custkey AS shown FROM customer""")
+def store_record(spark, sf):
+    records = customer_records(spark, sf)
+    final = store.record_json(records, [c for c in records.columns if c != "candidate_key"])
+    rows = records.select((F.col("candidate_key").cast("long") + 1).alias("id"), "candidate_id", final.alias("final_profile"), F.concat(F.lit('{"shown": "C'), "candidate_key", F.lit('", "more": [1]}')).alias("projected_profile"))
+    got = store.decoded(rows)
+    return got.select("id", "candidate_id", "final_profile.full_name", F.get("final_profile.emails", 0).alias("email"), F.get("final_profile.skills", 0)["name"].alias("skill"), F.try_variant_get("projected_profile", "$.shown", "string").alias("shown"))
+
+
+@query("display_grid", "SELECT c_custkey + 1 AS id, CAST((row_number() OVER (ORDER BY c_custkey DESC) - 1) // 3 AS BIGINT) AS line, '2024-02-29' AS processed_on FROM customer ORDER BY c_custkey DESC LIMIT 200")
+def display_grid(spark, sf):
+    return grid(store.latest(_stored(spark, sf).withColumn("processed_at", F.expr("timestamp '2024-02-29 23:59:59'")))).select("id", "line", "processed_on")
+
+
+@query("extract_links_html", r"""
+WITH u AS (SELECT page_id, list_transform(list_concat(regexp_extract_all(html, 'https?://[^\s|]+|[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}/[^\s|]+'), regexp_extract_all(html, '\b(?:github\.com/[^\s|]+|linkedin\.com/in/[^\s|]+)\b')), lambda x: rtrim(x, '.,;|)')) AS l FROM pages),
+o AS (SELECT page_id, list_sort(list_distinct(list_filter(l, lambda x: NOT regexp_matches(lower(x), 'linkedin\.com|github\.com|gmail\.com|email\.com')))) AS l FROM u)
+SELECT page_id, CAST(len(l) AS BIGINT) AS n_other, md5(array_to_string(l, '~')) AS digest FROM o
+""")
+def extract_links_html(spark, sf):
+    found = table(spark, sf, "pages").select("page_id", X.extract_links(F.col("html"))["other"].alias("l"))
+    return found.select("page_id", F.size("l").cast("long").alias("n_other"), F.md5(joined(F.array_sort("l"), "~")).alias("digest"))
+
+
+# ----------------------------------------------------------------------------------- cases that the queries above leave out
+
+_HEADERS_SQL = "['PROFESSIONAL SUMMARY', 'SUMMARY', 'TECHNICAL SKILLS', 'SKILLS', 'INTERNSHIP EXPERIENCE', 'WORK EXPERIENCE', 'EXPERIENCE', 'INTERNSHIPS', 'PROJECTS', 'PROJECT', 'EDUCATION', 'CERTIFICATIONS', 'ACHIEVEMENTS', 'LANGUAGES', 'DECLARATION']"
+
+
+@query("section_headers", f"""
+WITH c AS (SELECT c_custkey, ({_HEADERS_SQL})[1 + c_custkey % 15] AS h, c_name FROM customer)
+SELECT c_custkey, CAST(0 AS BIGINT) AS block, 'HEADER' AS name, c_name || '~' || 'Not ' || h || ' but more' AS body FROM c
+UNION ALL SELECT c_custkey, 1, h, 'a ' || c_custkey FROM c UNION ALL SELECT c_custkey, 2, 'SKILLS', 'Langs~b' FROM c UNION ALL SELECT c_custkey, 3, 'LANGUAGES', '' FROM c
+""")
+def section_headers(spark, sf):
+    key = F.col("c_custkey")
+    h = F.element_at(F.array(*[F.lit(x) for x in S.HEADERS]), (key % 15 + 1).cast("int"))
+    # as it is, as a first or last part in any case, or inside a short line of capitals
+    line = F.when(key % 4 == 0, h).when(key % 4 == 1, F.concat(F.lower(h), F.lit(" so far"))).when(key % 4 == 2, F.concat(F.lit("my "), F.lower(h))).otherwise(F.concat(F.lit("X"), h, F.lit("*")))
+    text = F.concat("c_name", F.lit("\n  Not "), h, F.lit(" but more\n\n"), line, F.lit("\na "), key, F.lit("\nTools and Skills\nLangs\nb\nlanguages\n"))
+    return table(spark, sf, "customer").select("c_custkey", F.posexplode(S.segment(text)).alias("block", "b")).select("c_custkey", F.col("block").cast("long").alias("block"), "b.name", joined(F.col("b.body"), "~").alias("body"))
+
+
+@query("source_notes_bare", """SELECT CAST(c_custkey AS VARCHAR) AS candidate_key, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS full_name,
+ CASE c_custkey % 4 WHEN 0 THEN 'Base ' || chr(10) || 'Pune' WHEN 1 THEN 'Old Town of Bergen' END AS city, CASE c_custkey % 4 WHEN 0 THEN 'India' WHEN 1 THEN 'Norway' END AS country FROM customer""")
+def source_notes_bare(spark, sf):
+    key = F.col("c_custkey")
+    first = F.when(key % 3 == 0, F.concat(F.lit("notes on:  "), "c_name")).when(key % 3 == 1, F.col("c_name")).otherwise(F.lit("a talk of five words"))
+    where = F.when(key % 4 == 0, F.lit("5\nBase \nPune, India - 7")).when(key % 4 == 1, F.lit("x | Old Town of Bergen, Norway | y")).otherwise(F.lit("Bergen; Norway"))
+    found = parse_notes(table(spark, sf, "customer").select(key.cast("string").alias("candidate_key"), F.concat(first, F.lit("\n"), where).alias("text")))
+    return found.select("candidate_key", F.col("full_name.value").alias("full_name"), F.col("location.value.city").alias("city"), F.col("location.value.country").alias("country"))
+
+
+@query("source_ats_shapes", """SELECT CAST(s_suppkey AS VARCHAR) AS candidate_key, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS full_name,
+ CASE s_suppkey % 4 WHEN 0 THEN 'https://linkedin.com/in/b' WHEN 1 THEN 'l' || s_suppkey WHEN 2 THEN 'https://linkedin.com/in/r' END AS linkedin, CASE s_suppkey % 4 WHEN 0 THEN 'https://github.com/u' || s_suppkey END AS github,
+ CASE s_suppkey % 4 WHEN 0 THEN 'x.org' WHEN 1 THEN 'o1|o2' WHEN 2 THEN '' END AS other, CASE WHEN s_suppkey % 3 > 0 THEN 'School ' || s_nationkey END AS institution, CASE WHEN s_suppkey % 3 > 0 THEN 'Law' END AS field,
+ CASE s_suppkey % 3 WHEN 1 THEN CAST(1990 + s_nationkey AS INTEGER) END AS end_year, CASE s_suppkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS n_schools FROM supplier""")
+def source_ats_shapes(spark, sf):
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    lit = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    # an alias that is there, but null, hides the later ones
+    name = F.when(key % 2 == 0, lit('"profile": {"name": "', F.col("s_name"), '"}')).otherwise(lit('"candidate_name": null, "name": "', F.col("s_name"), '"'))
+    links = (
+        F.when(key % 4 == 0, lit(', "links": ["https://linkedin.com/in/a", "https://github.com/u', key, '", "x.org", "https://linkedin.com/in/b"]'))
+        .when(key % 4 == 1, lit(', "urls": {"linkedin": "l', key, '", "github": "", "other": ["o1", "", "o2"]}'))
+        .when(key % 4 == 2, F.lit(', "linkedin_url": "https://linkedin.com/in/r", "links": 0'))
+        .otherwise(F.lit(""))
+    )
+    schools = F.when(key % 3 == 1, lit(', "academic_history": [{"college": "School ', nation, '", "major": "Law", "end_year": "', 1990 + nation, '"}, 5]')).when(key % 3 == 2, lit(', "education": [{"institution": "School ', nation, '", "field_of_study": "Law", "end_year": "soon"}]')).otherwise(F.lit(', "education": {}'))
+    found = parse_ats(table(spark, sf, "supplier").select(key.cast("string").alias("candidate_key"), lit("{", name, links, schools, "}").alias("raw")))
+    at, school_ = F.col("links.value"), F.get("education", 0)
+    return found.select("candidate_key", F.col("full_name.value").alias("full_name"), at["linkedin"].alias("linkedin"), X.truthy(at["github"]).alias("github"), joined(at["other"]).alias("other"), school_["institution"].alias("institution"), school_["field"].alias("field"), school_["end_year"].alias("end_year"), F.when(F.col("education").isNotNull(), F.size("education")).alias("n_schools"))
+
+
+@query("resume_keywords", """SELECT CAST(c_custkey AS VARCHAR) AS candidate_key, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 3 THEN 'Ann Mary-Lou' END AS full_name, 'Line ' || c_custkey AS headline,
+ CASE c_custkey % 3 WHEN 0 THEN 'Python|Mysql|OOP' WHEN 1 THEN 'Docker' END AS skills FROM customer""")
+def resume_keywords(spark, sf):
+    key = F.col("c_custkey")
+    first = F.when(key % 4 == 0, F.col("c_name")).when(key % 4 == 1, F.lit("one two three four five six seven")).when(key % 4 == 2, F.lit("MY RESUME")).otherwise(F.lit("ANN MARY-LOU"))
+    words = F.when(key % 3 == 0, F.lit("uses python, oop and MySQL")).when(key % 3 == 1, F.lit("ships with Docker, pythonic")).otherwise(F.lit("cooks"))
+    raw = table(spark, sf, "customer").select(key.cast("string").alias("candidate_key"), F.concat(first, F.lit("\nLine "), key, F.lit("\n"), words).alias("text"), F.lit("md").alias("ext"))
+    found = parse_resumes(raw)
+    return found.select("candidate_key", F.col("full_name.value").alias("full_name"), F.col("headline.value").alias("headline"), joined(F.transform("skills", lambda s: s["name"])).alias("skills"))
+
+
+@query("resolve_places", """
+WITH s AS (SELECT s_suppkey % 20 AS k, s_suppkey, s_nationkey FROM supplier), a AS (SELECT k, arg_max(s_nationkey, {'c': s_suppkey % 3, 'o': -s_suppkey}) FILTER (WHERE s_suppkey % 2 = 0) AS n, max({'c': s_suppkey % 3, 'o': -s_suppkey}) FILTER (WHERE s_suppkey % 5 > 0) AS p FROM s GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS candidate_key, 'City' || n AS city, 'phone ' || (-p.o) AS phone, 2 - CAST(n IS NULL AS INTEGER) - CAST(p IS NULL AS INTEGER) AS n_trail FROM a WHERE n IS NOT NULL OR p IS NOT NULL
+""")
+def resolve_places(spark, sf):
+    key, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    conf = 0.5 + (key % 3) / 10
+    claim = lambda v: F.struct(v.alias("value"), conf.alias("confidence"), key.cast("string").alias("source"))
+    place_ = F.struct(F.concat(F.lit("City"), "s_nationkey").alias("city"), none.alias("region"), none.alias("country"))
+    # every second supplier states a place; a list of phones without a phone does not count
+    parts = {"location": F.when(key % 2 == 0, claim(place_)), "phones": claim(F.when(key % 5 > 0, F.array(F.concat(F.lit("phone "), key), F.lit("x"))).otherwise(F.array().cast("array<string>")))}
+    rows = table(spark, sf, "supplier").withColumn("k", key % 20)
+    cells = [parts[k].cast(kind).alias(k) if k in parts else F.lit(None).cast(kind).alias(k) for k, kind in PROFILE_FIELDS.items()]
+    given = rows.select(F.col("k").cast("string").alias("candidate_key"), key.cast("string").alias("source"), key.cast("int").alias("source_ord"), *cells)
+    got = FU.fuse(given)
+    return got.where("location is not null or size(phones) > 0").select("candidate_key", "location.city", F.get("phones", 0).alias("phone"), F.size("provenance").alias("n_trail"))
+
+
+_SHAPED = {"fields": [{"path": "skills", "required": True}, {"path": "location"}, {"path": "experience"}, {"path": "job", "from": "experience"}, {"path": "name", "from": "full_name", "required": True}], "on_missing": "error"}
+
+
+@query("project_shapes", f"""SELECT k AS candidate_key, '{{"skills":[{{"name":"' || s || '","confidence":0.5,"sources":["ats_json"]}}],"location":{{"city":' || coalesce('"' || city || '"', 'null') || ',"region":null,"country":null}},'
+ || '"experience":[{{"company":null,"title":"t","start":null,"end":null,"summary":null}}],"job":[{{"company":null,"title":"t","start":null,"end":null,"summary":null}}],"name":"' || n || '"}}' AS projected FROM ({CUSTOMER_SQL}) WHERE n IS NOT NULL AND s IS NOT NULL""")
+def project_shapes(spark, sf):
+    good = accepted(validate_projected(customer_records(spark, sf), _SHAPED), _SHAPED).drop("projection_errors")
+    return project_json(good, _SHAPED).select("candidate_key", "projected")

@@ -2,16 +2,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset a temporary one, but only on a single machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fusewright-"))
+    return named or context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/fusewright-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def staged(frame: DataFrame) -> DataFrame:
-    """The frame's rows, worked out once and kept in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (on one machine) a folder of our own is set.
-    """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fusewright-"))
-    return frame.checkpoint()
+    """The frame's rows, worked out once, written as a table to the shared folder and read back by column."""
+    spark = frame.sparkSession
+    path = new_folder(spark)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -29,11 +29,20 @@ class Settings:
 
 
 def load_settings(path: str | None = None) -> Settings:
-    """Settings from a flat JSON file; a default for whatever is missing, for all of it if the file can't be read."""
+    """Settings from a flat JSON file; a default for whatever is missing, for all of it if the file can't be read.
+
+    ``order`` may be "cli", "ui" or a list of all sources.
+    """
     try:
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
-        names = {f.name for f in dataclasses.fields(Settings)} - {"order"}
-        return Settings(**{k: v for k, v in given.items() if k in names})
+        names = {f.name for f in dataclasses.fields(Settings)}
+        known = {k: v for k, v in given.items() if k in names}
+        if "order" in known:
+            order = {"cli": CLI_ORDER, "ui": UI_ORDER}.get(known["order"]) if isinstance(known["order"], str) else tuple(known["order"])
+            if order is None or sorted(order) != sorted(CLI_ORDER):
+                raise ValueError("order must name every source once")
+            known["order"] = order
+        return Settings(**known)
     except (OSError, TypeError, ValueError, AttributeError):
         return Settings()

@@ -22,6 +22,7 @@ ALIASES = {
     "experience": ["experience", "work_history", "history"],
     "education": ["education", "academic_history"],
 }
+#: Objects whose fields are hoisted, and the summary of a job made of root fields.
 HOISTED = ("contact", "urls", "personal_info", "candidate_info", "profile")
 SYNTHESIZED = "Synthesized from root fields"
 

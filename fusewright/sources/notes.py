@@ -9,6 +9,7 @@ from fusewright.settings import Settings
 from fusewright.sources.profile import not_empty, profiles, skill_claims, tagged
 
 SOURCE = "recruiter_notes"
+#: Fixed patterns.
 NAME = r"(?i)(?:Candidate|Name|Notes on):\s*([^\n\r]+)"
 HEADLINE = r"(?i)(?:Current Role|Headline|Role|Title):\s*([^\n]+)"
 SKILLS = r"(?i)(?:Skills|Technologies):\s*([^\n]+)"

@@ -56,7 +56,3 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 def quarantine(all_profiles: DataFrame) -> DataFrame:
     """(candidate_key, source, error) of inputs that could not be read."""
     return all_profiles.where("error is not null").select("candidate_key", "source", "error")
-
-
-def order_of(settings: Settings, source: str) -> int:
-    return settings.ord(source)

@@ -12,9 +12,16 @@ SOURCE = "recruiter_csv"
 SYNTHESIZED = "Synthesized from Recruiter CSV Row"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The rows as strings (no type inference, which would read the file twice)."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+POSITION = "_position"
+
+
+def read_csv(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """The rows as strings (no type inference, which would read the file twice); with ``position`` also their place: file, then row.
+
+    Quoted line breaks keep a file in one piece, so its rows are numbered in the file's order.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.withColumn(POSITION, F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))) if position else rows
 
 
 def parse_csv(rows: DataFrame, key: str | None = None, settings: Settings | None = None) -> DataFrame:
@@ -39,5 +46,10 @@ def parse_csv(rows: DataFrame, key: str | None = None, settings: Settings | None
 
 
 def first_row(rows: DataFrame) -> DataFrame:
-    """The file's first data row only (a limit is the feature here: one export describes one candidate)."""
-    return rows.limit(1)
+    """The first data row only (a limit is the feature here: one export describes one candidate).
+
+    By position where the rows have one, see ``read_csv``; otherwise whichever comes first, as of a frame that has no order.
+    """
+    if POSITION not in rows.columns:
+        return rows.limit(1)
+    return rows.orderBy(POSITION).limit(1).drop(POSITION)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fusewright.schema import CANONICAL_FIELDS
+
 STORE = (
     "id bigint, candidate_id string, resume_name string, full_name string, email string, phone string, location string, "
     "years_experience double, skills_count int, overall_confidence double, sources_count int, final_profile string, "
@@ -65,6 +67,21 @@ def iso_utc(time: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def latest(rows: DataFrame, limit: int = 200) -> DataFrame:
+    """A page of rows without their records, newest first."""
+    return rows.select(*LISTED).orderBy(F.desc("id")).limit(limit)
+
+
+def lookup(rows: DataFrame, row_id: int) -> DataFrame:
+    return rows.where(F.col("id") == row_id)
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Rows with their records read back from JSON; text that is no JSON is null."""
+    final = ", ".join(f"{k} {kind}" for k, kind in CANONICAL_FIELDS.items())
+    return rows.withColumns({"final_profile": F.from_json("final_profile", final), "projected_profile": F.try_parse_json("projected_profile")})
+
+
 class CandidateStore:
     """See the module."""
 
@@ -125,11 +142,15 @@ class CandidateStore:
 
     def latest(self, limit: int = 200) -> DataFrame:
         """The newest rows without their records, newest first (a page)."""
-        return self.rows().select(*LISTED).orderBy(F.desc("id")).limit(limit)
+        return latest(self.rows(), limit)
 
     def get(self, row_id: int) -> DataFrame:
-        """The row with that id, if any."""
-        return self.rows().where(F.col("id") == row_id)
+        """The row with that id, if any; its records are JSON text."""
+        return lookup(self.rows(), row_id)
+
+    def record(self, row_id: int) -> DataFrame:
+        """The row with that id, its records read back: ``final_profile`` as a struct, ``projected_profile`` as a variant."""
+        return decoded(self.get(row_id))
 
     def delete(self, row_id: int) -> None:
         self._mark()
@@ -147,16 +168,21 @@ class CandidateStore:
         return stats(self.rows())
 
     def export(self) -> DataFrame:
-        """(id, file_name, projected_profile) of all rows: a download of everything by one scan."""
-        return self.rows().select("id", F.concat(F.lit("candidate_"), "candidate_id", F.lit(".json")).alias("file_name"), "projected_profile")
+        """(id, file_name, projected_profile, canonical_name, final_profile, processed_at as ISO text in UTC) of all rows, by one scan."""
+        name = lambda prefix: F.concat(F.lit(prefix), "candidate_id", F.lit(".json"))
+        return self.rows().select("id", name("candidate_").alias("file_name"), "projected_profile", name("canonical_").alias("canonical_name"), "final_profile", iso_utc(F.col("processed_at")).alias("processed_at"))
 
+    def write_export(self, path: str) -> None:
+        """All projected records as JSON lines: the bulk download of a table of any size, in as many files as it has parts."""
+        rows = self.export().where("projected_profile is not null")
+        rows.select(F.col("projected_profile").alias("value")).write.mode("overwrite").text(path)
 
-def write_json_lines(frame: DataFrame, path: str, column: str) -> None:
-    """A JSON text column as lines, one row each."""
-    frame.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
+def json_array(page: DataFrame, column: str, order: str = "id", limit: int = 200) -> DataFrame:
+    """One row with a JSON array of the texts, newest first: the download of one page, of at most ``limit`` rows.
 
-def json_array(frame: DataFrame, column: str, order: str = "id") -> DataFrame:
-    """One row with a JSON array of the texts, newest first: a bulk download of one page of rows."""
+    A whole table goes to files instead, see ``CandidateStore.write_export``.
+    """
+    newest = page.select(order, column).orderBy(F.desc(order)).limit(limit)
     rows = F.transform(F.sort_array(F.collect_list(F.struct(order, column)), asc=False), lambda r: r[column])
-    return frame.agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("document"))
+    return newest.agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("document"))
