@@ -7,7 +7,7 @@ beside the text itself and its word hashes.
 """
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -180,10 +180,21 @@ def groups(texts: list[bytes], limit: int = SEGMENT) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def slices(batch, text_col: str, rows: int = 256, limit: int = SEGMENT):
+    """The Arrow batch in parts of at most so many rows and about ``limit`` bytes of texts."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
+    start = size = 0
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= limit or k + 1 - start == rows:
+            yield batch.slice(start, k + 1 - start)
+            start, size = k + 1, 0
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the signed ones that Spark keeps."""
     return np.ascontiguousarray(values, dtype=U64).view(np.int64)
-
-
-def unsigned(values: Iterable[int]) -> np.ndarray:
-    return np.asarray(values, dtype=np.int64).view(U64)
