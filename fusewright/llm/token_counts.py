@@ -6,7 +6,7 @@ symbols at the start less the merges, where a symbol that is no piece counts as
 
 When the model is loaded, its pieces are searched for the places where none of them can reach across: before a space mark, and, if no
 piece mixes them, between letters and other characters. Nothing merges there, so the count of a text is the sum over its parts.
-Workers keep the counts of parts they have seen.
+Tasks keep the counts of parts they have seen, up to a bound.
 """
 from __future__ import annotations
 
@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.llm._shared import prepare, table
+from fusewright.llm._text import slices
 
 MARK = "▁"
-#: Words a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Parts a task remembers, of this length at most; beyond that it starts anew. They are forgotten when it ends, since workers live on
+#: and serve other stages.
+REMEMBERED = 300_000
+LONGEST_REMEMBERED = 256
 _LETTER = r"[^\W\d_]"
 _MIXED = re.compile(rf"{_LETTER}(?!{_LETTER}|$)|[^{MARK}](?<!{_LETTER})(?={_LETTER})", re.S)
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,7 +58,9 @@ class BpeCounter(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        n = self[word] = merge_count(word, self.ranks)
+        n = merge_count(word, self.ranks)
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -117,12 +122,16 @@ def counter(path: str) -> BpeCounter:
 
 def _count(path: str):
     def run(batches):
-        count = counter(path).count
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n_bytes = [len(x.encode()) if x else 0 for x in texts]
-            n_tokens = [count(x) if x else 0 for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        own = counter(path)
+        try:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    texts = part.column("text").to_pylist()
+                    n_bytes = [len(x.encode()) if x else 0 for x in texts]
+                    n_tokens = [own.count(x) if x else 0 for x in texts]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        finally:
+            own.clear()
 
     return run
 
@@ -142,6 +151,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The contract's rows: token_counts over all of ``documents``."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
