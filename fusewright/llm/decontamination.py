@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word windows is scanned over every training text.
 
 A window's 64-bit hash is only a candidate: each hit is verified on the words themselves. The set is broadcast while the benchmark
-has at most ``max_broadcast_windows`` windows; a larger benchmark is cut into parts of that size, each of which is broadcast and
-scanned in turn, and the parts' hits are united per document.
+has at most ``max_broadcast_windows`` windows; a larger benchmark is cut into parts of that size, which are broadcast and scanned one
+after another: the rows with the hits so far are checkpointed in the shared folder and the part's set is let go before the next one is
+made, so neither the driver nor a worker ever holds more than one. The parts' hits are united per document.
 """
 from __future__ import annotations
 
@@ -14,66 +15,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fusewright.llm._shared import cut, prepare, table
-from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, short_hash, windows
+from fusewright.llm._shared import checkpointed, cut, discard, free_name, prepare, table
+from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed, windows
 
 WINDOW = 13
-MAX_BROADCAST_WINDOWS = 2_000_000
+#: About 100 bytes each.
+MAX_BROADCAST_WINDOWS = 500_000
 
 
 def _item_windows(size: int):
-    """(window's words joined by one space, its number of words, item) of every item."""
+    """(window's words joined by one space, its number of words, its hash, item) of every item."""
 
     def run(batches):
         for batch in batches:
             texts, items = as_bytes(batch.column("text")), batch.column("item").to_pylist()
-            words, ks, names = [], [], []
             for item, text in zip(items, texts, strict=True):
                 w = Words([text], ALNUM)
-                all_words = [w.text(k) for k in range(len(w.hashes))]
-                k = min(size, len(all_words))
-                for a in range(len(all_words) - k + 1 if k else 0):
-                    words.append(b" ".join(all_words[a : a + k]))
-                    ks.append(k)
-                    names.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ks, pa.int32()), pa.array(names, pa.string())], names=["window", "k", "item"])
+                k = min(size, len(w.hashes))
+                if not k:
+                    continue
+                words = [w.text(x) for x in range(len(w.hashes))]
+                first, hashes = windows(w, k)
+                for at in range(0, len(first), 10_000):
+                    part = first[at : at + 10_000].tolist()
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([b" ".join(words[a : a + k]) for a in part], pa.binary()), pa.array([k] * n, pa.int32()), pa.array(signed(hashes[at : at + n])), pa.array([item] * n, pa.string())], names=["window", "k", "h", "item"])
 
     return run
 
 
 class WindowSet:
-    """The broadcast set: sorted hashes by window length, and the windows by hash for verification."""
-
-    def __init__(self, rows):
-        self.windows: dict[bytes, list[str]] = {}
-        by: dict[int, set[int]] = {}
-        for window, k, items in rows:
-            w = Words([bytes(window)], ALNUM)
-            self.windows[bytes(window)] = sorted(items)
-            by.setdefault(k, set()).add(short_hash(w.hashes))
-        self.hashes = {k: np.array(sorted(x), dtype=U64) for k, x in by.items()}
+    """The broadcast set: sorted hashes by window length, and the windows' words and items in Arrow arrays for verification."""
+
+    def __init__(self, found: pa.Table):
+        """``found`` has window, k, h and items."""
+        self.words, self.items = found.column("window").combine_chunks(), found.column("items").combine_chunks()
+        ks, hashes = found.column("k").to_numpy(), found.column("h").to_numpy().view(U64)
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(ks).tolist():
+            rows = np.flatnonzero(ks == k)
+            rows = rows[np.argsort(hashes[rows], kind="stable")]
+            self.parts[k] = (hashes[rows], rows)
 
     def hits(self, words: Words):
         """(document index, first word, number of words, items) of every verified occurrence."""
-        for k, hashes in self.hashes.items():
+        for k, (hashes, rows) in self.parts.items():
             first, h = windows(words, k)
             if not len(first):
                 continue
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for a in first[hashes[at] == h].tolist():
-                items = self.windows.get(b" ".join(words.text(x) for x in range(a, a + k)))
-                if items is not None:
-                    yield int(np.searchsorted(words.bounds, a, side="right")) - 1, a, k, items
+            low = np.searchsorted(hashes, h)
+            may = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
+            for a, at, own in zip(first[may].tolist(), low[may].tolist(), h[may], strict=True):
+                text = b" ".join(words.text(x) for x in range(a, a + k))
+                while at < len(hashes) and hashes[at] == own:
+                    if self.words[int(rows[at])].as_py() == text:
+                        yield int(np.searchsorted(words.bounds, a, side="right")) - 1, a, k, self.items[int(rows[at])].as_py()
+                    at += 1
 
 
-def _scan(shared, text_col: str, before: str | None):
+def _scan(shared, text_col: str, hits: str, before: bool):
     """Appends (n_words, spans of hit words, items) to every row; spans are first word and end, merged."""
 
     def run(batches):
         found: WindowSet = shared.value
         for batch in batches:
             texts = as_bytes(batch.column(text_col))
-            old = batch.column(before).to_pylist() if before else [None] * len(texts)
+            old = batch.column(hits).to_pylist() if before else [None] * len(texts)
             out = []
             for a, b in groups(texts):
                 words = Words(texts[a:b], ALNUM)
@@ -89,8 +96,8 @@ def _scan(shared, text_col: str, before: str | None):
                         named = named | set(old[a + doc]["items"])
                     out.append({"n_words": int(words.bounds[doc + 1] - words.bounds[doc]), "spans": merged(spans), "items": sorted(named)})
             if before:
-                batch = batch.drop_columns([before])
-            yield batch.append_column("hits", pa.array(out, HITS_ARROW))
+                batch = batch.drop_columns([hits])
+            yield batch.append_column(hits, pa.array(out, HITS_ARROW))
 
     return run
 
@@ -110,48 +117,57 @@ HITS_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(
 HITS = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """``docs`` with a column ``hits``: n_words, spans (word offsets, end exclusive, merged) and items with occurring windows.
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS, hits_col: str = "hits") -> DataFrame:
+    """``docs`` with a last column of hits: n_words, spans (word offsets, end exclusive, merged) and items with occurring windows.
 
-    Words are runs of ASCII letters and digits and of anything that is not ASCII, A-Z lower-cased. A window is ``window``
-    consecutive words of an item; an item of fewer words, but not none, is one window. A document's word is hit if it lies inside
-    any occurrence of a window. Every row stays with all its columns (none may be named ``hits``). A null or empty text has no
-    words and no hits; a benchmark item that is null, empty or without words matches nothing; repeated items count once by their
-    id; an item with a null id still hits words, but is not listed. Empty tables give no hits or no rows.
+    The column is named ``hits_col``, with underscores before it where ``docs`` has a column of that name. Words are runs of ASCII letters
+    and digits and of anything that is not ASCII, A-Z lower-cased. A window is ``window`` consecutive words of an item; an item of
+    fewer words, but not none, is one window. A document's word is hit if it lies inside any occurrence of a window. Every row stays with
+    all its columns, repeated ones too. A null or empty text has no words and no hits; a benchmark item that is null, empty or
+    without words matches nothing; repeated items count once by their id; an item with a null id still hits words, but is not listed.
+    Empty tables give no hits or no rows. Whole texts of any length are scanned, about a megabyte of them at a time.
     """
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    every = items.mapInArrow(_item_windows(window), "window binary, k int, item string").groupBy("window", "k").agg(F.collect_set("item").alias("items"))
-    every = cut(every)
-    count = every.count()
-    parts = max(1, -(-count // max_broadcast_windows))
+    every = items.mapInArrow(_item_windows(window), "window binary, k int, h long, item string")
+    every = cut(every.groupBy("window", "k", "h").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    parts = max(1, -(-every.count() // max_broadcast_windows))
+    name = free_name(hits_col, docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(HITS))])
     out = docs
     for part in range(parts):
         own = every if parts == 1 else every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast(WindowSet([(r["window"], r["k"], r["items"]) for r in own.collect()]))
-        schema = T.StructType([*docs.schema.fields, T.StructField("hits", T._parse_datatype_string(HITS))])
-        out = out.mapInArrow(_scan(shared, text_col, "hits" if part else None), schema)
+        shared = spark.sparkContext.broadcast(WindowSet(own.toArrow()))
+        out = out.mapInArrow(_scan(shared, text_col, name, part > 0), schema)
+        if part + 1 < parts:
+            out = checkpointed(out)
+            shared.destroy()
+    discard(every)
     return out
 
 
 def _contaminated(column: str = "hits"):
-    n_hit = F.aggregate(F.col(f"{column}.spans"), F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    return n_hit, (n_hit > 0) & (n_hit * 20 >= F.col(f"{column}.n_words"))
+    column = F.col(f"`{column}`")
+    n_hit = F.aggregate(column["spans"], F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
+    return n_hit, (n_hit > 0) & (n_hit * 20 >= column["n_words"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged: a twentieth or more of the words hit rejects a document."""
-    bad = _contaminated()[1]
-    return find_hits(docs, benchmark, **options).where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are not contaminated, unchanged: a twentieth or more of the words hit rejects a document.
+
+    Cases are as in ``find_hits``: rows without words stay, repeated rows share their fate, columns may have any name.
+    """
+    found = find_hits(docs, benchmark, **options)
+    return found.where(~_contaminated(found.columns[-1])[1]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _cut_spans(text_col: str):
+def _cut_spans(text_col: str, hits: str):
     def run(batches):
         for batch in batches:
-            texts, hits = batch.column(text_col).to_pylist(), batch.column("hits").to_pylist()
+            texts, found = batch.column(text_col).to_pylist(), batch.column(hits).to_pylist()
             out = []
-            for text, hit in zip(texts, hits, strict=True):
+            for text, hit in zip(texts, found, strict=True):
                 if text is not None and hit["spans"]:
                     raw = text.encode()
                     words = Words([raw], ALNUM)
@@ -162,14 +178,15 @@ def _cut_spans(text_col: str):
                     text = b"".join([*kept, raw[at:]]).decode()
                 out.append(text)
             place = batch.schema.get_field_index(text_col)
-            yield batch.set_column(place, text_col, pa.array(out, batch.column(text_col).type)).drop_columns(["hits"])
+            yield batch.set_column(place, text_col, pa.array(out, batch.column(text_col).type)).drop_columns([hits])
 
     return run
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every hit run of words cut out of its text; other rows are unchanged."""
-    return find_hits(docs, benchmark, text_col=text_col, **options).mapInArrow(_cut_spans(text_col), docs.schema)
+    """``docs`` with every hit run of words cut out of its text; other rows are unchanged. Cases are as in ``find_hits``."""
+    found = find_hits(docs, benchmark, text_col=text_col, **options)
+    return found.mapInArrow(_cut_spans(text_col, found.columns[-1]), docs.schema)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
