@@ -11,9 +11,12 @@ they differ from independent uniform draws:
 A token is taken for random if none of the three rejects uniform draws. That alone would flag many short words, as short samples reject
 little. So each candidate also gets a p-value under a null of written text: characters drawn with the frequencies of letters in the
 candidate's own text (digits and case get what the text has) and in a fixed sample of natural language, which decides where the text has
-few ASCII letters or none but candidates, under which the chi-squared statistic has the mean and variance that are
-worked out for the candidate's length. False discoveries are controlled over each text's candidates by the Benjamini-Hochberg step-up
-with weights in proportion to length (and a mean of one): long tokens, which the tests can judge, get most of the error budget.
+few ASCII letters or none but candidates. Under it the chi-squared statistic has the mean and variance that are worked out for the
+candidate's length. Where letters and digits alternate, as they hardly do in words, names and numbers, so has the characters' mean
+log-frequency, and the smaller of the two p-values counts twice. False discoveries are controlled over each text's candidates by the Benjamini-Hochberg step-up with weights in proportion to length (and a mean of one): long
+tokens, which the tests can judge, get most of the error budget, and it is this control that decides how short a token can be found.
+
+A candidate has SHORTEST characters, or MIXED with letters and digits that alternate: a battery over fewer characters decides nothing. Where the characters without ``- _`` are hex digits (as those of a UUID), they are judged as such.
 """
 from __future__ import annotations
 
@@ -36,9 +39,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 SHORTEST = 20
+MIXED = 12
 SEPARATORS = "+/_-"
 CUTS = (re.compile(r"[+/]"), re.compile(r"[_-]"), re.compile(r"[+/_-]"))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,19}(?![A-Za-z0-9+/_-])={0,2}")
+#: Letters and digits alternate if one follows the other so often, separators aside.
+SWITCHES = 3
+_SWITCH = re.compile(r"[A-Za-z][+/_-]*(?=[0-9])|[0-9][+/_-]*(?=[A-Za-z])")
 #: Alphabets in the order in which they are tried.
 ENCODINGS = (
     ("decimal", "0123456789"),
@@ -63,9 +70,7 @@ def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def infer_encoding(token: str) -> tuple[str, np.ndarray, int] | None:
-    """(name, numbers, alphabet size) of the first encoding that holds all characters; padding is left out."""
-    body = token.rstrip("=")
+def _fitting(body: str) -> tuple[str, np.ndarray, int] | None:
     chars = set(body)
     for name, alphabet in ENCODINGS:
         if chars <= set(alphabet):
@@ -74,6 +79,19 @@ def infer_encoding(token: str) -> tuple[str, np.ndarray, int] | None:
     return None
 
 
+def infer_encoding(token: str) -> tuple[str, np.ndarray, int] | None:
+    """(name, numbers, alphabet size) of the first encoding that holds all characters; padding is left out.
+
+    If the characters without ``- _`` are hex digits (as those of a UUID), they are taken instead.
+    """
+    found = _fitting(token.rstrip("="))
+    if found and found[0] == "base64url":
+        bare = _fitting(token.rstrip("=").replace("-", "").replace("_", ""))
+        if bare and bare[2] <= 16:
+            return bare
+    return found
+
+
 def chi_squared(x: np.ndarray, k: int) -> tuple[float, float]:
     """(statistic, p-value of a greater one under uniform draws)."""
     n = len(x)
@@ -112,18 +130,33 @@ def _written(text: str) -> np.ndarray:
     return np.bincount(raw, minlength=128).astype(np.float64)[:128] + PRIOR
 
 
-def natural_p(stat: float, n: int, alphabet: str, written: np.ndarray) -> float:
-    """Chance of a chi-squared statistic this small when characters are drawn as the text's are."""
-    k = len(alphabet)
+def natural_p(stat: float, x: np.ndarray, alphabet: str, written: np.ndarray, mixed: bool) -> float:
+    """Chance of a chi-squared statistic this small, or with ``mixed`` of characters this rare, when they are drawn as the text's are."""
+    k, n = len(alphabet), len(x)
     p = written[np.frombuffer(alphabet.encode(), dtype=np.uint8)]
     p = p / p.sum()
     s2, s3 = float((p**2).sum()), float((p**3).sum())
     # the statistic is k / n * (sum of squared counts) - n
     mean = k / n * (n + n * (n - 1) * s2) - n
     var = (k / n) ** 2 * (2 * n * (n - 1) * (s2 + (2 * n - 4) * s3 - (2 * n - 3) * s2 * s2))
-    if var <= 0:
-        return 1.0
-    return _upper_tail((mean - stat) / math.sqrt(var))
+    even = _upper_tail((mean - stat) / math.sqrt(var)) if var > 0 else 1.0
+    if not mixed:
+        return even
+    logs = np.log(p)
+    usual = float((p * logs).sum())
+    spread = float((p * logs * logs).sum()) - usual * usual
+    rare = _upper_tail((usual - float(logs[x].mean())) * math.sqrt(n / spread)) if spread > 1e-12 else 1.0
+    return min(1.0, 2 * min(even, rare))
+
+
+def alternates(token: str) -> bool:
+    """Whether letters and digits alternate."""
+    return sum(1 for _ in _SWITCH.finditer(token)) >= SWITCHES
+
+
+def _long_enough(token: str) -> bool:
+    n = len(token.rstrip("="))
+    return n >= SHORTEST or (n >= MIXED and alternates(token))
 
 
 def _pieces(text: str, base: list[tuple[str, int, int]]):
@@ -147,14 +180,14 @@ def _pieces(text: str, base: list[tuple[str, int, int]]):
                 a += 1
             while b < m.end() and a < b and text[b - 1] in SEPARATORS:
                 b -= 1
-            if b - a < SHORTEST:
+            if b - a < MIXED:
                 continue
             found = {(a, b)}
             for separator in CUTS:
                 if separator.search(text, a, b):
                     cuts = [(a, a), *(c.span() for c in separator.finditer(text, a, b)), (b, b)]
                     found.update((x, y) for (_, x), (y, _) in zip(cuts, cuts[1:], strict=False))
-            yield from sorted((x, y) for x, y in found if y - x >= SHORTEST and len(text[x:y].rstrip("=")) >= SHORTEST)
+            yield from sorted((x, y) for x, y in found if _long_enough(text[x:y]))
 
 
 def random_spans(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, int]]:
@@ -173,7 +206,7 @@ def random_spans(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple
         else:
             if written is None:
                 written = _written(CANDIDATE.sub(" ", text))
-            p = natural_p(stat, n, dict(ENCODINGS)[name], written)
+            p = natural_p(stat, x, dict(ENCODINGS)[name], written, alternates(text[start:end]))
         found.append((p, n, start, end))
     if not found:
         return []
@@ -224,8 +257,9 @@ def _find():
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``base`` (spans of the fixed patterns) and ``spans`` (those and the method's).
 
-    A span has a kind (assign, access, hex, random), start and end, in code points, end exclusive. Whole texts are scanned. A null
-    text is empty and has none. Rows with null or repeated ids stay; an empty table gives an empty result.
+    A span has a kind (assign, access, hex, random), start and end, in code points, end exclusive. Whole texts of any length are scanned, in
+    time that grows with their length. A null text is empty and has none. Rows with null or repeated ids stay; an empty table gives an
+    empty result. Only the id and text columns are read, so others may have any name.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -267,7 +301,7 @@ def _redacted(text_col: str):
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the secrets of its texts redacted; every row and column stays, null stays null."""
+    """``docs`` with the secrets of its texts redacted; every row and column stays, null stays null, an empty table empty."""
     prepare(docs.sparkSession)
     return docs.mapInArrow(_redacted(text_col), T.StructType(docs.schema.fields))
 
