@@ -31,9 +31,10 @@ def collapse(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     ``<|im_start|>role\\ntext<|im_end|>\\n``. Turns are ordered by number, then role and text, nulls first; a turn that is
     repeated whole (number, role and text) counts once. A null role is rendered as ``unknown`` and a null text as empty, but
     neither equals its rendering when conversations are compared. Rows with a null id are one conversation, whose id is never the
-    smallest. An empty table gives an empty result. Only the four columns are read.
+    smallest. Ids may be of any type that has an order. ``<|im_`` inside a role or text is written ``<| im_``, so that it opens or closes no
+    turn. An empty table gives an empty result. Only the four columns are read, so others may have any name; texts are whole.
     """
-    turns = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    turns = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     again = F.lag(F.struct("turn", "role", "text")).over(order).eqNullSafe(F.struct("turn", "role", "text"))
     turns = turns.withColumn("again", F.coalesce(again, F.lit(False))).where("not again").drop("again")
@@ -51,6 +52,7 @@ def collapse(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:
+    """collapse over all of ``conversations``."""
     return collapse(table(spark, sf_dir, "conversations"))
 
 

@@ -100,22 +100,24 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return counts.reshape(-1)
 
 
-def _column_levels(counts: np.ndarray) -> np.ndarray:
-    """Per sketch slot the level by which columns are ordered (0: not seen to be frequent)."""
+def _column_levels(counts: np.ndarray, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Per sketch slot: the level by which columns are ordered (0: not seen to be frequent) and its number of row blocks."""
     usual = float(np.median(counts))
     over = np.maximum(counts.astype(np.float64) - usual, 0)
-    return np.where(over > 8 + 8 * np.sqrt(usual), 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+    frequent = over > 8 + 8 * np.sqrt(usual)
+    levels = np.where(frequent, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+    return levels, np.where(frequent, np.ceil(over / block_rows), 1).astype(np.int64)
 
 
 def _heads(size: int, num: int, den: int, shared):
-    """The columns of the head of each set that the task meets, in order, and which of them are frequent, as bytes."""
+    """The columns of the head of each set that the task meets, in order, as bytes."""
 
     def run(batches):
-        levels, seen = _column_levels(shared.value), set()
+        levels, seen = _column_levels(shared.value)[0], set()
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for a, b in groups(texts):
-                sigs, ns, hs, fs = [], [], [], []
+                sigs, ns, hs = [], [], []
                 for s in shingle_sets(texts[a:b], size):
                     if not len(s) or (sig := _signature(s)) in seen:
                         continue
@@ -126,35 +128,40 @@ def _heads(size: int, num: int, den: int, shared):
                     sigs.append(sig)
                     ns.append(len(s))
                     hs.append(s[order].tobytes())
-                    fs.append(np.packbits(level[order] > 0).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sigs], pa.int64()), pa.array([y for _, y in sigs], pa.int64()), pa.array(ns, pa.int64()), pa.array(hs, pa.binary()), pa.array(fs, pa.binary())], names=["s1", "s2", "n", "head", "frequent"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in sigs], pa.int64()), pa.array([y for _, y in sigs], pa.int64()), pa.array(ns, pa.int64()), pa.array(hs, pa.binary())], names=["s1", "s2", "n", "head"])
 
     return run
 
 
 ENTRY = "h long, salt int, rid long, pos int, n int"
-#: Entries of frequent columns are dealt to so many tasks.
-SALTS = 256
 
 
-def _entries(batches):
-    """One row per column of a row's head; salt is -1 in columns that are not frequent. Copies of a row that follow it are left out."""
-    last = None
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            rid, n = np.asarray(part.column("rid")), np.asarray(part.column("n")).astype(np.int32)
-            own = np.flatnonzero(np.concatenate([[rid[0] != last], np.diff(rid) != 0]))
-            last = rid[-1]
-            if not len(own):
-                continue
-            part, rid, n = part.take(pa.array(own)), rid[own], n[own]
-            hs = [np.frombuffer(x, dtype=U64) for x in part.column("head").to_pylist()]
-            ks = [len(x) for x in hs]
-            often = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8))[:k] for x, k in zip(part.column("frequent").to_pylist(), ks, strict=True)])
-            rid, pos = np.repeat(rid, ks), np.concatenate([np.arange(k, dtype=np.int32) for k in ks])
-            salt = np.where(often > 0, (mix(rid.view(U64)) % U64(SALTS)).astype(np.int32), np.int32(-1))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hs))), pa.array(salt), pa.array(rid), pa.array(pos), pa.array(np.repeat(n, ks))], names=["h", "salt", "rid", "pos", "n"])
+def _entries(shared, block_rows: int):
+    """One row per column of a row's head. Salt is -1 in columns that are not frequent, else one of the column's blocks.
+
+    Copies of a row that follow it are left out.
+    """
+
+    def run(batches):
+        levels, blocks = _column_levels(shared.value, block_rows)
+        last = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rid, n = np.asarray(part.column("rid")), np.asarray(part.column("n")).astype(np.int32)
+                own = np.flatnonzero(np.concatenate([[rid[0] != last], np.diff(rid) != 0]))
+                last = rid[-1]
+                if not len(own):
+                    continue
+                part, rid, n = part.take(pa.array(own)), rid[own], n[own]
+                hs = [np.frombuffer(x, dtype=U64) for x in part.column("head").to_pylist()]
+                ks = [len(x) for x in hs]
+                h, rid, pos = np.concatenate(hs), np.repeat(rid, ks), np.concatenate([np.arange(k, dtype=np.int32) for k in ks])
+                slot = (h & U64(SKETCH_SLOTS - 1)).astype(np.int64)
+                salt = np.where(levels[slot] > 0, (mix(rid.view(U64)) % blocks[slot].astype(U64)).astype(np.int32), np.int32(-1))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(salt), pa.array(rid), pa.array(pos), pa.array(np.repeat(n, ks))], names=["h", "salt", "rid", "pos", "n"])
+
+    return run
 
 
 def _runs(batches, names, keys):
@@ -355,9 +362,9 @@ class _Matrix:
         count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.rows = cut(rows.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id()))
 
-        heads = source.select("text").mapInArrow(_heads(words, num, den, sketch), "s1 long, s2 long, n long, head binary, frequent binary")
-        heads = heads.join(self.rows.select("s1", "s2", "rid"), ["s1", "s2"]).select("rid", "n", "head", "frequent")
-        entries = heads.mapInArrow(_entries, ENTRY).repartition("h", "salt").sortWithinPartitions("h", "salt", "rid")
+        heads = source.select("text").mapInArrow(_heads(words, num, den, sketch), "s1 long, s2 long, n long, head binary")
+        heads = heads.join(self.rows.select("s1", "s2", "rid"), ["s1", "s2"]).select("rid", "n", "head")
+        entries = heads.mapInArrow(_entries(sketch, block_rows), ENTRY).repartition("h", "salt").sortWithinPartitions("h", "salt", "rid")
         shared = cut(entries.mapInArrow(_shared_columns, COLUMN))
         # a frequent column is not brought together: its first row is the least of its salts' first rows and is joined
         often = shared.where("frequent").drop("frequent", "rid0", "pos0", "n0")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fusewright.llm._shared import cut, prepare, table
+from fusewright.llm._shared import cut, discard, free_name, prepare, table
 from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed
 
 FOLDS = 5
@@ -138,24 +138,27 @@ def _hashed(batches):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, max_rows: int = MAX_ROWS, features: int = FEATURES, least_share: float = LEAST_SHARE) -> Chain:
     """A chain fitted on at most ``max_rows`` of the labelled documents.
 
-    Labels with a null id, and null texts, are left out; of repeated ids one row counts. A null label leaves its row out of that
-    category only. A category without both kinds of rows gets a model that predicts the share it saw (0 with no rows), which never
+    Labels with a null id, and null texts, are left out; of the texts of a repeated id the one with the smallest hash counts, of its
+    labels the greatest. Ids may be of any type that has an order. A null label leaves its row out of that category only. A category without both kinds of rows gets a model that predicts the share it saw (0 with no rows), which never
     reaches its threshold unless all rows are of the category.
 
     A word can be a feature if it is in LEAST_ROWS labelled rows, or in ``least_share`` of the rows of a category (at least FEWEST_ROWS),
-    so that categories with few rows have features too.
+    so that categories with few rows have features too. Of these a category keeps the ``features`` with the greatest z-scores, above 3.
+    Tables without rows give a chain whose models have no features.
     """
     prepare(docs.sparkSession)
     names = [c for c, _, _ in categories]
     wanted = [F.when(F.col(col).isNotNull(), (F.col(col) == value).cast("int")).alias(name) for name, col, value in categories]
-    chosen = labels.select(F.col(id_col).cast("long").alias("id"), *wanted).where("id is not null")
+    chosen = labels.select(F.col(id_col).alias("id"), *wanted).where("id is not null")
     chosen = chosen.groupBy("id").agg(*[F.max(c).alias(c) for c in names])
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # the bound that makes the broadcast safe
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold")
-    rows = rows.select("id", fold, *names, "text")
+    rows = rows.select("id", fold, *names, F.md5("text").alias("finger"), "text")
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("h", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType())), T.StructField("n_words", T.LongType())])
-    rows = cut(rows.mapInArrow(_hashed, schema).dropDuplicates(["id"]))
+    # of an id's rows one counts; rows are combined before they are moved
+    rows = rows.mapInArrow(_hashed, schema).groupBy("id").agg(F.min_by(F.struct("fold", *names, "h", "c", "n_words"), "finger").alias("r"))
+    rows = cut(rows.select("id", "r.*"))
 
     cells = [(k, f, v) for k in range(len(names)) for f in range(FOLDS) for v in (0, 1)]
     sums = [F.count_if((F.col("fold") == f) & (F.col(names[k]) == v)).cast("int").alias(f"s{i}") for i, (k, f, v) in enumerate(cells)]
@@ -187,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     used = np.unique(np.concatenate([hashes[p] for p in picks.values()])) if len(hashes) else np.zeros(0, dtype=U64)
     if len(used):
         shared = docs.sparkSession.sparkContext.broadcast(used)
-        small = rows.select("id", "fold", *names, "n_words", "h", "c").mapInArrow(_only(shared), T.StructType([f for f in schema.fields if f.name not in ("h", "c")] + [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("c", T.ArrayType(T.IntegerType()))]))
+        small = rows.select("id", "fold", *names, "n_words", "h", "c").mapInArrow(_only(shared), T.StructType([f for f in schema.fields if f.name not in ("h", "c", "finger")] + [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("c", T.ArrayType(T.IntegerType()))]))
         got = small.collect()
     else:
         got = rows.select("id", "fold", *names, "n_words").collect()
@@ -221,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             else:
                 out[folds == f] = _sigmoid(design[folds == f] @ w)
         earlier = np.hstack([earlier, out[:, None]])
+    discard(rows)
     return Chain(links)
 
 
@@ -258,12 +262,15 @@ def _scored(shared, text_col: str, names: list[str]):
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` with a probability per category (columns ``p_<category>``, which must be free), over each whole text.
+    """``docs`` with a probability per category as last columns, over each whole text.
 
-    A null text is scored as an empty one. Every row stays, repeated ones too; an empty table stays empty.
+    They are named ``<prefix><category>``, with underscores before it where ``docs`` has a column of that name. A null text is scored as an
+    empty one. Every row stays, repeated ones too; an empty table stays empty. Texts of any length are scored, about a megabyte at a time.
     """
     prepare(docs.sparkSession)
-    names = [prefix + link.name for link in chain.links]
+    names: list[str] = []
+    for link in chain.links:
+        names.append(free_name(prefix + link.name, [*docs.columns, *names]))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     return docs.mapInArrow(_scored(shared, text_col, names), schema)
@@ -278,8 +285,10 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose last category, toxic, stays below its threshold; all their columns stay."""
+    """The rows of ``docs`` whose last category, toxic, stays below its threshold; all their columns stay, whatever their names.
+
+    Cases are as in ``fit`` and ``score``; without labels of both kinds nothing is rejected, unless all labels are toxic.
+    """
     chain = fit(docs, labels, text_col=text_col)
-    taken = {c.lower() for c in docs.columns}
-    prefix = next(p for p in ("p_", *(f"p{k}_" for k in range(len(taken) + 1))) if not any(p + link.name in taken for link in chain.links))
-    return score(docs, chain, text_col, prefix).where(F.col(prefix + chain.links[-1].name) < chain.links[-1].threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs, chain, text_col)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < chain.links[-1].threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

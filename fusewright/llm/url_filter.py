@@ -128,4 +128,5 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
+    """The contract's rows: filter_urls over all of ``pages``."""
     return filter_urls(table(spark, sf_dir, "pages"))
