@@ -87,7 +87,7 @@ def infer_encoding(token: str) -> tuple[str, np.ndarray, int] | None:
     found = _fitting(token.rstrip("="))
     if found and found[0] == "base64url":
         bare = _fitting(token.rstrip("=").replace("-", "").replace("_", ""))
-        if bare and bare[2] <= 16:
+        if bare and bare[2] <= 16 and len(bare[1]) >= MIXED:
             return bare
     return found
 
