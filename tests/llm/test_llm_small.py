@@ -169,7 +169,7 @@ def test_decontamination_against_brute_force(spark):
     kept = {r["doc_id"] for r in decontamination.decontaminate(frame, bench).collect()}
     assert kept == {k for k in range(8) if not wanted[k][4]}
     cut = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(frame, bench).collect()}
-    assert cut[2] == "a , now" or cut[2] == "a  now" and cut[7] == texts[7] and cut[0] is None and cut[3] == ""
+    assert cut[2] in ("a , now", "a  now") and cut[7] == texts[7] and cut[0] is None and cut[3] == ""
     assert decontamination.find_hits(spark.createDataFrame([], DOCS), bench).collect() == []
     assert decontamination.decontaminate(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)
 
