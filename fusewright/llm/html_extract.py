@@ -13,7 +13,7 @@ lines but prose (or none at all), which shows nothing of the site's frame.
 Prose is not deleted when a neighbour shares it: neighbours that quote or copy one another share much of their articles, and deleting
 that loses text that belongs to the page (see the README for the count on the test tables).
 
-Pages whose main text is prose only never leave their task. Of the others one range shuffle by host, path and id brings neighbours
+Every page is parsed once. Pages whose main text is prose only are not moved. Of the others one range shuffle by host, path and id brings neighbours
 together, whatever the size of a host; of pages that only serve as neighbours it moves hashes of their lines. The first two and last two
 pages that differ, of each partition's first and last host, go to the driver as hashes of lines, and from there over the borders, so
 results do not depend on the partitions.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.llm._shared import checkpointed, prepare, table
+from fusewright.llm._shared import checkpointed, cut, prepare, table
 from fusewright.llm.url_filter import host_and_path
 
 _MARKUP = re.compile(
@@ -290,28 +290,30 @@ def _texts(kind):
     return [("page_id", kind), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]
 
 
-def _decided(batches):
-    """The pages whose main text needs no neighbour."""
-    for batch in batches:
-        found = ((i, url, lines(html or "")) for i, url, html in _parts(batch, ("page_id", "url", "html")))
-        rows = ((i, url, main_text(page, None)) for i, url, page in found if not _needs(page))
-        yield from _chunks(((*r, len(r[2])) for r in rows), _texts(batch.schema.field("page_id").type))
-
-
-def _undecided(batches):
-    """The pages with other lines than prose: hashes of all lines, a digest, and the lines where the main text needs a neighbour."""
-    for batch in batches:
-        fields = [("page_id", batch.schema.field("page_id").type), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.binary()), ("hashes", pa.binary()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())]
+def _parsed(kind):
+    """Each page parsed once: its text if that needs no neighbour, and if it has other lines than prose the hashes of all lines, a digest
+    and, where the text needs a neighbour, the lines."""
+    fields = [("page_id", kind), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("digest", pa.binary()), ("hashes", pa.binary()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())]
 
-        def rows(batch=batch):
-            for i, url, host, path, html in _parts(batch, ("page_id", "url", "host", "path", "html")):
-                page = lines(html or "")
-                if any(kind != MAIN for _, kind in page):
+    def run(batches):
+        for batch in batches:
+            own = [(n, batch.schema.field("page_id").type if n == "page_id" else t) for n, t in fields]
+
+            def rows(batch=batch):
+                for i, url, host, path, html in _parts(batch, ("page_id", "url", "host", "path", "html")):
+                    page = lines(html or "")
+                    needs = _needs(page)
+                    text = None if needs else main_text(page, None)
+                    if all(kind == MAIN for _, kind in page):
+                        yield i, url, None, None, text, None, None, None, None
+                        continue
                     hashes, kinds = b"".join(_hash(x) for x, _ in page), bytes(kind for _, kind in page)
                     digest = hashlib.blake2b(kinds + hashes, digest_size=HASH_BYTES).digest()
-                    yield i, url, host, path, digest, hashes, [x for x, _ in page] if _needs(page) else None, kinds
+                    yield i, url, host, path, text, digest, hashes, [x for x, _ in page] if needs else None, kinds
 
-        yield from _chunks(rows(), fields)
+            yield from _chunks(rows(), own)
+
+    return run
 
 
 def _later(last, page):
@@ -433,9 +435,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
     texts = f"page_id {kind}, url string, text string, n_chars long"
-    decided = source.mapInArrow(_decided, texts)
     hosted = source.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    undecided = hosted.mapInArrow(_undecided, f"page_id {kind}, url string, host string, path string, digest binary, hashes binary, lines array<string>, kinds binary")
+    parsed = cut(hosted.mapInArrow(_parsed(None), f"page_id {kind}, url string, host string, path string, text string, digest binary, hashes binary, lines array<string>, kinds binary"))
+    decided = parsed.where("text is not null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    undecided = parsed.where("digest is not null").drop("text")
     order = ["host", "path", "page_id", "digest"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = checkpointed(undecided.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("path")).withColumn("part", F.spark_partition_id())
