@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -50,6 +51,8 @@ def chunk_borders(pattern, chunk: str, last: bool) -> list[int]:
 def pieces(pattern, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """The pattern's matches over the whole text, chunk by chunk."""
     n = len(text)
+    if n <= size + overlap:  # one chunk, nothing to stitch
+        return pattern.findall(text)
     out: list[str] = []
     done = start = 0  # the text is stitched up to ``done``; the next chunk starts at ``start``
     length = size + overlap
@@ -58,16 +61,17 @@ def pieces(pattern, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> lis
         last = stop >= n
         borders = [start + e for e in chunk_borders(pattern, text[start:stop], last)]
         if start != done:
-            if done not in set(borders):
+            at = bisect_left(borders, done)
+            if at == len(borders) or borders[at] != done:
                 start = done  # no shared border: begin where the stitched part ends instead
                 continue
-            borders = borders[borders.index(done) + 1 :]
+            borders = borders[at + 1 :]
         if not borders and not last:
             length *= 2
             continue
-        for e in borders:
-            out.append(text[done:e])
-            done = e
+        if borders:
+            out += [text[a:b] for a, b in zip([done, *borders], borders, strict=False)]
+            done = borders[-1]
         if last:
             break
         # the next chunk begins at a cut that knows nothing of borders, an overlap before the stitched part's end
