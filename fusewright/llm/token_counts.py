@@ -6,7 +6,7 @@ symbols at the start less the merges, where a symbol that is no piece counts as
 
 When the model is loaded, its pieces are searched for the places where none of them can reach across: before a space mark, and, if no
 piece mixes them, between letters and other characters. Nothing merges there, so the count of a text is the sum over its parts.
-Tasks keep the counts of parts they have seen, up to a bound.
+Workers keep the counts of parts they have seen, up to a bound.
 """
 from __future__ import annotations
 
@@ -21,8 +21,7 @@ from fusewright.llm._shared import prepare, table
 from fusewright.llm._text import slices
 
 MARK = "▁"
-#: Parts a task remembers, of this length at most; beyond that it starts anew. They are forgotten when it ends, since workers live on
-#: and serve other stages.
+#: Parts a worker remembers, of this length at most; beyond that it starts anew. Some 30 MB.
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 256
 _LETTER = r"[^\W\d_]"
@@ -122,16 +121,13 @@ def counter(path: str) -> BpeCounter:
 
 def _count(path: str):
     def run(batches):
-        own = counter(path)
-        try:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    texts = part.column("text").to_pylist()
-                    n_bytes = [len(x.encode()) if x else 0 for x in texts]
-                    n_tokens = [own.count(x) if x else 0 for x in texts]
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
-        finally:
-            own.clear()
+        count = counter(path).count
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                n_bytes = [len(x.encode()) if x else 0 for x in texts]
+                n_tokens = [count(x) if x else 0 for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     return run
 
