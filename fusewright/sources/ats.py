@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.functions.text import let, place, split_place, strip_ws, truthy
+from fusewright.functions.text import let, place, split_place, strip_ws
 from fusewright.settings import Settings
 from fusewright.sources.profile import job, not_empty, profiles, school, skill_claims, tagged
 
@@ -47,14 +47,23 @@ def _is(v: Column, kind: str) -> Column:
     return F.coalesce(_kind(v) == kind, F.lit(False))
 
 
+#: A variant's text, see ``_text``. Written as SQL because it is needed in many places, and a plan is built faster from one text.
+_SCALAR = """get(transform(array(struct(regexp_extract(schema_of_variant(v), '^[A-Z]+', 0) AS kind, try_variant_get(v, '$', 'string') AS text)), x ->
+    CASE WHEN x.kind NOT IN ('ARRAY', 'OBJECT', 'VOID') AND NOT coalesce(x.kind = 'BOOLEAN' AND x.text = 'false' OR x.kind <> 'STRING' AND try_cast(x.text AS DOUBLE) = 0, false) THEN nullif(x.text, '') END), 0)"""
+
+
+def _each_text(values: Column) -> Column:
+    return F.call_function("transform", values, F.expr(f"v -> {_SCALAR}"))
+
+
 def _text(v: Column) -> Column:
     """A scalar as text, null for lists, objects and nulls, and for what counts as false."""
+    return F.get(_each_text(F.array(v)), 0)
 
-    def of(x: Column) -> Column:
-        false = (x["kind"] == "BOOLEAN") & (x["text"] == "false") | (x["kind"] != "STRING") & (x["text"].try_cast("double") == 0)
-        return F.when(~x["kind"].isin("ARRAY", "OBJECT", "VOID") & ~F.coalesce(false, F.lit(False)), truthy(x["text"]))
 
-    return let(F.struct(_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")), of)
+def _scalars(m: Column) -> Column:
+    """The texts of a map's scalars, each worked out once, by name."""
+    return F.call_function("transform_values", m, F.expr(f"(k, v) -> {_SCALAR}"))
 
 
 def _list(v: Column) -> Column:
@@ -72,16 +81,20 @@ def _by_presence(m: Column, field: str) -> Column:
 
 def _texts(v: Column) -> Column:
     """A string, or another scalar, as a list of one; a list without what is empty; all stripped."""
-    one = let(_text(v), lambda x: F.when(x.isNotNull(), F.array(x)))
-    return let(F.transform(F.when(_is(v, "ARRAY"), _text_list(v)).otherwise(one), strip_ws), not_empty)
+    each = F.when(_is(v, "ARRAY"), _list(v)).otherwise(F.array(v))
+    return let(F.transform(_stated(each), strip_ws), not_empty)
+
+
+def _stated(values: Column) -> Column:
+    return F.filter(_each_text(values), lambda x: x.isNotNull())
 
 
 def _text_list(v: Column) -> Column:
-    return F.filter(F.transform(_list(v), _text), lambda x: x.isNotNull())
+    return _stated(_list(v))
 
 
-def _first(m: Column, *names: str) -> Column:
-    return F.coalesce(*[_text(m[n]) for n in names])
+def _first(texts: Column, *names: str) -> Column:
+    return F.coalesce(*[texts[n] for n in names])
 
 
 def flatten(m: Column) -> Column:
@@ -101,34 +114,34 @@ def flatten(m: Column) -> Column:
 
 
 def _location(v: Column) -> Column:
-    inside = lambda m: F.when(F.size(m) > 0, place(_first(m, "city", "town"), _text(m["country"]), _first(m, "region", "state")))
-    return F.when(_is(v, "OBJECT"), let(_map(v), inside)).when(_is(v, "STRING"), let(_text(v), split_place))
+    inside = lambda t: F.when(F.size(t) > 0, place(_first(t, "city", "town"), t["country"], _first(t, "region", "state")))
+    return F.when(_is(v, "OBJECT"), let(_scalars(_map(v)), inside)).when(_is(v, "STRING"), let(_text(v), split_place))
 
 
-def _links(v: Column, m: Column) -> Column:
+def _links(v: Column, t: Column) -> Column:
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     build = lambda a, b, c, d: F.struct(a.alias("linkedin"), b.alias("github"), c.alias("portfolio"), d.alias("other"))
     linkedin, github = (lambda u: F.contains(u, F.lit("linkedin.com"))), (lambda u: F.contains(u, F.lit("github.com")))
     last = lambda l, f: F.get(F.reverse(F.filter(l, f)), 0)  # noqa: E731, E741
     listed = lambda l: build(last(l, linkedin), last(l, lambda u: github(u) & ~linkedin(u)), none, F.filter(l, lambda u: ~linkedin(u) & ~github(u)))  # noqa: E731, E741
-    stated = lambda o: build(_text(o["linkedin"]), _text(o["github"]), _text(o["portfolio"]), F.coalesce(_text_list(o["other"]), empty))
-    root = F.struct(_first(m, "linkedin", "linkedin_url").alias("l"), _first(m, "github", "github_url").alias("g"))
+    stated = lambda o: let(_scalars(o), lambda s: build(s["linkedin"], s["github"], s["portfolio"], F.coalesce(_text_list(o["other"]), empty)))
+    root = F.struct(_first(t, "linkedin", "linkedin_url").alias("l"), _first(t, "github", "github_url").alias("g"))
     of_root = let(root, lambda r: F.when(F.coalesce(r["l"], r["g"]).isNotNull(), build(r["l"], r["g"], none, empty)))
     return F.when(_is(v, "OBJECT"), let(_map(v), stated)).when(_is(v, "ARRAY"), let(_text_list(v), listed)).otherwise(of_root)
 
 
-def _experience(v: Column, m: Column) -> Column:
+def _experience(v: Column, t: Column) -> Column:
     one = lambda e: job(_first(e, "company", "employer"), _first(e, "title", "role"), _first(e, "start", "start_date"), _first(e, "end", "end_date"), _first(e, "summary", "description"))
-    jobs = lambda l: let(F.transform(F.filter(l, lambda x: _is(x, "OBJECT")), lambda x: let(_map(x), one)), not_empty)  # noqa: E731, E741
+    jobs = lambda l: let(F.transform(F.filter(l, lambda x: _is(x, "OBJECT")), lambda x: let(_scalars(_map(x)), one)), not_empty)  # noqa: E731, E741
     none = F.lit(None)
-    root = F.struct(_first(m, "current_company", "company").alias("c"), _first(m, "title", "role").alias("t"))
+    root = F.struct(_first(t, "current_company", "company").alias("c"), _first(t, "title", "role").alias("t"))
     made = let(root, lambda r: F.when(F.coalesce(r["c"], r["t"]).isNotNull(), F.array(job(r["c"], r["t"], none, none, F.lit(SYNTHESIZED)))))
     return let(_list(v), lambda l: F.when(F.size(l) > 0, jobs(l)).otherwise(made))
 
 
 def _education(v: Column) -> Column:
     year = lambda v: F.when(_is(v, "STRING"), strip_ws(_text(v)).try_cast("int")).otherwise(F.try_variant_get(v, "$", "double").cast("int"))
-    one = lambda e: school(_first(e, "institution", "school", "college"), _text(e["degree"]), _first(e, "field", "major", "field_of_study"), year(e["end_year"]))
+    one = lambda e: let(_scalars(e), lambda t: school(_first(t, "institution", "school", "college"), t["degree"], _first(t, "field", "major", "field_of_study"), year(e["end_year"])))
     return let(F.transform(F.filter(_list(v), lambda x: _is(x, "OBJECT")), lambda x: let(_map(x), one)), not_empty)
 
 
@@ -138,8 +151,8 @@ def parse_ats(frame: DataFrame, raw: str = "raw", key: str = "candidate_key", se
     text = clean_json(F.col(raw)) if lenient else F.col(raw)
     # each step is a projection of its own, so that nothing is parsed or looked up twice
     parsed = frame.select(F.col(key), _map(F.try_parse_json(text)).alias("root")).select(key, "root", flatten(F.col("root")).alias("m"))
-    found = parsed.select(key, "root", "m", *[_by_presence(F.col("m"), f).alias(f"at_{f}") for f in ALIASES])
-    m, conf, at = F.col("m"), settings.ats_confidence, {f: F.col(f"at_{f}") for f in ALIASES}
+    found = parsed.select(key, "root", _scalars(F.col("m")).alias("texts"), *[_by_presence(F.col("m"), f).alias(f"at_{f}") for f in ALIASES])
+    texts, conf, at = F.col("texts"), settings.ats_confidence, {f: F.col(f"at_{f}") for f in ALIASES}
     split = lambda x: F.filter(F.transform(F.split(x, ","), strip_ws), lambda s: s != "")
     names = F.when(_is(at["skills"], "STRING"), let(_text(at["skills"]), split)).otherwise(_text_list(at["skills"]))
     years = at["years_experience"]
@@ -150,11 +163,11 @@ def parse_ats(frame: DataFrame, raw: str = "raw", key: str = "candidate_key", se
         "headline": _text(at["headline"]),
         "years_experience": number,
         "location": _location(at["location"]),
-        "links": _links(at["links"], m),
+        "links": _links(at["links"], texts),
         "emails": _texts(at["emails"]),
         "phones": F.when(~_is(at["phones"], "OBJECT"), _texts(at["phones"])),
         "names": names,
-        "experience": _experience(at["experience"], m),
+        "experience": _experience(at["experience"], texts),
         "education": _education(at["education"]),
     }
     found = found.select(key, "root", *[v.alias(k) for k, v in values.items()])
