@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fusewright.llm._shared import checkpointed, cut, discard, free_name, prepare, table
-from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed, windows
+from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed, slices, windows
 
 WINDOW = 13
 #: About 100 bytes each.
@@ -78,7 +78,7 @@ def _scan(shared, text_col: str, hits: str, before: bool):
 
     def run(batches):
         found: WindowSet = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts = as_bytes(batch.column(text_col))
             old = batch.column(hits).to_pylist() if before else [None] * len(texts)
             out = []
@@ -164,7 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def _cut_spans(text_col: str, hits: str):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts, found = batch.column(text_col).to_pylist(), batch.column(hits).to_pylist()
             out = []
             for text, hit in zip(texts, found, strict=True):
