@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fusewright.llm._shared import cut, discard, free_name, prepare, table
-from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed
+from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed, slices
 
 FOLDS = 5
 MAX_ROWS = 10_000
@@ -119,7 +119,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def _hashed(batches):
     """Adds the distinct feature hashes of each training text and their counts."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         texts = as_bytes(batch.column("text"))
         keys, counts, sizes = [], [], []
         for a, b in groups(texts):
@@ -250,7 +250,8 @@ def _only(shared):
 def _scored(shared, text_col: str, names: list[str]):
     def run(batches):
         chain: Chain = shared.value
-        for batch in batches:
+        # a slice's rows by features are held at once
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts = as_bytes(batch.column(text_col))
             p = [chain.probabilities(*chain.counts(texts[a:b])) for a, b in groups(texts)]
             p = np.concatenate(p) if p else np.zeros((0, len(names)))
