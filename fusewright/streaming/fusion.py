@@ -1,8 +1,9 @@
 """Fusion of a stream of source profiles.
 
 Parsing and projection are expressions and work on streams as they are. Fusion needs all sources of a candidate, so each micro-batch is
-appended to a table of profiles, and the candidates it touches are fused again from that table. A batch that is repeated after a failure
-overwrites its own partition, so its profiles count once.
+appended to a table of profiles, and the candidates it touches are fused again from that table. The table is cut into buckets by the hash
+of the candidate, and only buckets that the batch touches are read. A batch that is repeated after a failure overwrites its own
+partition, so its profiles count once.
 """
 from __future__ import annotations
 
@@ -14,6 +15,9 @@ from fusewright.operators.fuse import fuse
 from fusewright.schema import PROFILE
 from fusewright.settings import Settings
 
+#: A folder's layout: the buckets of its table of profiles.
+BUCKETS = 256
+
 
 def fuse_stream(profiles: DataFrame, folder: str, settings: Settings | None = None, **trigger) -> StreamingQuery:
     """Starts the stream. ``folder/profiles`` has all profiles, ``folder/fused`` the records of each batch by ``batch``.
@@ -24,9 +28,12 @@ def fuse_stream(profiles: DataFrame, folder: str, settings: Settings | None = No
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/profiles/batch={number}")
-        touched = spark.read.schema(PROFILE).parquet(f"{folder}/profiles/batch={number}").select("candidate_key").distinct()
-        every = spark.read.schema(PROFILE + ", batch bigint").parquet(f"{folder}/profiles").where(F.col("batch") <= number).drop("batch")
+        bucket = F.pmod(F.xxhash64("candidate_key"), F.lit(BUCKETS)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/profiles/batch={number}")
+        new = spark.read.schema(PROFILE + ", bucket int").parquet(f"{folder}/profiles/batch={number}")
+        touched, buckets = new.select("candidate_key").distinct(), [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        every = spark.read.schema(PROFILE + ", batch bigint, bucket int").parquet(f"{folder}/profiles")
+        every = every.where((F.col("batch") <= number) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
         mine = every.alias("p").join(touched.alias("t"), F.col("p.candidate_key").eqNullSafe(F.col("t.candidate_key")), "left_semi")
         fuse(mine, settings).write.mode("overwrite").parquet(f"{folder}/fused/batch={number}")
 

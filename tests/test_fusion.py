@@ -13,7 +13,7 @@ from fusewright.schema import CANONICAL, PROFILE, PROFILE_FIELDS
 from fusewright.settings import Settings
 from fusewright.sources import store
 from fusewright.sources.ats import parse_ats
-from fusewright.streaming.fusion import current, fuse_stream
+from fusewright.streaming.fusion import BUCKETS, current, fuse_stream
 
 
 def profile(source, ord_, key="k", **fields):
@@ -197,6 +197,33 @@ def test_stream(spark, tmp_path):
     frame(spark, profile("b", 1, full_name="B", conf=0.9), profile("b", 1, key="z", full_name="Z")).write.mode("append").parquet(str(source))
     fuse_stream(stream, folder, Settings(), availableNow=True).awaitTermination()
     assert sorted((r["candidate_key"], r["full_name"]) for r in current(spark, folder).collect()) == [("k", "B"), ("z", "Z")]
+    # a null key is a key too, and an empty batch touches nobody
+    for rows in ([profile("a", 0, key=None, full_name="N")], []):
+        (frame(spark, *rows) if rows else spark.createDataFrame([], PROFILE)).write.mode("append").parquet(str(source))
+        fuse_stream(stream, folder, Settings(), availableNow=True).awaitTermination()
+    frame(spark, profile("b", 1, key=None, full_name="M", conf=0.9)).write.mode("append").parquet(str(source))
+    fuse_stream(stream, folder, Settings(), availableNow=True).awaitTermination()
+    assert {r["candidate_key"]: r["full_name"] for r in current(spark, folder).collect()} == {"k": "B", "z": "Z", None: "M"}
+    assert {r["candidate_key"] for r in spark.read.schema(CANONICAL).parquet(f"{folder}/fused").collect()} == {"k", "z", None}
+
+
+def test_stream_reads_touched_buckets_only(spark, tmp_path):
+    """A bucket that the second batch does not touch may be unreadable."""
+    source, folder = tmp_path / "in", tmp_path / "out"
+    keys = [f"k{i}" for i in range(40)]
+    frame(spark, *[profile("a", 0, key=k, full_name="A") for k in keys]).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(PROFILE).parquet(str(source))
+    fuse_stream(stream, str(folder), Settings(), availableNow=True).awaitTermination()
+    bucket = spark.createDataFrame([("k0",)], "candidate_key string").selectExpr(f"pmod(xxhash64(candidate_key), {BUCKETS})").first()[0]
+    others = [p for p in (folder / "profiles").glob("batch=*/bucket=*") if p.name != f"bucket={bucket}"]
+    assert len(others) > 20
+    for other in others:
+        for part in other.glob("*.parquet"):
+            part.write_text("not a table")
+            other.joinpath(f".{part.name}.crc").unlink(missing_ok=True)
+    frame(spark, profile("b", 1, key="k0", full_name="B", conf=0.9)).write.mode("append").parquet(str(source))
+    fuse_stream(stream, str(folder), Settings(), availableNow=True).awaitTermination()
+    assert {r["candidate_key"]: r["full_name"] for r in current(spark, str(folder)).collect()}["k0"] == "B"
 
 
 def test_parsers_run_on_streams(spark, tmp_path):
