@@ -85,10 +85,13 @@ class UrlModel:
     """Statistics and trees; ``judge`` adds the verdict of the trees. Without labelled URLs of both kinds there are no trees."""
 
     def __init__(self, labelled: DataFrame, max_rows: int = MAX_ROWS, trees: int = 20, depth: int = 4):
-        """``labelled`` has url and verdict (allow or block); rows with a null in either are left out."""
+        """``labelled`` has url and verdict (allow or block); rows with a null in either are left out.
+
+        A URL counts once per verdict, however often it comes, so that the ``max_rows`` rows with the smallest hashes are as many URLs.
+        """
         host, path = host_and_path(F.col("url"))
-        rows = labelled.select("url", (F.col("verdict") == "block").cast("double").alias("target")).where("url is not null and target is not null")
-        rows = rows.orderBy(F.xxhash64("url"), "url").limit(max_rows).select("url", "target", host.alias("host"), path.alias("path"))
+        rows = labelled.select("url", (F.col("verdict") == "block").cast("double").alias("target")).where("url is not null and target is not null").distinct()
+        rows = rows.orderBy(F.xxhash64("url"), "url", "target").limit(max_rows).select("url", "target", host.alias("host"), path.alias("path"))
         rows = cut(_lexical(rows).coalesce(4))
         half = F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))
         seen, taught = rows.where(half == 0), rows.where(half == 1)

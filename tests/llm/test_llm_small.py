@@ -239,6 +239,15 @@ def test_url_rules_and_trees(spark):
     right = url_filter.filter_urls(held, labelled=labelled, rules=()).where("(verdict = 'block') = (page_id < 50)").count()
     assert right >= 95
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+    # copies of one URL do not take the places of others in the bounded sample
+    first = labelled.where("url is not null and verdict is not null").orderBy(F.xxhash64("url")).first()
+    hot = labelled.union(spark.createDataFrame([tuple(first)] * 5_000, labelled.schema))
+    for rows in (labelled, hot):
+        model = url_filter.UrlModel(rows, max_rows=300)
+        assert model.trees is not None
+        host, path = url_filter.host_and_path(F.col("url"))
+        judged = model.judge(held.select("page_id", "url", host.alias("host"), path.alias("path")))
+        assert judged.where("(judged = 'block') = (page_id < 50)").count() >= 95
 
 
 def test_chat_collapse(spark):
