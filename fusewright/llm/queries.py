@@ -7,6 +7,7 @@ from fusewright.llm.decontamination import OP10_SQL, op10_decontamination
 from fusewright.llm.embedding_dedup import OP1_SQL, op1_embedding_dedup
 from fusewright.llm.html_extract import op8_html_extract
 from fusewright.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
+from fusewright.llm.rolling_features import OP11_SQL, op11_rolling_features
 from fusewright.llm.secret_scan import op5_secret_scan
 from fusewright.llm.token_counts import op4_token_counts
 from fusewright.llm.toxicity import op2_toxicity
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
+    "op11_rolling_features": op11_rolling_features,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": OP3_SQL,
     "op7_chat_format": OP7_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_rolling_features": OP11_SQL,
 }
