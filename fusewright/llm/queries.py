@@ -6,6 +6,8 @@ from fusewright.llm.chat_format import OP7_SQL, op7_chat_format
 from fusewright.llm.decontamination import OP10_SQL, op10_decontamination
 from fusewright.llm.embedding_dedup import OP1_SQL, op1_embedding_dedup
 from fusewright.llm.html_extract import op8_html_extract
+from fusewright.llm.lexical_search import OP12_SQL, op12_lexical_search
+from fusewright.llm.line_dedup import OP13_SQL, op13_line_dedup
 from fusewright.llm.ngram_jaccard import OP3_SQL, op3_ngram_jaccard
 from fusewright.llm.rolling_features import OP11_SQL, op11_rolling_features
 from fusewright.llm.secret_scan import op5_secret_scan
@@ -25,6 +27,8 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
     "op11_rolling_features": op11_rolling_features,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op10_decontamination": OP10_SQL,
     "op11_rolling_features": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
