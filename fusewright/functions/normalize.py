@@ -42,6 +42,7 @@ COUNTRIES = {
     "canada": "CA",
     "australia": "AU",
 }
+#: Month names by their first letters, and forms of years and month numbers.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 YEAR = r"\b(20\d{2}|19\d{2})\b"
 MONTH_NUMBER = r"\b(0?[1-9]|1[0-2])\b"

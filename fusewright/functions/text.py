@@ -1,4 +1,8 @@
-"""Text: trimming, case, and extraction of emails, phones, links and locations."""
+"""Text: trimming, case, and extraction of emails, phones, links and locations.
+
+Patterns that begin with a run of characters are tied to the run's start by a look behind it, or to the end of the match before (``\\G``), and
+their runs give nothing back. A run that leads to no match is then read once, not from each of its characters: time grows with a text's length, not with its square.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -15,7 +19,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip_ws(c: Column) -> Column:
     """Without white space (Unicode's) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def truthy(c: Column) -> Column:
@@ -60,16 +64,16 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip_ws), lambda x: x != "")
 
 
-#: Fixed list of top-level domains before which white space around a dot is closed up.
+#: Top-level domains before which white space around a dot is closed up.
 TLDS = "com|org|net|edu|gov|in|io|co|info|me"
-#: Fixed pattern.
-EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+#: Fixed character classes: of the part before the @, and of the domain, which are also characters of the part before.
+EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
 def extract_emails(text: Column) -> Column:
     """Distinct addresses in order of first appearance; white space around @ and before common domains is closed up."""
-    closed = F.regexp_replace(text, r"(?U)\s*@\s*", "@")
-    closed = F.regexp_replace(closed, rf"(?iU)\s*\.\s*({TLDS})\b", ".$1")
+    closed = F.regexp_replace(text, r"(?U)(?:\G|(?<!\s))\s*+@\s*+", "@")
+    closed = F.regexp_replace(closed, rf"(?iU)(?:\G|(?<!\s))\s*+\.\s*+({TLDS})\b", ".$1")
     found = F.array_distinct(F.regexp_extract_all(closed, F.lit(EMAIL), F.lit(0)))
     # most texts have none, and need not be rewritten to see it
     return F.when(~F.contains(text, F.lit("@")), F.array().cast("array<string>")).otherwise(found)
@@ -85,8 +89,8 @@ def extract_phones(text: Column) -> Column:
     return F.transform(F.filter(found, lambda p: F.length(F.regexp_replace(p, r"[^\d+]", "")).between(10, 15)), strip_ws)
 
 
-#: Fixed pattern.
-URL = r"https?://[^\s|]+|[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}/[^\s|]+"
+#: Fixed forms of links.
+URL = r"https?://[^\s|]+|(?<![a-zA-Z0-9.-])[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}/[^\s|]+"
 PROFILE_URL = r"\b(?:github\.com/[^\s|]+|linkedin\.com/in/[^\s|]+)\b"
 
 
@@ -108,11 +112,12 @@ def any_link(links: Column) -> Column:
     return F.coalesce(links["linkedin"], links["github"], links["portfolio"]).isNotNull() | (F.size(links["other"]) > 0)
 
 
-#: Fixed pattern.
-PLACE = r"(?U)^([A-Za-z\s]+),\s*([A-Za-z\s]+)$"
-#: Countries that are looked for anywhere in a text.
+#: Fixed form of a place.
+PLACE = r"(?U)^([A-Za-z\s]++),\s*+([A-Za-z\s]++)$"
+#: Countries that are looked for anywhere in a text.
 COUNTRIES = "India|USA|United States|UK|United Kingdom|Germany|Singapore|Canada|Australia"
-PLACE_ANYWHERE = rf"(?iU)\b([A-Za-z\s]+),\s*({COUNTRIES})\b"
+#: The city begins at the first word boundary of a run of letters and white space, be that its start or the end of its first word or gap.
+PLACE_ANYWHERE = rf"(?iU)(?<![A-Za-z\s])(?:\b|[A-Za-z]++|\s++)([A-Za-z\s]++),\s*+({COUNTRIES})\b"
 
 
 def place(city: Column, country: Column, region: Column | None = None) -> Column:

@@ -1,113 +1,111 @@
 """Fusion of source profiles into one record per candidate.
 
-Every conflict is resolved by an aggregate that merges partial results (``max_by`` with the source's place as tie-break, counts, minima),
-so rows are combined before the shuffle and a candidate with very many rows does not have to fit one task. Only the skill boost
-depends on the order of sources; it is folded over one entry per source.
+Profiles are read once, as a long table of claims (``operators.claims``), and three exchanges of combined rows lead to the records: one by
+fact, one that brings a skill's sources together, one by candidate. Only the skill boost depends on the order of sources; it is folded
+over one entry per source.
+
+``entries`` has what a record lists as rows with numbers, for candidates of any size; ``records`` puts them into arrays.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusewright.functions.text import strip_ws, truthy
+from fusewright.operators.claims import FIELDS, KINDS, LISTS, SITES, claims, combine
+from fusewright.plans.staging import staged
 from fusewright.schema import CANONICAL_FIELDS, EDUCATION, EXPERIENCE, LINKS, SKILLS
 from fusewright.settings import Settings
-from fusewright.sources.profile import has_any_field
 
 HIGHEST, PRIMARY = "highest_confidence", "highest_confidence_primary"
 
 
-def arg_max(claim: Column, order: Column, present: Column | None = None) -> Column:
-    """The claim (value, confidence, source) with the highest confidence; the earliest source of equals."""
-    there = claim.isNotNull() if present is None else claim.isNotNull() & present
-    # the row's hash makes equal claims of one source come out alike on every run
-    rank = F.struct(claim["confidence"].alias("c"), (-order).alias("o"), F.xxhash64(F.to_json(claim)).alias("h"))
-    return F.max_by(F.when(there, claim), F.when(there, rank))
+def skill_fold(claimed: Column, bonus: float) -> Column:
+    """Confidence of a skill from its claims, one a source, in the order of sources: the greater of both, plus the bonus, at most 1."""
+    step = lambda s, c: F.when(s.isNull(), c).otherwise(F.least(F.lit(1.0), F.greatest(s, c) + F.lit(float(bonus))))
+    return F.aggregate(F.transform(claimed, lambda c: c["c"]), F.lit(None).cast("double"), step)
 
 
-def link_claim(site: str) -> Column:
-    value = truthy(F.col("links.value")[site])
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.col("links.confidence").alias("confidence"), F.col("links.source").alias("source")))
+def together(combined: DataFrame, settings: Settings) -> DataFrame:
+    """Combined claims with a skill's sources in one row: ``skill`` has its confidence and sources, ``first`` its first place."""
+    claim = F.struct("first.ord", "first.pos", "first.c", F.col("sub").alias("source"))
+    cells = [k for k in combined.columns if k not in ("candidate_key", "kind", "a", "b", "alone", "sub")]
+    # all but skills have one row of their name already, which passes as it is
+    gathered = combined.groupBy("candidate_key", "kind", "a", "b", "alone").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "skill", claim))).alias("claims"), *[F.min(k).alias(k) for k in cells])
+    skill = F.struct(F.col("a").alias("name"), skill_fold(F.col("claims"), settings.agreement_bonus).alias("confidence"), F.transform("claims", lambda c: c["source"]).alias("sources"))
+    return gathered.withColumn("skill", F.when(F.col("kind") == "skill", skill)).drop("claims")
 
 
-def skill_fold(claims: Column, bonus: float) -> Column:
-    """Confidence of a skill from its claims, one a source, in the order of sources: the greater of both, plus the bonus, at most 1."""
-    step = lambda s, c: F.when(s.isNull(), c).otherwise(F.least(F.lit(1.0), F.greatest(s, c) + F.lit(float(bonus))))
-    return F.aggregate(F.transform(claims, lambda c: c["confidence"]), F.lit(None).cast("double"), step)
+def _entry(kind: str) -> Column:
+    """What a row of ``together`` adds to the record's list of its kind."""
+    long = lambda k: F.col(f"long{k}.v")
+    return {
+        "skill": F.col("skill"),
+        "other": F.col("a"),
+        "experience": F.struct(F.col("first.x").alias("company"), F.col("first.y").alias("title"), long(1).alias("start"), long(2).alias("end"), long(3).alias("summary")),
+        "education": F.struct(F.col("first.x").alias("institution"), F.col("first.y").alias("degree"), long(1).alias("field"), F.col("top").alias("end_year")),
+    }[kind]
+
+
+def _sorted(kind: str) -> Column:
+    """The list of a kind in the record's order: skills by confidence, equal ones and all else by first appearance."""
+    entry = F.struct((-F.col("skill.confidence") if kind == "skill" else F.lit(0.0)).alias("c"), F.col("first").alias("place"), F.col("a"), _entry(kind).alias("e"))
+    return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
+
+
+_LISTED = {"skill": SKILLS, "experience": EXPERIENCE, "education": EDUCATION, "other": "array<string>"}
+
+
+def _listed(profiles: DataFrame, kind: str, name: str, settings: Settings, *more: Column) -> DataFrame:
+    rows = together(combine(claims(profiles, (kind,))), settings)
+    return rows.groupBy("candidate_key").agg(_sorted(kind).alias("l")).select("candidate_key", F.transform("l", lambda x: x["e"]).cast(_LISTED[kind]).alias(name), *more)
+
+
+def _skill_mean() -> Column:
+    """Mean confidence of the skills in ``l``, added up in the order of their first appearance."""
+    ordered = F.array_sort(F.transform("l", lambda x: F.struct(x["place"].alias("place"), x["e"]["confidence"].alias("c"))))
+    return F.aggregate(ordered, F.lit(0.0), lambda t, x: t + x["c"]) / F.nullif(F.size("l"), F.lit(0))
 
 
 def fuse_skills(profiles: DataFrame, settings: Settings) -> DataFrame:
     """(candidate_key, skills, skill_mean): by name the boosted confidence and sources; by confidence, equal ones by first appearance."""
-    each = profiles.select("candidate_key", "source_ord", F.posexplode("skills").alias("pos", "s"))
-    first = each.groupBy("candidate_key", F.col("s.name").alias("name"), F.col("s.source").alias("source")).agg(F.min(F.struct("source_ord", "pos", F.col("s.confidence").alias("confidence"))).alias("at"))
-    claims = F.array_sort(F.collect_list(F.struct(F.col("at.source_ord").alias("ord"), F.col("at.pos").alias("pos"), F.col("at.confidence").alias("confidence"), "source")))
-    named = first.groupBy("candidate_key", "name").agg(claims.alias("claims"))
-    skill = F.struct("name", skill_fold(F.col("claims"), settings.agreement_bonus).alias("confidence"), F.transform("claims", lambda c: c["source"]).alias("sources"))
-    place = F.struct(F.get("claims", 0)["ord"].alias("ord"), F.get("claims", 0)["pos"].alias("pos"))
-    order = lambda a, b: (
-        F.when(a["skill"]["confidence"] > b["skill"]["confidence"], -1)
-        .when(a["skill"]["confidence"] < b["skill"]["confidence"], 1)
-        .when(a["place"] < b["place"], -1)
-        .when(a["place"] > b["place"], 1)
-        .otherwise(0)
-    )
-    listed = named.groupBy("candidate_key").agg(F.array_sort(F.collect_list(F.struct(skill.alias("skill"), place.alias("place"))), order).alias("l"))
-    total = F.aggregate(F.transform(F.array_sort("l", lambda a, b: F.when(a["place"] < b["place"], -1).otherwise(1)), lambda x: x["skill"]["confidence"]), F.lit(0.0), lambda t, c: t + c)
-    return listed.select("candidate_key", F.transform("l", lambda x: x["skill"]).alias("skills"), (total / F.size("l")).alias("skill_mean"))
-
-
-def _longest(value: Column, place: Column) -> Column:
-    """The longest of the values, the first of equals; null and empty ones do not count."""
-    given = truthy(value)
-    return F.max_by(given, F.when(given.isNotNull(), F.struct(F.length(given).alias("n"), (-place["ord"]).alias("o"), (-place["pos"]).alias("p"))))
-
-
-def _entries(profiles: DataFrame, column: str, keys: tuple[str, str]) -> DataFrame:
-    """Each entry with its place and the key by which duplicates meet; an entry without both parts of the key is alone."""
-    each = profiles.select("candidate_key", "source_ord", F.col("source"), F.posexplode(column).alias("pos", "e"))
-    a, b = (F.lower(strip_ws(truthy(F.col(f"e.{k}")))) for k in keys)
-    place = F.struct(F.col("source_ord").alias("ord"), F.col("pos"), F.xxhash64("source", F.to_json("e")).alias("h"))
-    both = a.isNotNull() & b.isNotNull()
-    key = F.struct(F.when(both, a).alias("a"), F.when(both, b).alias("b"), F.when(~both, place).alias("alone"))
-    return each.select("candidate_key", place.alias("place"), "e", key.alias("key"))
-
-
-def _listed(entries: DataFrame, fields: list[Column], name: str, kind: str) -> DataFrame:
-    merged = entries.groupBy("candidate_key", "key").agg(F.min("place").alias("place"), *fields)
-    names = [f"_{k}" for k in _fields_of(kind)]
-    entry = F.struct("place", *[F.col(n).alias(n[1:]) for n in names])
-    listed = merged.groupBy("candidate_key").agg(F.array_sort(F.collect_list(entry)).alias("l"))
-    return listed.select("candidate_key", F.transform("l", lambda x: F.struct(*[x[n[1:]].alias(n[1:]) for n in names])).cast(kind).alias(name))
-
-
-def _fields_of(kind: str) -> list[str]:
-    from fusewright.schema import parsed
-
-    return parsed(kind).elementType.names
+    return _listed(profiles, "skill", "skills", settings, _skill_mean().alias("skill_mean"))
 
 
 def fuse_experience(profiles: DataFrame) -> DataFrame:
     """(candidate_key, experience): jobs of the same company and title become one, with the longest dates and summary."""
-    entries, place = _entries(profiles, "experience", ("company", "title")), F.col("place")
-    first = lambda k: F.min_by(F.col(f"e.{k}"), place).alias(f"_{k}")
-    fields = [first("company"), first("title"), *[_longest(F.col(f"e.{k}"), place).alias(f"_{k}") for k in ("start", "end", "summary")]]
-    return _listed(entries, fields, "experience", EXPERIENCE)
+    return _listed(profiles, "experience", "experience", Settings())
 
 
 def fuse_education(profiles: DataFrame) -> DataFrame:
     """(candidate_key, education): schools of the same institution and degree become one, with the longest field and last year."""
-    entries, place = _entries(profiles, "education", ("institution", "degree")), F.col("place")
-    first = lambda k: F.min_by(F.col(f"e.{k}"), place).alias(f"_{k}")
-    fields = [first("institution"), first("degree"), _longest(F.col("e.field"), place).alias("_field"), F.max("e.end_year").alias("_end_year")]
-    return _listed(entries, fields, "education", EDUCATION)
+    return _listed(profiles, "education", "education", Settings())
 
 
 def fuse_other_links(profiles: DataFrame) -> DataFrame:
     """(candidate_key, other): the distinct further links in order of first appearance."""
-    each = profiles.select("candidate_key", "source_ord", F.posexplode("links.value.other").alias("pos", "link"))
-    first = each.groupBy("candidate_key", "link").agg(F.min(F.struct("source_ord", "pos")).alias("place"))
-    listed = first.groupBy("candidate_key").agg(F.array_sort(F.collect_list(F.struct("place", "link"))).alias("l"))
-    return listed.select("candidate_key", F.transform("l", lambda x: x["link"]).alias("other"))
+    return _listed(profiles, "other", "other", Settings())
+
+
+def entries(profiles: DataFrame, kind: str, settings: Settings | None = None) -> DataFrame:
+    """(candidate_key, position, entry): a list of the records as rows, numbered from 0 within a candidate, however many there are.
+
+    ``kind`` is one of ``claims.LISTS``; the order is that of the record's array. Rows are sorted by ranges of candidate and place, so that a hot
+    candidate lies in several partitions; a row's number is its number in its partition and what the partitions before hold of
+    the candidate.
+    """
+    if kind not in LISTS:
+        raise ValueError(f"kind must be one of {LISTS}")
+    rows = together(combine(claims(profiles, (kind,))), settings or Settings())
+    c = -F.col("skill.confidence") if kind == "skill" else F.lit(0.0)
+    order = ["candidate_key", "c", "place", "a"]
+    flat = rows.select("candidate_key", c.alias("c"), F.col("first").alias("place"), "a", _entry(kind).alias("entry"))
+    ranged = staged(flat.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
+    runs = ranged.groupBy("candidate_key", "part").agg(F.min("row").alias("low"), F.count("*").alias("n"))
+    before = Window.partitionBy("candidate_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("candidate_key").alias("k"), F.col("part").alias("p"), "low", "before")
+    both = ranged.join(runs, F.col("candidate_key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
+    return both.select("candidate_key", (F.col("row") - F.col("low") + F.col("before")).alias("position"), "entry")
 
 
 def mean_of(*terms: Column) -> Column:
@@ -120,49 +118,48 @@ def candidate_id(email: Column, name: Column) -> Column:
     return F.coalesce(F.md5(F.lower(strip_ws(F.coalesce(truthy(email), truthy(name))))), F.lit("unknown"))
 
 
-def fuse(profiles: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """One canonical record (``schema.CANONICAL``) per candidate_key, with sources_attempted and sources_used.
-
-    Empty profiles count as attempted only; a candidate without any other has no record. A null key is a key like any other.
-    """
-    settings = settings or Settings()
-    useful = profiles.where(has_any_field())
-    order = F.col("source_ord")
-    size = lambda c: F.size(F.col(f"{c}.value")) > 0
-    winners = {k: arg_max(F.col(k), order) for k in ("full_name", "headline", "years_experience", "location")}
-    winners |= {k: arg_max(link_claim(k), order) for k in ("linkedin", "github", "portfolio")}
-    winners |= {k: arg_max(F.col(k), order, size(k)) for k in ("emails", "phones")}
-    scalars = useful.groupBy("candidate_key").agg(*[c.alias(f"w_{k}") for k, c in winners.items()], F.bool_or(F.col("links").isNotNull()).alias("has_links"), F.count("*").alias("sources_used"))
-    attempts = profiles.groupBy("candidate_key").agg(F.count("*").alias("sources_attempted"))
-    joined = scalars.withColumnRenamed("candidate_key", "k")
-    for more in (fuse_skills(useful, settings), fuse_experience(useful), fuse_education(useful), fuse_other_links(useful), attempts):
-        names = [c for c in more.columns if c != "candidate_key"]
-        joined = joined.join(more.select(F.col("candidate_key").alias("k2"), *names), F.col("k").eqNullSafe(F.col("k2")), "left").drop("k2")
+def records(rows: DataFrame) -> DataFrame:
+    """One canonical record per candidate from rows of ``together``."""
+    best = {k: F.max(F.when(F.col("kind") == k, F.col("best"))).alias(f"w_{k}") for k in (*FIELDS, *SITES)}
+    lists = [_sorted(k).alias(f"l_{k}") for k in LISTS]
+    counts = [F.max(k).alias(m) for k, m in (("n", "sources_attempted"), ("used", "sources_used"))]
+    has_links = F.max(F.when(F.col("kind") == "profile", F.col("top"))).alias("has_links")
+    joined = rows.groupBy("candidate_key").agg(*best.values(), *lists, *counts, has_links).where("sources_used > 0")
 
     w = lambda k: F.col(f"w_{k}")
-    empty = F.array().cast("array<string>")
-    primary = lambda k: F.when(w(k).isNotNull(), F.array(F.get(w(k)["value"], 0))).otherwise(empty)
-    links = F.when(F.col("has_links"), F.struct(*[w(k)["value"].alias(k) for k in ("linkedin", "github", "portfolio")], F.coalesce("other", empty).alias("other")))
+    listed = lambda k: F.transform(f"l_{k}", lambda x: x["e"]).cast(_LISTED[k])
+    primary = lambda k: F.when(w(k).isNotNull(), F.array(F.get(w(k)["list"], 0))).otherwise(F.array().cast("array<string>"))
+    links = F.when(F.col("has_links") > 0, F.struct(*[w(k)["text"].alias(k) for k in SITES], listed("other").alias("other")))
     entry = lambda k, field, method: F.when(w(k).isNotNull(), F.struct(F.lit(field).alias("field"), w(k)["source"].alias("source"), F.lit(method).alias("method")))
     trail = [entry(k, k, HIGHEST) for k in ("full_name", "headline", "years_experience", "location")]
-    trail += [entry(k, f"links.{k}", HIGHEST) for k in ("linkedin", "github", "portfolio")]
+    trail += [entry(k, f"links.{k}", HIGHEST) for k in SITES]
     trail += [entry(k, k, PRIMARY) for k in ("emails", "phones")]
-    confidence = lambda k: w(k)["confidence"]
-    link_mean = mean_of(*[confidence(k) for k in ("linkedin", "github", "portfolio")])
+    confidence = lambda k: w(k)["c"]
+    link_mean = mean_of(*[confidence(k) for k in SITES])
     overall = mean_of(*[confidence(k) for k in ("full_name", "headline", "years_experience", "location")], link_mean, confidence("emails"), confidence("phones"), F.col("skill_mean"))
     cells = {
-        "candidate_id": candidate_id(F.get(w("emails")["value"], 0), w("full_name")["value"]),
-        "full_name": w("full_name")["value"],
+        "candidate_id": candidate_id(F.get(w("emails")["list"], 0), w("full_name")["text"]),
+        "full_name": w("full_name")["text"],
         "emails": primary("emails"),
         "phones": primary("phones"),
-        "location": w("location")["value"],
+        "location": w("location")["at"],
         "links": links.cast(LINKS),
-        "headline": w("headline")["value"],
-        "years_experience": w("years_experience")["value"],
-        "skills": F.coalesce("skills", F.array().cast(SKILLS)),
-        "experience": F.coalesce("experience", F.array().cast(EXPERIENCE)),
-        "education": F.coalesce("education", F.array().cast(EDUCATION)),
+        "headline": w("headline")["text"],
+        "years_experience": w("years_experience")["number"],
+        "skills": listed("skill"),
+        "experience": listed("experience"),
+        "education": listed("education"),
         "provenance": F.filter(F.array(*trail), lambda p: p.isNotNull()),
         "overall_confidence": F.coalesce(F.round(overall, 2), F.lit(0.0)),
     }
-    return joined.select(F.col("k").alias("candidate_key"), *[cells[k].cast(kind).alias(k) for k, kind in CANONICAL_FIELDS.items()], "sources_attempted", "sources_used")
+    scored = joined.withColumn("l", F.col("l_skill")).withColumn("skill_mean", _skill_mean())
+    return scored.select("candidate_key", *[cells[k].cast(kind).alias(k) for k, kind in CANONICAL_FIELDS.items()], "sources_attempted", "sources_used")
+
+
+def fuse(profiles: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """One canonical record (``schema.CANONICAL``) per candidate_key, with sources_attempted and sources_used.
+
+    Empty profiles count as attempted only; a candidate without any other has no record. A null key is a key like any other. A record
+    holds its lists as arrays, in one task; ``entries`` has them as rows.
+    """
+    return records(together(combine(claims(profiles, KINDS)), settings or Settings()))

@@ -183,17 +183,17 @@ def is_degree(line: Column) -> Column:
 def lookahead(lines: Column, flag) -> Column:
     """array<struct<line, next>> of the flagged lines, each of which consumes the line after it.
 
-    In a run of flagged lines those at odd places start an entry, the others are consumed.
+    In a run of flagged lines those at odd places start an entry, the others are consumed. The flags are one text, in which pairs are
+    replaced from the left: one pass over the lines, however many.
     """
 
     def entries(lines: Column) -> Column:
-        flagged = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), flag(x).alias("is")))
-        return X.let(flagged, lambda fs: X.let(F.transform(F.filter(fs, lambda p: ~p["is"]), lambda p: p["i"]), lambda others: starts(lines, fs, others)))
+        flags = F.array_join(F.transform(lines, lambda x: F.when(flag(x), "1").otherwise("0")), "")
+        return X.let(F.split(F.replace(flags, F.lit("11"), F.lit("10")), ""), lambda starts: chosen(lines, starts))
 
-    def starts(lines: Column, flagged: Column, others: Column) -> Column:
-        before = lambda i: F.coalesce(F.array_max(F.filter(others, lambda o: o < i)), F.lit(-1))
-        odd = F.filter(flagged, lambda p: p["is"] & ((p["i"] - before(p["i"])) % 2 == 1))
-        return F.transform(odd, lambda p: F.struct(p["x"].alias("line"), F.get(lines, p["i"] + 1).alias("next")))
+    def chosen(lines: Column, starts: Column) -> Column:
+        pairs = F.transform(lines, lambda x, i: F.when(F.get(starts, i) == "1", F.struct(x.alias("line"), F.get(lines, i + 1).alias("next"))))
+        return F.filter(pairs, lambda p: p.isNotNull())
 
     return X.let(lines, entries)
 
