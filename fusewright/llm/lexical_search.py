@@ -2,7 +2,8 @@
 
 Documents are taken in blocks of a few megabytes of text. A term's postings of one block are one row: the ids of the documents that hold it,
 how often, and how long they are. So a term in every document has as many rows as there are blocks, not as many as documents,
-and no row is larger than a block. The table is dealt by (bucket of the term, range of blocks) and sorted by term.
+and no row is larger than a block. Each task sorts what it made by the term's bucket and the term before it writes it, so a search for few terms
+reads the pages of their buckets only, and building the index needs no shuffle.
 
 A search joins the items' terms twice: once for their document frequencies, from a column of counts, and once for the lists, with
 each term's weight. What matches is then dealt by block: all terms of a block's documents meet there, so that summing by item and document needs no
@@ -20,9 +21,7 @@ from pyspark.sql import types as T
 from fusewright.llm._shared import cut, discard, prepare, table
 from fusewright.llm._text import ALNUM, Words, as_bytes, slices
 
-BUCKETS, BLOCK_BYTES, TOP = 16, 4 << 20, 50
-#: Blocks that share a partition of a bucket.
-RANGE = 64
+BUCKETS, BLOCK_BYTES, TOP = 64, 8 << 20, 50
 #: A broadcast of search terms has this many at most, with this many items' references.
 MAX_BROADCAST_TERMS, MAX_BROADCAST_REFERENCES = 100_000, 1_000_000
 #: Items in one list of a term's items.
@@ -102,9 +101,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     of = lambda kind: T.ArrayType(kind)
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n_docs", T.IntegerType()), T.StructField("docs", of(slim.schema["id"].dataType)), T.StructField("tfs", of(T.IntegerType())), T.StructField("lens", of(T.IntegerType()))])
     lists = slim.mapInArrow(_blocks(block_bytes), schema).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket"), "*")
-    # the partition of the task is in the block's upper bits, so ranges of both keep a bucket's postings of many blocks apart
-    own = (F.shiftright("block", 32) * 31 + F.col("block").bitwiseAND(0xFFFFFFFF)) / RANGE
-    return cut(lists.repartition("bucket", own.cast("long")).sortWithinPartitions("bucket", "term", "block"))
+    return cut(lists.sortWithinPartitions("bucket", "term", "block"))
 
 
 def _item_terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -122,7 +119,8 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", text_c
     are null, empty or without a known term, and empty tables, give no rows.
     """
     spark = index.sparkSession
-    total = index.where("term = ''").agg(F.sum("n_docs").alias("N"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda t, x: t + x)).alias("L")).first()
+    every = F.expr(f"term = '' AND bucket = pmod(xxhash64(''), {buckets})")
+    total = index.where(every).agg(F.sum("n_docs").alias("N"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda t, x: t + x)).alias("L")).first()
     n_docs, n_terms = total["N"] or 0, total["L"] or 1
     wanted = cut(_item_terms(items, item_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))))
     sizes = wanted.agg(F.countDistinct("term").alias("terms"), F.count("*").alias("references")).first()
