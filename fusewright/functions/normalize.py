@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fusewright.functions.phones import normalize_phone
 from fusewright.functions.text import let, strip_ws, truthy
 from fusewright.settings import Settings
 
@@ -46,11 +47,6 @@ COUNTRIES = {
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 YEAR = r"\b(20\d{2}|19\d{2})\b"
 MONTH_NUMBER = r"\b(0?[1-9]|1[0-2])\b"
-#: Assigned country calling codes, by zone.
-CALLING_CODE = (
-    r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-3689]|2[2-6]\d|29[0179]|35\d|37\d|38[0-35-79]|42[013]|"
-    r"50\d|59\d|6[78]\d|69[0-2]|85[02356]|88[0-8]|96\d|97[0-79]|99[2-68]"
-)
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -61,21 +57,6 @@ def normalize_email(c: Column) -> Column:
     return F.lower(strip_ws(c))
 
 
-def normalize_phone(c: Column) -> Column:
-    """E.164 where the digits allow it (national numbers are taken for Indian ones), else unchanged."""
-    return let(F.regexp_replace(c, r"[^\d+]", ""), lambda kept: _e164(kept, c))
-
-
-def _e164(kept: Column, c: Column) -> Column:
-    return (
-        F.when(kept.rlike(rf"^\+(?=\d{{8,15}}$)(?:{CALLING_CODE})\d+$"), kept)
-        .when(kept.rlike(r"^0[6-9]\d{9}$"), F.concat(F.lit("+91"), F.substring(kept, 2, 10)))
-        .when(kept.startswith("91") & (F.length(kept) == 12), F.concat(F.lit("+"), kept))
-        .when(F.length(kept) == 10, F.concat(F.lit("+91"), kept))
-        .otherwise(c)
-    )
-
-
 def normalize_skill(c: Column) -> Column:
     return F.coalesce(lookup(SKILLS, F.lower(strip_ws(c))), strip_ws(c))
 

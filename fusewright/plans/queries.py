@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusewright.functions import normalize as N
+from fusewright.functions import phones as P
 from fusewright.functions import text as X
 from fusewright.operators import fuse as FU
 from fusewright.operators import sections as S
@@ -99,6 +100,50 @@ def normalize_phone(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", N.normalize_phone(F.expr(PHONE_INPUT.replace("VARCHAR", "STRING"))).alias("phone"))
 
 
+PLAN_SQL = "plan(code, least, most, leads) AS (VALUES " + ", ".join("('{}', {}, {}, '{}')".format(*row.split()) for row in P.PLAN.strip().splitlines()) + ")"
+
+
+def e164_sql(given: str) -> str:
+    """CTEs from ``given`` (id, i, j, raw) to ``numbered`` (the same and e164), by the table of the plan."""
+    fits = lambda code, national: f"length({national}) BETWEEN coalesce(p.least, 5) AND coalesce(p.most, 12) AND contains(coalesce(p.leads, '0123456789'), substr({national}, 1, 1))"
+    return rf"""
+k AS (SELECT *, regexp_replace(raw, '[^\d+]', '', 'g') AS kept FROM {given}),
+a AS (SELECT *, CASE WHEN regexp_matches(kept, '^\+\d+$') THEN substr(kept, 2) WHEN regexp_matches(kept, '^00\d+$') THEN substr(kept, 3) END AS abroad, CASE WHEN regexp_matches(kept, '^\d+$') AND NOT kept LIKE '00%' THEN kept END AS home FROM k),
+c AS (SELECT *, regexp_extract(abroad, '^(?:{P.CALLING_CODE})') AS code FROM a),
+r AS (SELECT *, CASE WHEN code <> '39' AND substr(abroad, length(code) + 1, 1) = '0' THEN substr(abroad, length(code) + 2) ELSE substr(abroad, length(code) + 1) END AS rest, CASE WHEN home LIKE '0%' THEN substr(home, 2) ELSE home END AS near FROM c),
+numbered AS (SELECT id, i, j, raw, CASE WHEN abroad IS NOT NULL THEN CASE WHEN r.code <> '' AND {fits("r.code", "rest")} AND (r.code <> '1' OR (regexp_matches(rest, '^[2-9]\d\d[2-9]\d{{6}}$') AND substr(rest, 2, 2) <> '11' AND substr(rest, 1, 3) <> '555' AND substr(rest, 5, 2) <> '11')) THEN '+' || r.code || rest END
+  WHEN regexp_matches(near, '^[1-9]\d{{9}}$') THEN '+91' || near WHEN regexp_matches(home, '^91[1-9]\d{{9}}$') THEN '+' || home END AS e164 FROM r LEFT JOIN plan p ON p.code = r.code)"""
+
+
+PLAN_INPUT = (
+    "CASE c_custkey % 9 WHEN 0 THEN concat('+1 (', 200 + c_custkey % 700, ') ', 100 + c_custkey % 899, '-', 1000 + c_custkey % 9000) WHEN 1 THEN concat('0044 20 7', 1000000 + c_custkey) WHEN 2 THEN concat('+65 ', 10000000 + c_custkey * 577) "
+    "WHEN 3 THEN concat('0', 22000 + c_custkey % 60000, '-', 10000 + c_custkey % 89999) WHEN 4 THEN concat('+49 (0)30 ', c_custkey) WHEN 5 THEN concat('+', c_custkey * 7919, '12345') WHEN 6 THEN concat('91', 9000000000 + c_custkey) WHEN 7 THEN concat('+39 0', 100000 + c_custkey) ELSE concat('x', c_custkey) END"
+)
+
+
+@query("phone_plan", rf"""
+WITH {PLAN_SQL}, given AS (SELECT c_custkey AS id, 0 AS i, 0 AS j, {PLAN_INPUT} AS raw FROM customer), {e164_sql("given")}
+SELECT id AS c_custkey, raw, e164 IS NOT NULL AS valid,
+  coalesce(e164, CASE WHEN d LIKE '91%' AND length(d) = 12 THEN '+' || d WHEN length(d) = 10 THEN '+91' || d ELSE raw END) AS phone FROM (SELECT *, regexp_replace(raw, '[^\d+]', '', 'g') AS d FROM numbered)
+""")
+def phone_plan(spark, sf):
+    given = table(spark, sf, "customer").select("c_custkey", F.expr(PLAN_INPUT).alias("raw"))
+    return given.select("c_custkey", "raw", P.e164(F.col("raw")).isNotNull().alias("valid"), N.normalize_phone(F.col("raw")).alias("phone"))
+
+
+@query("match_phones", rf"""
+WITH {PLAN_SQL}, runs AS (SELECT doc_id, regexp_extract_all(text, '{P.CANDIDATE}', 2) AS r, regexp_extract_all(text, '{P.CANDIDATE}', 3) AS after FROM documents),
+one AS (SELECT doc_id AS id, i, r[i] AS run FROM (SELECT doc_id, r, after, unnest(range(1, len(r) + 1)) AS i FROM runs) WHERE after[i] = ''),
+given AS (SELECT id, i, 0 AS j, run AS raw FROM one UNION ALL SELECT id, i, j, s[j] FROM (SELECT id, i, s, unnest(range(1, len(s) + 1)) AS j FROM (SELECT id, i, regexp_split_to_array(run, ' +') AS s FROM one))), {e164_sql("given")},
+v AS (SELECT id, i, j, e164, bool_or(j = 0) OVER (PARTITION BY id, i) AS whole FROM numbered WHERE e164 IS NOT NULL),
+f AS (SELECT id, e164, min(i * 1000 + j) AS place FROM v WHERE j = 0 OR NOT whole GROUP BY ALL)
+SELECT id AS doc_id, string_agg(e164, '|' ORDER BY place) AS phones FROM f GROUP BY id
+""")
+def match_phones(spark, sf):
+    found = table(spark, sf, "documents").select("doc_id", P.matched_phones(F.col("text")).alias("p"))
+    return found.where(F.size("p") > 0).select("doc_id", joined(F.col("p")).alias("phones"))
+
+
 DATE_INPUT = "CASE o_orderkey % 7 WHEN 0 THEN {month} WHEN 1 THEN {slash} WHEN 2 THEN {year} WHEN 3 THEN 'Currently here' WHEN 4 THEN ' soon ' WHEN 5 THEN {day} ELSE '' END"
 NORMAL_DATE = r"""CASE WHEN raw = '' THEN NULL WHEN contains(d, 'present') OR contains(d, 'current') THEN 'Present' WHEN y = '' THEN d
   ELSE y || '-' || lpad(coalesce(CAST((SELECT min(i) FROM range(1, 13) r(i) WHERE contains(d, ['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'][i])) AS VARCHAR),

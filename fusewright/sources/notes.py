@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions import text as X
+from fusewright.functions.phones import find_phones
 from fusewright.settings import Settings
 from fusewright.sources.profile import not_empty, profiles, skill_claims, tagged
 
@@ -31,7 +32,7 @@ def parse_notes(frame: DataFrame, text: str = "text", key: str = "candidate_key"
         "location": tag(X.extract_location(t)),
         "links": tag(F.when(X.any_link(links), links)),
         "emails": tag(not_empty(X.extract_emails(t))),
-        "phones": tag(not_empty(X.extract_phones(t))),
+        "phones": tag(not_empty(find_phones(t))),
         "skills": skill_claims(skills, settings.recruiter_notes_confidence, SOURCE),
     }
     return profiles(frame, key, SOURCE, settings.ord(SOURCE), parts, F.when(t.isNull(), F.lit("no text")))

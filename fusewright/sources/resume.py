@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fusewright.functions import text as X
 from fusewright.functions.normalize import tenure_years
+from fusewright.functions.phones import find_phones
 from fusewright.operators import sections as S
 from fusewright.settings import Settings
 from fusewright.sources.profile import not_empty, profiles, skill_claims, tagged
@@ -42,7 +43,7 @@ def parse_resumes(frame: DataFrame, text: str = "text", ext: str = "ext", key: s
         "location": tag(X.extract_location(t)),
         "links": tag(F.when(X.any_link(links), links)),
         "emails": tag(not_empty(X.extract_emails(t))),
-        "phones": tag(not_empty(X.extract_phones(t))),
+        "phones": tag(not_empty(find_phones(t))),
         "skills": skill_claims(F.coalesce(listed, S.skills_in(t)), conf, source),
         "experience": F.col("jobs"),
         "education": not_empty(S.parse_education(S.section(blocks, "EDUCATION"))),

@@ -1,7 +1,9 @@
 """A table of processed candidates in Parquet, and JSON sinks.
 
-The table is a folder of numbered versions; the newest complete one counts. Saving appends to it, deleting writes the next version
-without the row, clearing writes an empty one. Ids go on after deletions. One writer at a time is assumed, as with a local database.
+The table is a folder of numbered versions; the newest complete one counts. Saving appends to it, clearing begins an empty one. A version
+is cut into folders by ranges of ids, so looking up an id reads the one folder that may have it. Deleting writes the id to a small table beside
+the version, which reading leaves out by an anti-join: no row is written again. ``compact`` writes a version without deleted rows. Ids go on
+after deletions. One writer at a time is assumed, as with a local database.
 """
 from __future__ import annotations
 
@@ -83,10 +85,10 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 
 class CandidateStore:
-    """See the module."""
+    """See the module. ``ids_per_folder`` is a table's for life."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, ids_per_folder: int = 1_000_000):
+        self.spark, self.path, self.ids_per_folder = spark, path.rstrip("/"), ids_per_folder
         self.versions = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self.files = self.versions.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -101,17 +103,45 @@ class CandidateStore:
     def init(self) -> None:
         """Creates the table if it is not there."""
         if not self._version():
-            self._replace(self.spark.createDataFrame([], STORE))
+            self._empty()
 
-    def _replace(self, rows: DataFrame) -> None:
-        rows.select(*[c.split()[0] for c in STORE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v{self._version() + 1}")
+    def _path(self, at: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{at}")
 
-    def rows(self) -> DataFrame:
+    def _write(self, rows: DataFrame, version: int, mode: str) -> None:
+        folder = F.floor((F.col("id") - 1) / self.ids_per_folder)
+        columns = [c.split()[0] for c in STORE.split(", ")]
+        rows.select(*columns, folder.alias("id_range")).sortWithinPartitions("id_range", "id").write.mode(mode).partitionBy("id_range").parquet(f"{self.path}/v{version}")
+
+    def _empty(self) -> None:
+        self._write(self.spark.createDataFrame([], STORE), self._version() + 1, "overwrite")
+
+    def _written(self) -> DataFrame:
+        """The version's rows, with those deleted since."""
         self.init()
-        return self.spark.read.schema(STORE).parquet(f"{self.path}/v{self._version()}")
+        return self.spark.read.schema(STORE + ", id_range bigint").parquet(f"{self.path}/v{self._version()}")
+
+    def _rows(self, row_id: int | None = None) -> DataFrame:
+        """The rows that are there; with an id those of the folder that may have it."""
+        every, version = self._written(), self._version()
+        if row_id is not None:
+            every = every.where((F.col("id_range") == (row_id - 1) // self.ids_per_folder) & (F.col("id") == row_id))
+        every = every.drop("id_range")
+        if self.files.exists(self._path(f"gone/v{version}")):
+            gone = self.spark.read.schema("id bigint").parquet(f"{self.path}/gone/v{version}")
+            every = every.join(gone if row_id is None else gone.where(F.col("id") == row_id), "id", "left_anti")
+        return every
+
+    def rows(self) -> DataFrame:
+        return self._rows()
+
+    def compact(self) -> None:
+        """Writes the rows that are there as the next version, without what was deleted."""
+        self._mark()
+        self._write(self._rows().repartitionByRange("id"), self._version() + 1, "overwrite")
 
     def _last_id(self) -> int:
-        top = self.rows().agg(F.max("id")).first()[0] or 0
+        top = self._written().agg(F.max("id")).first()[0] or 0
         marks = f"{self.path}/last_ids"
         if self.files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(marks)):
             top = max(top, self.spark.read.schema("last bigint").parquet(marks).agg(F.max("last")).first()[0] or 0)
@@ -137,7 +167,7 @@ class CandidateStore:
             numbered = staged.withColumn("p", part).join(offsets, "p").withColumn("id", F.col("start") + F.expr("at & 8589934591L") + 1)
         else:
             numbered = staged.withColumn("id", begin[part].cast("bigint") + F.expr("at & 8589934591L") + 1)
-        numbered.select(*[c.split()[0] for c in STORE.split(", ")]).write.mode("append").parquet(f"{self.path}/v{self._version()}")
+        self._write(numbered.repartitionByRange(len(starts), "id"), self._version(), "append")
         return last + 1, total - last
 
     def latest(self, limit: int = 200) -> DataFrame:
@@ -146,19 +176,20 @@ class CandidateStore:
 
     def get(self, row_id: int) -> DataFrame:
         """The row with that id, if any; its records are JSON text."""
-        return lookup(self.rows(), row_id)
+        return self._rows(row_id)
 
     def record(self, row_id: int) -> DataFrame:
         """The row with that id, its records read back: ``final_profile`` as a struct, ``projected_profile`` as a variant."""
         return decoded(self.get(row_id))
 
     def delete(self, row_id: int) -> None:
-        self._mark()
-        self._replace(self.rows().where(F.col("id") != row_id))
+        """Takes the row out; nothing happens if there is none with that id."""
+        self.init()
+        self.spark.createDataFrame([(row_id,)], "id bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/gone/v{self._version()}")
 
     def clear(self) -> None:
         self._mark()
-        self._replace(self.spark.createDataFrame([], STORE))
+        self._empty()
 
     def _mark(self) -> None:
         """Remembers the highest id given, which a deletion may take out of the table."""
@@ -172,10 +203,25 @@ class CandidateStore:
         name = lambda prefix: F.concat(F.lit(prefix), "candidate_id", F.lit(".json"))
         return self.rows().select("id", name("candidate_").alias("file_name"), "projected_profile", name("canonical_").alias("canonical_name"), "final_profile", iso_utc(F.col("processed_at")).alias("processed_at"))
 
-    def write_export(self, path: str) -> None:
-        """All projected records as JSON lines: the bulk download of a table of any size, in as many files as it has parts."""
-        rows = self.export().where("projected_profile is not null")
-        rows.select(F.col("projected_profile").alias("value")).write.mode("overwrite").text(path)
+    def _newest_first(self, files: int | None) -> DataFrame:
+        """The projected records in as many ranges as files, those with the greatest ids first, sorted inside."""
+        rows = self.export().select("id", "projected_profile")
+        order = F.desc("id")
+        return (rows.repartitionByRange(files, order) if files else rows.repartitionByRange(order)).sortWithinPartitions(order)
+
+    def write_export(self, path: str, files: int | None = None) -> None:
+        """All projected records that are there as JSON lines, newest first from file to file: the bulk download of a table of any size."""
+        self._newest_first(files).where("projected_profile is not null").select(F.col("projected_profile").alias("value")).write.mode("overwrite").text(path)
+
+    def write_array(self, path: str, files: int | None = None) -> None:
+        """All projected records as one JSON list, newest first: the files in the order of their names, put together. A missing one is null."""
+        ends = self.rows().agg(F.max("id").alias("first"), F.min("id").alias("last")).first()
+        if ends["first"] is None:
+            self.spark.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+            return
+        record = F.coalesce("projected_profile", F.lit("null"))
+        line = F.concat(F.when(F.col("id") == ends["first"], "[").otherwise(","), record, F.when(F.col("id") == ends["last"], "]").otherwise(""))
+        self._newest_first(files).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def json_array(page: DataFrame, column: str, order: str = "id", limit: int = 200) -> DataFrame:
