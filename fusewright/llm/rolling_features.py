@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from fusewright.llm._shared import prepare, table
 
 WINDOWS = (1800, 86400)
-GROUPS = 16
+GROUPS = 4
 #: Entries of the lists that are held at once, 8 bytes each.
-LIST_BUDGET = 8_000_000
+LIST_BUDGET = 2_000_000
 
 _FRAME = "WINDOW w AS (PARTITION BY k ORDER BY t RANGE BETWEEN CASE WHEN {want} THEN {w} ELSE 1 END PRECEDING AND 1 PRECEDING)"
 #: A moment's own rows never lie in its frame, and a moment of the halo has no use for one: its frame is the second before it.
@@ -86,11 +86,11 @@ def rolling_features(rows: DataFrame, time: Column, length: Column, id_col: str
     with a null time is in no window and has an empty one: 0 events, sum and categories, null lengths. Repeated rows, and rows with equal or null ids,
     all count and all come back. Empty tables give no rows. Other columns are not read, so they may have any name. Sources
     and categories are compared as strings; ids may be of any type. ``block`` is the length of a block in seconds, at least the
-    longest window and twice it by default.
+    longest window, as by default.
     """
     prepare(rows.sparkSession)
     widest = max(windows)
-    block = max(widest, block or 2 * widest)
+    block = max(widest, block or 0)
     kind = rows.schema[id_col].dataType
     slim = rows.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("k"), time.cast("long").alias("t"), length.cast("long").alias("len"), F.col(category_col).cast("string").alias("cat"))
     whole = lambda c: (c - F.pmod(c, F.lit(block))) / F.lit(block)
