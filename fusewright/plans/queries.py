@@ -693,3 +693,7 @@ _SHAPED = {"fields": [{"path": "skills", "required": True}, {"path": "location"}
 def project_shapes(spark, sf):
     good = accepted(validate_projected(customer_records(spark, sf), _SHAPED), _SHAPED).drop("projection_errors")
     return project_json(good, _SHAPED).select("candidate_key", "projected")
+
+
+# the queries over the shop's tables register themselves beside these
+from fusewright.plans import shop_queries  # noqa: E402, F401
