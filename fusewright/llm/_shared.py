@@ -1,14 +1,17 @@
 """Session helpers of the subpackage: shared folders, staged tables, sources and imports on executors."""
 from __future__ import annotations
 
+import contextlib
 import os
 import pathlib
-import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: With this setting Spark removes the shuffle files of a query once it has ended.
+from fusewright.plans.staging import shared_folder
+
+#: With this setting Spark removes the shuffle files of a query once it has ended. It needs Spark's classic API, not Connect.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,15 +24,26 @@ def prepare(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where that is unset a temporary one, but only on a single machine."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fusewright-"))
-    return named or context.getCheckpointDir()
+_writing: dict[int, list] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """The setting is on while any thread writes; the last one puts back what the first one found."""
+    own = id(spark._jsparkSession)
+    with _lock:
+        held = _writing.setdefault(own, [0, spark.conf.get(_SHUFFLE_CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _writing[own]
+                spark.conf.unset(_SHUFFLE_CLEANUP) if held[1] is None else spark.conf.set(_SHUFFLE_CLEANUP, held[1])
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -40,12 +54,8 @@ def cut(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/fusewright-{uuid.uuid4().hex}"
-    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         frame.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_SHUFFLE_CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(frame.schema).parquet(path)

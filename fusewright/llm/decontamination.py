@@ -2,12 +2,13 @@
 
 A window's 64-bit hash is only a candidate: each hit is verified on the words themselves. The set is broadcast while the benchmark
 has at most ``max_broadcast_windows`` windows; a larger benchmark is cut into parts of that size, which are broadcast and scanned one
-after another: the rows with the hits so far are checkpointed in the shared folder and the part's set is let go before the next one is
-made, so neither the driver nor a worker ever holds more than one. The parts' hits are united per document.
+after another, so neither the driver nor a worker ever holds more than one. The documents are then written down once, with a number
+for each row, and of each part only the numbers and hits of the rows that it hits; these are united and joined to the documents at the end.
 """
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fusewright.llm._shared import checkpointed, cut, discard, free_name, prepare, table
+from fusewright.llm._shared import cut, discard, free_name, prepare, table
 from fusewright.llm._text import ALNUM, U64, Words, as_bytes, groups, signed, slices, windows
 
 WINDOW = 13
@@ -73,31 +74,54 @@ class WindowSet:
                     at += 1
 
 
-def _scan(shared, text_col: str, hits: str, before: bool):
+def _scan(shared, text_col: str, hits: str):
     """Appends (n_words, spans of hit words, items) to every row; spans are first word and end, merged."""
 
     def run(batches):
-        found: WindowSet = shared.value
         for batch in (part for whole in batches for part in slices(whole, text_col)):
-            texts = as_bytes(batch.column(text_col))
-            old = batch.column(hits).to_pylist() if before else [None] * len(texts)
-            out = []
-            for a, b in groups(texts):
-                words = Words(texts[a:b], ALNUM)
-                per: dict[int, tuple[list, set]] = {}
-                for doc, at, k, items in found.hits(words):
-                    spans, named = per.setdefault(doc, ([], set()))
-                    spans.append((at - int(words.bounds[doc]), at - int(words.bounds[doc]) + k))
-                    named.update(items)
-                for doc in range(b - a):
-                    spans, named = per.get(doc, ([], set()))
-                    if old[a + doc]:
-                        spans = [*spans, *((s["start"], s["end"]) for s in old[a + doc]["spans"])]
-                        named = named | set(old[a + doc]["items"])
-                    out.append({"n_words": int(words.bounds[doc + 1] - words.bounds[doc]), "spans": merged(spans), "items": sorted(named)})
-            if before:
-                batch = batch.drop_columns([hits])
-            yield batch.append_column(hits, pa.array(out, HITS_ARROW))
+            yield batch.append_column(hits, pa.array(_hits(as_bytes(batch.column(text_col)), shared.value), HITS_ARROW))
+
+    return run
+
+
+def _scan_part(shared):
+    """(row, hits) of every row that the part hits."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            found = _hits(as_bytes(batch.column("text")), shared.value)
+            rows = [k for k, x in enumerate(found) if x["spans"]]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), pa.array([found[k] for k in rows], HITS_ARROW)], names=["row", "hits"])
+
+    return run
+
+
+def _hits(texts: list[bytes], found: WindowSet) -> list[dict]:
+    out = []
+    for a, b in groups(texts):
+        words = Words(texts[a:b], ALNUM)
+        per: dict[int, tuple[list, set]] = {}
+        for doc, at, k, items in found.hits(words):
+            spans, named = per.setdefault(doc, ([], set()))
+            spans.append((at - int(words.bounds[doc]), at - int(words.bounds[doc]) + k))
+            named.update(items)
+        for doc in range(b - a):
+            spans, named = per.get(doc, ([], set()))
+            out.append({"n_words": int(words.bounds[doc + 1] - words.bounds[doc]), "spans": merged(spans), "items": sorted(named)})
+    return out
+
+
+def _unite(hits: str, more_col: str):
+    """The hits of all parts (``more_col``) of each row as one; those of the first part are there already."""
+
+    def run(batches):
+        for batch in batches:
+            own, more = batch.column(hits).to_pylist(), batch.column(more_col).to_pylist()
+            for x, parts in zip(own, more, strict=True):
+                if parts:
+                    x["spans"] = merged([(s["start"], s["end"]) for p in (x, *parts) for s in p["spans"]])
+                    x["items"] = sorted({i for p in (x, *parts) for i in p["items"]})
+            yield batch.drop_columns([hits, more_col]).append_column(hits, pa.array(own, HITS_ARROW))
 
     return run
 
@@ -135,16 +159,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     parts = max(1, -(-every.count() // max_broadcast_windows))
     name = free_name(hits_col, docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(HITS))])
-    out = docs
-    for part in range(parts):
-        own = every if parts == 1 else every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast(WindowSet(own.toArrow()))
-        out = out.mapInArrow(_scan(shared, text_col, name, part > 0), schema)
-        if part + 1 < parts:
-            out = checkpointed(out)
-            shared.destroy()
-    discard(every)
-    return out
+    if parts == 1:
+        shared = spark.sparkContext.broadcast(WindowSet(every.toArrow()))
+        discard(every)
+        return docs.mapInArrow(_scan(shared, text_col, name), schema)
+    row, more = free_name("row", [*docs.columns, name]), free_name("more", [*docs.columns, name])
+    held = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts, found = held.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), []
+    for part in range(1, parts):
+        shared = spark.sparkContext.broadcast(WindowSet(every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part).toArrow()))
+        found.append(cut(texts.mapInArrow(_scan_part(shared), f"row long, hits {HITS}")))
+        shared.destroy()
+    shared = spark.sparkContext.broadcast(WindowSet(every.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == 0).toArrow()))
+    hit = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.collect_list("hits").alias(more))
+    both = held.join(cut(hit).withColumnRenamed("row", row), row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], more)
+    first = T.StructType([*docs.schema.fields, both.schema[more], T.StructField(name, T._parse_datatype_string(HITS))])
+    discard(every, *found)
+    return both.mapInArrow(_scan(shared, text_col, name), first).mapInArrow(_unite(name, more), schema)
 
 
 def _contaminated(column: str = "hits"):
