@@ -72,14 +72,30 @@ def attributes_of(text: str) -> dict[str, str]:
     return out
 
 
-def _named(value: str, whole: bool) -> set[str]:
-    """The words of a class or id: by white space, and each with its first part (``whole``) or all its parts at hyphens and underscores."""
-    out = set()
-    for token in value.lower().split():
-        parts = re.split(r"[_-]+", token)
-        out.add(token)
-        out.update(parts[:1] if whole else parts)
-    return out
+#: Elements that hold a paragraph or heading.
+TEXTS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd blockquote pre".split())
+#: Whole names that are boilerplate where parts of names do not count.
+JOINED = frozenset(
+    "cookie-notice cookie-banner cookie-consent ad-slot ad-box ad-banner ad-container advert-box share-bar share-buttons social-share social-links "
+    "related-posts related-articles comment-list comments-list comment-form newsletter-signup".split()
+)
+#: Of NAMES those that may as well say what an article is about: they count as the whole of a class or id only.
+AMBIGUOUS = frozenset("banner menu menus navigation notice notices promotion recommended related share sharing skip social subscription".split())
+
+
+def _boilerplate(tag: str, given: dict[str, str], inside: int) -> bool:
+    """Whether the class or id of an element names boilerplate.
+
+    In an article only whole names count, on containers, paragraphs and headings alike: ``social science``, ``promotion-history`` and
+    ``ad-spend`` may well be what it is about. Elsewhere any part of any name counts.
+    """
+    if inside == MAIN:
+        if tag not in CONTAINERS and tag not in TEXTS:
+            return False
+        whole = [given.get(k, "").lower().split() for k in ("class", "id")]
+        return any(names and set(names) <= NAMES for names in whole) or any(name in JOINED or (name in NAMES and name not in AMBIGUOUS) for names in whole for name in names)
+    words = {part for k in ("class", "id") for name in given.get(k, "").lower().split() for part in (name, *re.split(r"[_-]+", name))}
+    return bool(words & NAMES) or "header" in words
 
 
 def _region(tag: str, attributes: str, inside: int) -> int:
@@ -93,10 +109,8 @@ def _region(tag: str, attributes: str, inside: int) -> int:
         if role in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(given.get("style", "")):
             return DROPPED
         main = main or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
-        if tag not in ("html", "body", "article", "main") and (inside != MAIN or tag in CONTAINERS):
-            words = _named(given.get("class", ""), inside == MAIN) | _named(given.get("id", ""), inside == MAIN)
-            if words & NAMES or ("header" in words and inside != MAIN):
-                return DROPPED
+        if tag not in ("html", "body", "article", "main") and _boilerplate(tag, given, inside):
+            return DROPPED
     return MAIN if main else inside
 
 
@@ -148,9 +162,19 @@ def lines(html: str) -> list[tuple[str, int]]:
             continue
         if tag in RAW:
             pattern = raw_end.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I))
-            if not attributes.endswith("/") or tag not in ("svg", "math"):
-                stop = pattern.search(html, at)
-                at = stop.end() if stop else n
+            drawing = tag in ("svg", "math")
+            stop = None if drawing and attributes.endswith("/") else pattern.search(html, at)
+            if stop:
+                at = stop.end()
+            elif drawing and not attributes.endswith("/"):
+                # one that nothing ends, ends with what it stands in
+                stack.append((tag, kind, loose))
+                opened[tag] += 1
+                if kind != DROPPED:
+                    close()
+                kind, loose = DROPPED, 0
+            elif not drawing:
+                at = n
             continue
         if tag in BLOCKS:
             close()

@@ -135,6 +135,23 @@ def framed(k, article):
     return f"<div>Site</div><article><div>Share this</div><div>Photo {k}</div>{article}<div>Read more</div></article><div>Rights</div>"
 
 
+@pytest.mark.parametrize(("tag", "stays"), [
+    ('div class="social science"', True), ('section id="promotion-history"', True), ('table class="ad-spend"', True), ("p class=commentary", True), ('p class="share-price"', True), ("h2 id=related-work", True), ('div class="menu prices"', True),
+    ('p class="advert"', False), ('p id="cookie-notice"', False), ('p class="comment"', False), ('p class="share"', False), ("h3 class=sponsored", False), ('div class="top ad"', False), ("ul id=share", False), ('li class="comment first"', False),
+])
+def test_op8_names_in_articles(tag, stays):
+    name = tag.split()[0]
+    inner = "<tr><td>Mid</td></tr>" if name == "table" else "<li>Mid</li>" if name == "ul" else "Mid"
+    page = html_extract.lines(f"<article><p>First</p><{tag}>{inner}</{name}><p>Last</p></article>")
+    assert html_extract.main_text(page, None) == ("First\nMid\nLast" if stays else "First\nLast")
+
+
+def test_op8_unclosed_drawing():
+    page = html_extract.lines("<article><p>First <svg><path d='x'/><text>drawn</text></p><p>Mid</p><div><math><mi>x</div><p>Last</p></article><p>more")
+    assert html_extract.main_text(page, None) == "First\nMid\nLast"
+    assert html_extract.main_text(html_extract.lines("<article>a <svg/> b <svg><title>no</title></svg> c</article>"), None) == "a b c"
+
+
 @pytest.mark.parametrize("n", [1, 3, 11])
 def test_op8_differencing_decides(spark, n):
     """Loose lines that the nearest page shares go, prose that it shares stays, copies are not paired, whatever the partitions."""

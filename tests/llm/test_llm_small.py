@@ -162,7 +162,7 @@ def test_decontamination_against_brute_force(spark):
     wanted = decontamination.brute_force([(k, t) for k, t, *_ in docs], items[:6])
     frame = spark.createDataFrame(docs, DOCS)
     for most in (2_000_000, 7):
-        found = decontamination.find_hits(frame, bench, max_broadcast_windows=most).select("doc_id", F.col("hits.n_words"), F.expr("aggregate(hits.spans, 0L, (t, s) -> t + s.end - s.start)").alias("n"), F.col("hits.items").alias("items")).collect()
+        found = decontamination.find_hits(frame, bench, max_broadcast_windows=most).select("doc_id", F.col("hits.n_words"), F.expr("aggregate(hits.spans, 0L, (t, s) -> t + s.end - s.start)").alias("n"), F.col("hits.items").alias("items")).orderBy("doc_id").collect()  # the rows have no order of their own
         for r in found[:8]:
             assert (r["n_words"], r["n"], len(r["items"])) == wanted[r["doc_id"]][:3]
         assert found[8]["n"] == 20 and found[8]["items"] == []
@@ -281,8 +281,7 @@ def test_html_differencing(spark):
     found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     text = {r["page_id"]: r["text"] for r in found}
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
-    # one page beside the empty one may keep its frame
-    assert sum(text[k] == f"text {k}" for k in range(20)) >= 18 and text[50] == "Site name\nlone\nAll rights" and text[51] == text[52] == ""
+    assert [text[k] for k in range(20)] == [f"text {k}" for k in range(20)] and text[50] == "Site name\nlone\nAll rights" and text[51] == text[52] == ""
     assert text[53].startswith("Head & line") and html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
