@@ -9,11 +9,17 @@ A window finds only some of the links of a vector with many near copies. What a
 exactly: members of a component are put into blocks in the order of their keys, and numbers of links are added up block pair by block pair,
 without emitting pairs of vectors. Blocks have a centre and a radius (greatest angle from it), and by the triangle inequality many
 pairs of blocks are settled by these alone: all linked, or none. Vectors travel only to the pairs that are left open. Copies of the same
-vector share one row and its multiplicity from the start. So a link is lost only where no chain of found links joins its ends;
-with the default passes the tests measure a recall against brute force well above 0.99.
+vector share one row and its multiplicity from the start. So a link is lost only where no chain of found links joins its ends.
+
+How often a pass shows an isolated pair falls with the number of vectors of a label and with how close they lie. So a label of many vectors gets as
+many passes as it needs: of a bounded sample of it, pairs are made that are just close enough, how many sampled vectors come between
+them is counted in trial passes, and the rate at which pairs stay within a window is carried on to the label's size. The number of
+passes follows from that rate and ``recall``, the wanted share of such pairs.
 """
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +32,10 @@ from fusewright.llm.components import components
 KEY_BITS = 48
 ROWS_IN_BLOCK = 512
 MEMBERS_IN_BLOCK = 1024
+#: Labels of more classes than that are sampled for their number of passes, by so many vectors, made pairs and trial passes.
+SAMPLED_FROM, SAMPLE, TRIAL_PAIRS, TRIALS = 10_000, 4_096, 256, 12
+#: Blocks whose centres are compared together.
+CENTRES = 256
 #: Angles are only trusted so far when they settle a pair of blocks.
 ANGLE_ERROR = 1e-6
 
@@ -62,19 +72,84 @@ def _usable(kind: str):
     return run
 
 
-def _keys(passes: int, kind: str):
-    """Each class once a pass, with its key in that pass."""
+def _sorted_keys(x: np.ndarray, pass_no: int) -> np.ndarray:
+    """Each vector's key in a pass: the sides of its planes, one bit each."""
+    return (x @ _planes(x.shape[1], pass_no) > 0).astype(np.int64) @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
+
+
+def rate_of(x: np.ndarray, n: int, threshold: float, window: int) -> float:
+    """How often a pass over ``n`` vectors like the rows of ``x`` brings a pair of just the threshold within a window."""
+    rng = np.random.default_rng(31)
+    own = x[rng.permutation(len(x))[:TRIAL_PAIRS]]
+    aside = rng.standard_normal(own.shape)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-300)
+    copies = threshold * own + np.sqrt(max(0.0, 1 - threshold * threshold)) * aside
+    between = []
+    for k in range(TRIALS):
+        keys = np.sort(_sorted_keys(x, k))
+        a, b = _sorted_keys(own, k), _sorted_keys(copies, k)
+        # of the sampled ones the pair's own vector is one
+        low, high = np.searchsorted(keys, np.minimum(a, b)), np.searchsorted(keys, np.maximum(a, b), side="right")
+        between.append(np.maximum(high - low - 1, 0))
+    between = np.concatenate(between)
+    # a window of w among the sampled is as one of w * n / len(x) among all
+    sizes = [w for w in (1, 2, 4, 8, 16, 32, 64, 128) if w < len(x)] or [1]
+    rates = np.array([max((between < w).mean(), 0.5 / len(between)) for w in sizes])
+    crowd = np.log([len(x) / w for w in sizes])
+    slope, base = np.polyfit(crowd, np.log(rates), 1) if len(sizes) > 1 else (0.0, np.log(rates[0]))
+    wanted = np.log(max(n / window, 1.0))
+    if wanted <= crowd[0]:
+        return float(min(0.999, np.exp(np.interp(wanted, crowd[::-1], np.log(rates)[::-1]))))
+    return float(min(0.999, rates[0], np.exp(base + min(slope, 0.0) * wanted)))
+
+
+def passes_for(rate: float, recall: float) -> int:
+    """So many passes bring a pair within a window at least once with the wanted chance."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - rate)))
+
+
+def _sampled(kind: str, threshold: float, window: int, recall: float):
+    """(label, dim, passes) of a label's sample."""
+
+    def run(sample):
+        x = _matrix(sample.column("vector").to_pylist(), sample.column("dim")[0].as_py(), kind)
+        rate = rate_of(x, sample.column("n")[0].as_py(), threshold, window)
+        return pa.table([sample.column("label").slice(0, 1), sample.column("dim").slice(0, 1), pa.array([passes_for(rate, recall)], pa.int32())], names=["label", "dim", "passes"])
+
+    return run
+
+
+def _with_passes(classes: DataFrame, kind: str, threshold: float, window: int, passes: int, most: int, recall: float) -> DataFrame:
+    """The classes with their label's number of passes: ``passes``, or as many as a large label needs."""
+    sizes = cut(classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > SAMPLED_FROM))
+    large = sizes.count()
+    if not large:
+        discard(sizes)
+        return classes.withColumn("passes", F.lit(passes))
+    hint = F.broadcast if large <= 10_000 else lambda frame: frame
+    sample = classes.join(hint(sizes), ["label", "dim"]).where(F.pmod(F.xxhash64("cls"), F.col("n")) < SAMPLE)
+    wanted = cut(sample.groupBy("label", "dim").applyInArrow(_sampled(kind, threshold, window, recall), "label string, dim int, passes int"))
+    for r in wanted.where(F.col("passes") > most).limit(5).collect():
+        warnings.warn(f"label {r['label']!r} would need {r['passes']} passes for a recall of {recall}; it gets {most}", stacklevel=3)
+    return classes.join(hint(wanted), ["label", "dim"], "left").withColumn("passes", F.least(F.lit(most), F.greatest(F.lit(passes), F.coalesce("passes", F.lit(passes)))))
+
+
+def _keys(kind: str):
+    """Each class once a pass of its label, with its key in that pass."""
 
     def run(batches):
         for batch in batches:
-            dims = np.asarray(batch.column("dim"))
+            dims, passes = np.asarray(batch.column("dim")), np.asarray(batch.column("passes"))
             for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
+                own = np.flatnonzero(dims == dim)
+                part = batch.take(pa.array(own))
                 x = _matrix(part.column("vector").to_pylist(), dim, kind)
-                for k in range(passes):
-                    sides = (x @ _planes(dim, k) > 0).astype(np.int64)
-                    keys = sides @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * part.num_rows, pa.int32()), part.column("label"), part.column("dim"), pa.array(keys), part.column("cls"), part.column("vector")], names=["pass", "label", "dim", "key", "cls", "vector"])
+                for k in range(int(passes[own].max())):
+                    # the rows that have a pass of that number
+                    some = np.flatnonzero(passes[own] > k)
+                    rows = part.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * rows.num_rows, pa.int32()), rows.column("label"), rows.column("dim"), pa.array(_sorted_keys(x[some], k)), rows.column("cls"), rows.column("vector")], names=["pass", "label", "dim", "key", "cls", "vector"])
 
     return run
 
@@ -176,20 +251,30 @@ _BLOCKED = pa.schema([("kind", pa.int32()), ("root", pa.int64()), ("block", pa.i
 
 
 def _settled(least: float):
-    """Pairs of blocks whose vectors are not all apart: by the angles of their centres, all linked (whole) or open."""
+    """Pairs of blocks whose vectors are not all apart: by the angles of their centres, all linked (whole) or open.
+
+    A group has the centres of two runs of blocks of a component, each of ``CENTRES`` at most.
+    """
     angle = float(np.arccos(least))
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("ni", pa.int64()), ("nj", pa.int64()), ("whole", pa.bool_())])
 
-    def run(batches):
-        for batch in batches:
-            x, y = ([np.frombuffer(v, dtype=np.float64) for v in batch.column(c).to_pylist()] for c in ("vi", "vj"))
-            between = np.arccos(np.clip(np.array([a @ b for a, b in zip(x, y, strict=True)]), -1, 1)) if x else np.zeros(0)
-            same = np.asarray(batch.column("i")) == np.asarray(batch.column("j"))
-            between[same] = 0
-            spread = np.asarray(batch.column("ri")) + np.asarray(batch.column("rj"))
-            whole = between + spread < angle - ANGLE_ERROR
-            keep = pa.array(between - spread <= angle + ANGLE_ERROR)
-            out = batch.select(["i", "j", "ni", "nj"]).append_column("whole", pa.array(whole))
-            yield out.filter(keep)
+    def run(key, centres):
+        if not centres.num_rows:
+            return schema.empty_table()
+        of = np.asarray(centres.column("run"))
+        x = np.frombuffer(b"".join(centres.column("vector").to_pylist()), dtype=np.float64).reshape(centres.num_rows, -1)
+        block, radius, size = (np.asarray(centres.column(c)) for c in ("block", "radius", "copies"))
+        a, b = np.flatnonzero(of == key[1].as_py()), np.flatnonzero(of == key[2].as_py())
+        between = np.arccos(np.clip(x[a] @ x[b].T, -1, 1))
+        same = block[a][:, None] == block[b][None, :]
+        between[same] = 0
+        spread = radius[a][:, None] + radius[b][None, :]
+        keep = between - spread <= angle + ANGLE_ERROR
+        if key[1].as_py() == key[2].as_py():
+            keep &= block[a][:, None] <= block[b][None, :]
+        i, j = np.nonzero(keep)
+        whole = (between + spread < angle - ANGLE_ERROR)[i, j]
+        return pa.table([pa.array(c) for c in (block[a][i], block[b][j], size[a][i], size[b][j], whole)], schema=schema)
 
     return run
 
@@ -217,7 +302,7 @@ def _counts(least: float, kind: str):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, passes: int = 12, window: int = 48) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, passes: int = 12, window: int = 48, recall: float = 0.98, most_passes: int = 256) -> DataFrame:
     """Link vectors of the same label whose cosine, in double precision, is ``threshold`` or more.
 
     Returns one row per input row: ``vec_id``, ``n_links`` (other rows linked directly), ``component_id`` (smallest id reachable by
@@ -227,7 +312,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_links 0 and their own component. Vectors of different lengths are not compared. Repeated vectors are linked with each other;
     ids may be of any type that has an order, and repeated ids are rows of their own. A null id is never the smallest one. An empty
     table gives an empty result. Only the three columns are read, so others may have any name.
-    ``window`` (below ROWS_IN_BLOCK) bounds the neighbours a pass compares, see the module for what finds the rest.
+    ``window`` (below ROWS_IN_BLOCK) bounds the neighbours a pass compares, see the module for what finds the rest. Labels of more than
+    ``SAMPLED_FROM`` different vectors get as many passes as their sample asks for ``recall``, at least ``passes``; a warning says so where
+    that is more than ``most_passes``.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -243,7 +330,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
 
     # order within (pass, label); equal keys are put in an order of the pass's own
-    keyed = classes.mapInArrow(_keys(passes, kind), "pass int, label string, dim int, key long, cls long, vector binary")
+    passing = _with_passes(classes, kind, threshold, window, passes, most_passes, recall)
+    keyed = passing.mapInArrow(_keys(kind), "pass int, label string, dim int, key long, cls long, vector binary")
     keyed = keyed.withColumn("tie", F.xxhash64("pass", "cls"))
     order = ["pass", "label", "dim", "key", "tie"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -270,9 +358,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     members = members.repartitionByRange(n, "root", "place").sortWithinPartitions("root", "place").select("root", "cls", "dim", "vector", "copies")
     members = cut(members.mapInArrow(_blocked(kind), "kind int, root long, block long, cls long, dim int, vector binary, copies long, radius double"))
     centres = members.where("kind = 1")
-    side = lambda k: centres.select("root", F.col("block").alias(k), F.col("vector").alias(f"v{k}"), F.col("radius").alias(f"r{k}"), F.col("copies").alias(f"n{k}"))
-    pairs = side("i").join(side("j"), "root").where("i <= j").select("i", "j", "vi", "vj", "ri", "rj", "ni", "nj")
-    pairs = cut(pairs.mapInArrow(_settled(threshold), "i long, j long, ni long, nj long, whole boolean"))
+    # runs of blocks by their numbers: a component's blocks of one partition follow one another
+    centres = centres.select("root", F.shiftright("block", int(np.log2(CENTRES))).alias("run"), "block", "vector", "radius", "copies")
+    runs = centres.select("root", "run").distinct()
+    met = runs.join(runs.withColumnRenamed("run", "other"), "root").where("run <= other").select("root", F.col("run").alias("a"), F.col("other").alias("b"))
+    asked = met.select("root", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("run"))
+    pairs = cut(centres.join(asked, ["root", "run"]).groupBy("root", "a", "b").applyInArrow(_settled(threshold), "i long, j long, ni long, nj long, whole boolean"))
     whole = pairs.where("whole")
     more = whole.select(F.col("i").alias("block"), F.col("nj").alias("more")).union(whole.where("i <> j").select("j", "ni"))
     more = more.groupBy("block").agg(F.sum("more").alias("more"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fusewright.llm import lexical_search, line_dedup, queries, rolling_features
+from fusewright.llm import embedding_dedup, lexical_search, line_dedup, queries, rolling_features
 from fusewright.llm.cuckoo import Cuckoo
 
 SF = "/root/testdata/sf0.001"
@@ -260,3 +260,57 @@ def test_hot_line_and_long_text(spark):
     found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in index.deduplicate(docs).where("doc_id IN (0, 1, 5000)").collect()}
     rest = "\n".join(f"number {k} of its own" for k in range(3000, 100_000))
     assert found == {0: (2, 0, hashlib.md5(b"the very same line\nnumber 0 of its own").hexdigest()), 1: (2, 1, hashlib.md5(b"number 1 of its own").hexdigest()), 5000: (100_000, 3000, hashlib.md5(rest.encode()).hexdigest())}
+
+
+# ------------------------------------------------------------------------------------------- recall of the projection passes
+
+
+def dense(n, cosine, dim=64):
+    """Unit vectors of which any two are at about that cosine."""
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    rest = rng.standard_normal((n, dim))
+    rest -= np.outer(rest @ centre, centre)
+    return np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * rest / np.linalg.norm(rest, axis=1, keepdims=True)
+
+
+def near(x, cosine, seed=5):
+    aside = np.random.default_rng(seed).standard_normal(x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("n", "cosine"), [(20_000, 0.8), (100_000, 0.9), (300_000, 0.8)])
+def test_passes_follow_size_and_density(n, cosine):
+    """Isolated pairs at 0.982, by the passes alone, with the number of passes that a sample of 4,096 vectors asks for."""
+    x = dense(n, cosine)
+    own = x[:500]
+    copies = near(own, 0.982)
+    rate = embedding_dedup.rate_of(x[np.random.default_rng(2).permutation(n)[: embedding_dedup.SAMPLE]], n, 0.98, 48)
+    passes, found = embedding_dedup.passes_for(rate, 0.98), np.zeros(500, dtype=bool)
+    for k in range(passes):
+        keys = np.sort(embedding_dedup._sorted_keys(x, k))
+        found |= np.abs(np.searchsorted(keys, embedding_dedup._sorted_keys(own, k)) - np.searchsorted(keys, embedding_dedup._sorted_keys(copies, k))) <= 48
+    assert found.mean() >= 0.95 and passes <= 80
+
+
+def test_dense_label_by_the_operator(spark, monkeypatch):
+    """A label beyond the size from which it is sampled: pairs are found that the default passes would lose, none is made up."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLED_FROM", 2_000)
+    x = dense(12_000, 0.9, dim=32)
+    x = np.concatenate([x, near(x[:200], 0.983)]).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist(), "big") for k, v in enumerate(x)] + [(50_000 + k, x[k].tolist(), "small") for k in range(3)], "vec_id long, embedding array<float>, label string").repartition(8)
+    found = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows).where("n_links > 0 OR vec_id >= 50000").collect()}
+    wide = x.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    links = collections.Counter()
+    for a in range(0, len(wide), 2000):
+        i, j = np.nonzero(wide[a : a + 2000] @ wide.T >= 0.98)
+        for p, q in zip((i + a).tolist(), j.tolist(), strict=True):
+            if p != q:
+                links[p] += 1
+    small = {50_000 + k: sum(1 for m in range(3) if m != k and wide[k] @ wide[m] >= 0.98) for k in range(3)}
+    assert all(found[k]["n_links"] == n for k, n in small.items())
+    have = {k: r["n_links"] for k, r in found.items() if k < 50_000}
+    assert all(n <= links[k] for k, n in have.items()) and sum(have.values()) >= 0.95 * sum(links.values()) >= 300
