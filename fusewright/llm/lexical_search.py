@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from fusewright.llm._shared import cut, discard, prepare, table
 from fusewright.llm._text import ALNUM, Words, as_bytes, slices
 
-BUCKETS, BLOCK_BYTES, TOP = 64, 8 << 20, 50
+BUCKETS, BLOCK_BYTES, TOP = 64, 4 << 20, 50
 #: A broadcast of search terms has this many at most, with this many items' references.
 MAX_BROADCAST_TERMS, MAX_BROADCAST_REFERENCES = 100_000, 1_000_000
 #: Items in one list of a term's items.

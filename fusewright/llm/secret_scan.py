@@ -16,10 +16,12 @@ candidate's length. Where letters and digits alternate, as they hardly do in wor
 log-frequency, and the smaller of the two p-values counts twice. False discoveries are controlled over each text's candidates by the Benjamini-Hochberg step-up with weights in proportion to length (and a mean of one): long
 tokens, which the tests can judge, get most of the error budget, and it is this control that decides how short a token can be found.
 
-A candidate has SHORTEST characters, or MIXED with letters and digits that alternate: a battery over fewer characters decides nothing. Where the characters without ``- _`` are hex digits (as those of a UUID), they are judged as such.
+A candidate has ``shortest`` characters, or ``mixed`` with letters and digits that alternate. Both are parameters, so that with lower ones the
+control alone decides; by default they leave out what it hardly ever accepts, which would only cost time. Where the characters without ``- _`` are hex digits (as those of a UUID), they are judged as such.
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -42,7 +44,6 @@ SHORTEST = 20
 MIXED = 12
 SEPARATORS = "+/_-"
 CUTS = (re.compile(r"[+/]"), re.compile(r"[_-]"), re.compile(r"[+/_-]"))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{12,19}(?![A-Za-z0-9+/_-])={0,2}")
 #: Letters and digits alternate if one follows the other so often, separators aside.
 SWITCHES = 3
 _SWITCH = re.compile(r"[A-Za-z][+/_-]*(?=[0-9])|[0-9][+/_-]*(?=[A-Za-z])")
@@ -66,6 +67,15 @@ ALPHA_RANDOM = 0.005
 FALSE_DISCOVERY_RATE = 0.01
 
 
+@functools.cache
+def candidates(shortest: int, mixed: int) -> re.Pattern:
+    """Runs of encoding characters of at least ``shortest``, or of ``mixed`` with a letter and a digit."""
+    long = f"[A-Za-z0-9+/_-]{{{shortest},}}={{0,2}}"
+    if mixed >= shortest:
+        return re.compile(long)
+    return re.compile(rf"{long}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{mixed},{shortest - 1}}}(?![A-Za-z0-9+/_-])={{0,2}}")
+
+
 def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -154,19 +164,19 @@ def alternates(token: str) -> bool:
     return sum(1 for _ in _SWITCH.finditer(token)) >= SWITCHES
 
 
-def _long_enough(token: str) -> bool:
+def _long_enough(token: str, shortest: int, mixed: int) -> bool:
     n = len(token.rstrip("="))
-    return n >= SHORTEST or (n >= MIXED and alternates(token))
+    return n >= shortest or (n >= mixed and alternates(token))
 
 
-def _pieces(text: str, base: list[tuple[str, int, int]]):
+def _pieces(text: str, base: list[tuple[str, int, int]], shortest: int, mixed: int):
     """(start, end) of what is judged: runs outside base spans, whole and cut at either kind of separator or at both.
 
     No encoding holds both ``+ /`` and ``- _``, and either may join a token to a path or to words, so a run that holds separators is
     also judged by its parts. At a base span the separators that join it to the rest are left out.
     """
     fixed, at = sorted((s, e) for _, s, e in base), 0
-    for m in CANDIDATE.finditer(text):
+    for m in candidates(shortest, mixed).finditer(text):
         start, end = m.span()
         while at < len(fixed) and fixed[at][1] <= start:
             at += 1
@@ -180,21 +190,29 @@ def _pieces(text: str, base: list[tuple[str, int, int]]):
                 a += 1
             while b < m.end() and a < b and text[b - 1] in SEPARATORS:
                 b -= 1
-            if b - a < MIXED:
+            if b - a < min(shortest, mixed):
                 continue
             found = {(a, b)}
             for separator in CUTS:
                 if separator.search(text, a, b):
                     cuts = [(a, a), *(c.span() for c in separator.finditer(text, a, b)), (b, b)]
                     found.update((x, y) for (_, x), (y, _) in zip(cuts, cuts[1:], strict=False))
-            yield from sorted((x, y) for x, y in found if _long_enough(text[x:y]))
+            yield from sorted((x, y) for x, y in found if _long_enough(text[x:y], shortest, mixed))
+
+
+def step_up(judged: list[tuple[float, int]], rate: float = FALSE_DISCOVERY_RATE) -> list[int]:
+    """Which of the (p-value, length) are found at the false-discovery rate, with weights in proportion to length and a mean of one."""
+    weight = len(judged) / max(1, sum(n for _, n in judged))
+    ranked = sorted((p / (n * weight), k) for k, (p, n) in enumerate(judged))
+    best = max((r for r, (q, _) in enumerate(ranked, 1) if q <= rate * r / len(judged)), default=0)
+    return [k for _, k in ranked[:best]]
 
 
-def random_spans(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, int]]:
+def random_spans(text: str, base: list[tuple[str, int, int]] = (), shortest: int = SHORTEST, mixed: int = MIXED) -> list[tuple[int, int]]:
     """Spans outside ``base`` that pass the battery and the length-aware false-discovery control; those that overlap are one."""
     found = []
     written = None
-    for start, end in _pieces(text, base):
+    for start, end in _pieces(text, base, shortest, mixed):
         inferred = infer_encoding(text[start:end])
         if inferred is None:
             continue
@@ -205,16 +223,12 @@ def random_spans(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple
             p = 1.0
         else:
             if written is None:
-                written = _written(CANDIDATE.sub(" ", text))
+                written = _written(candidates(shortest, mixed).sub(" ", text))
             p = natural_p(stat, x, dict(ENCODINGS)[name], written, alternates(text[start:end]))
         found.append((p, n, start, end))
-    if not found:
-        return []
-    weight = len(found) / sum(n for _, n, _, _ in found)
-    ranked = sorted((p / (n * weight), a, b) for p, n, a, b in found)
-    best = max((r for r, (q, _, _) in enumerate(ranked, 1) if q <= FALSE_DISCOVERY_RATE * r / len(found)), default=0)
+    chosen = step_up([(p, n) for p, n, _, _ in found])
     out: list[tuple[int, int]] = []
-    for a, b in sorted((a, b) for _, a, b in ranked[:best]):
+    for a, b in sorted(found[k][2:] for k in chosen):
         if out and a < out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -232,29 +246,29 @@ def _order(span):
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def all_spans(text: str, shortest: int = SHORTEST, mixed: int = MIXED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), by start and then kind. The method judges what the base spans leave."""
     base = sorted(base_spans(text), key=_order)
-    more = [("random", a, b) for a, b in random_spans(text, base)]
+    more = [("random", a, b) for a, b in random_spans(text, base, shortest, mixed)]
     return base, sorted([*base, *more], key=_order)
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _find():
+def _find(shortest: int, mixed: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [all_spans(x or "") for x in part.column("text").to_pylist()]
+                found = [all_spans(x or "", shortest, mixed) for x in part.column("text").to_pylist()]
                 rows = [[[{"kind": k, "start": a, "end": b} for k, a, b in side] for side in f] for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([r[0] for r in rows], _SPANS), pa.array([r[1] for r in rows], _SPANS)], names=["id", "base", "spans"])
 
     return run
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, mixed: int = MIXED) -> DataFrame:
     """One row per input row: the id, ``base`` (spans of the fixed patterns) and ``spans`` (those and the method's).
 
     A span has a kind (assign, access, hex, random), start and end, in code points, end exclusive. Whole texts of any length are scanned, in
@@ -265,15 +279,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return source.mapInArrow(_find(), f"id {kind}, base {spans}, spans {spans}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(_find(shortest, mixed), f"id {kind}, base {spans}, spans {spans}").withColumnRenamed("id", id_col)
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, shortest: int = SHORTEST, mixed: int = MIXED) -> str | None:
     """The text with each secret replaced by its kind in angle brackets; overlapping spans are replaced as one."""
     if not text:
         return text
     out, at = [], 0
-    spans = all_spans(text)[1]
+    spans = all_spans(text, shortest, mixed)[1]
     if not spans:
         return text
     joined: list[list] = []
@@ -288,22 +302,22 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _redacted(text_col: str):
+def _redacted(text_col: str, shortest: int, mixed: int):
     def run(batches):
         for batch in batches:
             place = batch.schema.get_field_index(text_col)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [redact(x) for x in part.column(place).to_pylist()]
+                texts = [redact(x, shortest, mixed) for x in part.column(place).to_pylist()]
                 yield part.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
     return run
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", shortest: int = SHORTEST, mixed: int = MIXED) -> DataFrame:
     """``docs`` with the secrets of its texts redacted; every row and column stays, null stays null, an empty table empty."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_redacted(text_col), T.StructType(docs.schema.fields))
+    return docs.mapInArrow(_redacted(text_col, shortest, mixed), T.StructType(docs.schema.fields))
 
 
 def _joined(column: str):

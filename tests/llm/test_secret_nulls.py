@@ -1,6 +1,9 @@
 """Random tokens in texts with few ASCII letters or none of their own, and inside longer runs."""
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
 from fusewright.llm import secret_scan
@@ -47,3 +50,50 @@ def test_spans_outside_base_spans():
     for text in (key, f"/{key}/", f"{key}/{key}", f"{key}-some-long-page-name-of-words", "=" * 30, "-" * 40, "a/b-c_d+" * 9):
         base, spans = secret_scan.all_spans(text)
         assert spans == base
+
+
+@pytest.mark.parametrize(("alphabet", "n"), [("ab", 7), ("abc", 5), ("abcd", 4)])
+def test_the_null_against_all_strings(alphabet, n):
+    """Mean and variance of the statistic, and of the mean log-frequency, by going through every string."""
+    written = secret_scan._written("a" * 30 + "b" * 11 + "c" * 5 + "d")
+    p = np.array([written[ord(c)] for c in alphabet])
+    p = p / p.sum()
+    strings = np.array(list(itertools.product(range(len(alphabet)), repeat=n)))
+    chance = p[strings].prod(axis=1)
+    stats = np.array([secret_scan.chi_squared(x, len(alphabet))[0] for x in strings])
+    mean = (chance * stats).sum()
+    sd = np.sqrt((chance * (stats - mean) ** 2).sum())
+    logs = np.log(p)[strings].mean(axis=1)
+    usual = (chance * logs).sum()
+    wide = np.sqrt((chance * (logs - usual) ** 2).sum())
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for x, stat, log in list(zip(strings, stats, logs, strict=True))[:: max(1, len(strings) // 40)]:
+        even, rare = tail((mean - stat) / sd), tail((usual - log) / wide)
+        assert secret_scan.natural_p(stat, x, alphabet, written, False) == pytest.approx(even, rel=1e-6, abs=1e-12)
+        assert secret_scan.natural_p(stat, x, alphabet, written, True) == pytest.approx(min(1.0, 2 * min(even, rare)), rel=1e-6, abs=1e-12)
+
+
+def test_the_step_up_against_a_plain_one():
+    rng = random.Random(8)
+    for _ in range(300):
+        judged = [(rng.choice([1.0, rng.random(), rng.random() ** 8, 1e-9]), rng.randrange(12, 80)) for _ in range(rng.randrange(9))]
+        mean = sum(n for _, n in judged) / max(1, len(judged))
+        # the largest number of discoveries such that each of them stays under its share of the rate
+        wanted: set[int] = set()
+        for r in range(1, len(judged) + 1):
+            under = {k for k, (p, n) in enumerate(judged) if p * mean / n <= secret_scan.FALSE_DISCOVERY_RATE * r / len(judged)}
+            if len(under) >= r:
+                wanted = under
+        assert set(secret_scan.step_up(judged)) == wanted
+
+
+def test_floors_are_parameters(spark):
+    rng = random.Random(9)
+    text = "The committee met on Tuesday to discuss the new plan for the harbour and the roads around it. " * 5
+    tokens = ["".join(rng.choice(BASE62) for _ in range(18)) for _ in range(60)]
+    rate = lambda **floors: sum(bool(secret_scan.random_spans(f"{text} {t} {text}", **floors)) for t in tokens)
+    assert rate(shortest=40, mixed=40) == 0 < rate() <= rate(shortest=10, mixed=10)
+    docs = spark.createDataFrame([(k, f"{text} {t} {text}") for k, t in enumerate(tokens)], "doc_id int, text string")
+    spans = secret_scan.find_secrets(docs, shortest=10, mixed=10).selectExpr("sum(size(spans))").first()[0]
+    assert spans >= rate(shortest=10, mixed=10)
+    assert secret_scan.redact_secrets(docs, shortest=40, mixed=40).where("text LIKE '%<random>%'").count() == 0
