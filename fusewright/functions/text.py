@@ -17,9 +17,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: White space (Unicode's) at either end.
+EDGES = r"(?U)^\s+|(?<!\s)\s++$"
+
+
 def strip_ws(c: Column) -> Column:
     """Without white space (Unicode's) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s++$", "")
+    return F.regexp_replace(c, EDGES, "")
 
 
 def truthy(c: Column) -> Column:
