@@ -18,7 +18,7 @@ the one with its smallest id.
 Products are evaluated in two steps, so that a large group of near copies does not turn into all its pairs: first each row of a
 column with the column's first row; the verified links give components; then only pairs of rows of different components that
 the bounds let through. A column that all belongs to one component is left out of the second step; of the others, long ones are cut into
-blocks of rows, and each pair of blocks is a task of its own, so no column has to fit one task. For either step, the overlap is first
+bands by size and these into blocks of rows, and each pair of blocks of one band or of neighbours is a task of its own, so no column has to fit one task. For either step, the overlap is first
 accumulated over the heads, and with what the rest of the rows can add at most it drops the pairs that cannot reach the similarity;
 verified means that it is then counted over the two whole sets.
 
@@ -245,15 +245,17 @@ def _apart(num: int, den: int):
 
     def run(batches):
         found, held = [], 0
-        for _, _, _, pos, n, rid, comp in _runs(batches, ["h", "i", "j", "pos", "n", "rid", "comp"], 3):
+        for _, low, high, i, j, side, pos, n, rid, comp in _runs(batches, ["h", "low", "high", "i", "j", "side", "pos", "n", "rid", "comp"], 5):
             if (comp == comp[0]).all():
                 continue
             order = np.argsort(n, kind="stable")
-            pos, n, rid, comp = pos[order].astype(np.int64), n[order].astype(np.int64), rid[order], comp[order]
+            pos, n, rid, comp, side = pos[order].astype(np.int64), n[order].astype(np.int64), rid[order], comp[order], side[order]
+            if low[0] == high[0] and i[0] == j[0]:
+                side = np.arange(len(side))  # one block with itself: any two rows; else one row of either side
             ends = np.searchsorted(n, n * den // num, side="right")
             for a in range(len(n) - 1):
                 b = slice(a + 1, ends[a])
-                other = rid[b][(comp[b] != comp[a]) & _reaches(n[a], pos[a], n[b], pos[b], num, den)]
+                other = rid[b][(comp[b] != comp[a]) & (side[b] != side[a]) & _reaches(n[a], pos[a], n[b], pos[b], num, den)]
                 if len(other):
                     found.append(np.stack([np.minimum(other, rid[a]), np.maximum(other, rid[a])], axis=1))
                     held += len(other)
@@ -266,6 +268,12 @@ def _apart(num: int, den: int):
     return run
 
 
+def _lists(rows):
+    """(sizes, where each row's entries begin, their columns in order, their positions) of structs of n, h and pos."""
+    n, h, pos = (rows.field(c) for c in ("n", "h", "pos"))
+    return np.asarray(n).tolist(), np.asarray(h.offsets).tolist(), np.asarray(h.values), np.asarray(pos.values)
+
+
 def _hopeful(num: int, den: int):
     """Pairs that can still reach the similarity once the overlap of their heads is known.
 
@@ -279,17 +287,15 @@ def _hopeful(num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("ex").to_pylist(), batch.column("ey").to_pylist(), strict=True):
-                n, m = a["n"], b["n"]
-                places = dict(zip(b["h"], b["pos"], strict=True))
-                both, p, q = 0, -1, -1
-                for h, pos in zip(a["h"], a["pos"], strict=True):
-                    if (other := places.get(h)) is not None:
-                        both += 1
-                        p, q = max(p, pos), max(q, other)
-                most = both + min(min(n - p - 1, m - q - 1), max(beyond(n), beyond(m)))
-                keep.append(most >= -(-(num * (n + m)) // (num + den)))
+            sides = [_lists(batch.column(c)) for c in ("ex", "ey")]
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for k in range(batch.num_rows):
+                (n, h, p), (m, g, q) = ((size[k], names[at[k] : at[k + 1]], places[at[k] : at[k + 1]]) for size, at, names, places in sides)
+                where = np.searchsorted(g, h)
+                same = np.flatnonzero(g[np.minimum(where, len(g) - 1)] == h) if len(g) else where[:0]
+                last_p, last_q = (p[same].max(), q[where[same]].max()) if len(same) else (-1, -1)
+                most = len(same) + min(min(n - last_p - 1, m - last_q - 1), max(beyond(n), beyond(m)))
+                keep[k] = most >= -(-(num * (n + m)) // (num + den))
             where = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column("x").take(where), batch.column("y").take(where)], schema=schema)
 
@@ -374,7 +380,7 @@ class _Matrix:
         discard(centre)
         self.columns = shared.where("not frequent").drop("frequent").union(often)
         self.staged = [self.each, self.rows, shared, often]
-        owned = self.columns.groupBy("rid", "n").agg(F.collect_list(F.struct("h", "pos")).alias("e"))
+        owned = self.columns.groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("h", "pos"))).alias("e"))
         self.owned = cut(owned.select("rid", F.struct(F.col("n").cast("long").alias("n"), F.col("e.h").alias("h"), F.col("e.pos").alias("pos")).alias("e")))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -419,12 +425,27 @@ class _Matrix:
         else:
             rest = entries.join(known.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "pos", "n", F.coalesce("component", "rid").alias("comp"))
         rest = cut(rest)
-        mixed = rest.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / self.block_rows).cast("int").alias("k")).where("low <> high")
-        mixed = cut(mixed.select("h", "k"))
-        own = F.pmod(F.xxhash64("rid"), F.col("k").cast("long")).cast("int")
-        blocks = rest.join(mixed, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        blocks = blocks.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "pos", "n", "rid", "comp")
-        blocks = blocks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "rid")
+        # of a long column, rows go into bands by size, so wide that a pair that reaches the similarity is in one band or in two neighbours
+        width = np.log(self.den / self.num) * (1 + 1e-6)
+        counts = rest.groupBy("h", F.floor(F.log("n") / width).cast("int").alias("band")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
+        blocks_of = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / self.block_rows).cast("int").alias("k"))))
+        mixed = counts.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c"), blocks_of.alias("of")).where("low <> high")
+        mixed = cut(mixed.select("h", F.when(F.col("c") > self.block_rows, F.col("of")).alias("of")))
+        met = rest.join(mixed, "h").withColumn("band", F.when(F.col("of").isNotNull(), F.floor(F.log("n") / width).cast("int")).otherwise(0))
+        k = lambda band: F.coalesce(F.try_element_at("of", band), F.when(F.col("of").isNull() & (band == 0), 1).otherwise(0))
+        met = met.withColumns({"k": k(F.col("band")), "k_next": k(F.col("band") + 1), "k_before": k(F.col("band") - 1)})
+        met = met.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("k").cast("long")).cast("int"))
+        band, own = F.col("band"), F.col("own")
+        block = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
+        each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f))
+        within = each(F.col("k"), lambda o: block(band, band, F.least(own, o), F.greatest(own, o), own))
+        above = each(F.col("k_next"), lambda o: block(band, band + 1, own, o, band))
+        below = each(F.col("k_before"), lambda o: block(band - 1, band, o, own, band))
+        none = F.array().cast("array<struct<low:int,high:int,i:int,j:int,side:int>>")
+        blocks = met.select("h", F.explode(F.concat(within, *[F.coalesce(x, none) for x in (above, below)])).alias("b"), "pos", "n", "rid", "comp")
+        blocks = blocks.select("h", "b.low", "b.high", "b.i", "b.j", "b.side", "pos", "n", "rid", "comp")
+        key = ["h", "low", "high", "i", "j"]
+        blocks = blocks.repartition(*key).sortWithinPartitions(*key, "n", "rid")
         pairs = cut(blocks.mapInArrow(_apart(self.num, self.den), "x long, y long").distinct())
         discard(rest, mixed)
         return pairs

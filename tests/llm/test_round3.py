@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fusewright.llm import embedding_dedup, lexical_search, line_dedup, queries, rolling_features
+from fusewright.llm import embedding_dedup, lexical_search, line_dedup, ngram_jaccard, queries, rolling_features
 from fusewright.llm.cuckoo import Cuckoo
 
 SF = "/root/testdata/sf0.001"
@@ -314,3 +314,27 @@ def test_dense_label_by_the_operator(spark, monkeypatch):
     assert all(found[k]["n_links"] == n for k, n in small.items())
     have = {k: r["n_links"] for k, r in found.items() if k < 50_000}
     assert all(n <= links[k] for k, n in have.items()) and sum(have.values()) >= 0.95 * sum(links.values()) >= 300
+
+
+# ------------------------------------------------------------------------------------- long columns of the n-gram Jaccard join
+
+
+@pytest.mark.parametrize(("block_rows", "num", "den"), [(3, 4, 5), (7, 9, 10), (2, 1, 2)])
+def test_long_columns_by_bands_of_size(spark, block_rows, num, den):
+    """A passage in texts of many sizes: columns longer than a block, whose rows are of several bands and components."""
+    rng = random.Random(block_rows)
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = []
+    for k in range(60):
+        own = " ".join(f"w{k // 3}x{m}" for m in range(rng.choice([0, 1, 4, 9, 30, 80])))
+        texts.append(f"{own} {passage} {rng.choice(['', 'a', 'a b', 'c d e'])}")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    shingles = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (t.split() for t in texts)]
+    wanted = {(a, b) for a in range(60) for b in range(a + 1, 60) if den * len(shingles[a] & shingles[b]) >= num * len(shingles[a] | shingles[b])}
+    links, members = ngram_jaccard.similar_pairs(frame, words=3, num=num, den=den, block_rows=block_rows)
+    of = collections.defaultdict(list)
+    for r in members.collect():
+        of[r["class_id"]].append(r["doc_id"])
+    pairs = {tuple(sorted((x, y))) for r in links.collect() for x in of[r["a"]] for y in of[r["b"]]}
+    pairs |= {tuple(sorted((x, y))) for own in of.values() for x in own for y in own if x < y}
+    assert pairs == wanted and len(wanted) > 20
