@@ -1,6 +1,8 @@
 """Projection by a configuration that is only known at run time, compiled to a ``select``."""
 from __future__ import annotations
 
+import json
+
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -163,7 +165,7 @@ def project_json(frame: DataFrame, config: dict, keep: tuple[str, ...] = ("candi
     appended = {"overall_confidence", "provenance"} - {f["path"] for f in config.get("fields", [])}
     parts = []
     for c in cells:
-        quoted = f'"{c.path}":'
+        quoted = json.dumps(c.path, ensure_ascii=False) + ":"
         if c.value is None:
             text = F.lit("null")
         else:

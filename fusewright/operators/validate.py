@@ -9,7 +9,7 @@ from fusewright.functions.text import truthy
 from fusewright.operators.project import Cell, compile_config
 
 LOW = 0.5
-#: (name of the check, column, text of the error or None where its absence is no error)
+#: Fixed values, as are the texts of errors below: (name of the check, column, text of the error or None where its absence is no error)
 CHECKS = (
     ("candidate_id_present", "candidate_id", "Missing candidate_id"),
     ("name_present", "full_name", "Missing full_name"),

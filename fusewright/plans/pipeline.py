@@ -9,7 +9,7 @@ from fusewright.functions.normalize import normalize_profile
 from fusewright.operators.fuse import fuse
 from fusewright.operators.project import project, project_json
 from fusewright.operators.validate import accepted, validate, validate_projected
-from fusewright.plans.staging import staged
+from fusewright.plans.staging import release, staged
 from fusewright.settings import Settings
 from fusewright.sources.ats import parse_ats
 from fusewright.sources.github import discovered_urls, parse_github
@@ -47,9 +47,13 @@ class Outcome:
     projected: DataFrame
     projected_json: DataFrame
 
+    def close(self) -> None:
+        """Deletes what was staged; the frames cannot be read after that. Otherwise it goes when the application ends."""
+        release(self.profiles, self.fused)
 
-def source_profiles(inputs: Inputs, settings: Settings | None = None) -> DataFrame:
-    """The normalised profiles of all sources."""
+
+def source_profiles(inputs: Inputs, settings: Settings | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """The normalised profiles of all sources. Frames that are staged for them are added to ``held``."""
     settings = settings or Settings()
     found = []
     if inputs.ats is not None:
@@ -58,6 +62,8 @@ def source_profiles(inputs: Inputs, settings: Settings | None = None) -> DataFra
     resumes = staged(parse_resumes(inputs.resumes, settings=settings)) if inputs.resumes is not None else None
     if resumes is not None:
         found.append(resumes)
+        if held is not None:
+            held.append(resumes)
     if inputs.csv is not None:
         found.append(parse_csv(inputs.csv, "candidate_key" if "candidate_key" in inputs.csv.columns else None, settings))
     if inputs.notes is not None:
@@ -78,10 +84,12 @@ def source_profiles(inputs: Inputs, settings: Settings | None = None) -> DataFra
 def run(inputs: Inputs, config: dict, settings: Settings | None = None) -> Outcome:
     """All of it. With on_missing "error", records whose projection has errors are not projected.
 
-    Sources are parsed once and records fused once: both are staged, since fusion reads the profiles once per kind of field, and
-    validation and projection both read the records.
+    Sources are parsed once and records fused once: both are staged, since validation and projection both read the records, and what
+    could not be parsed is told from the profiles.
     """
-    profiles = staged(source_profiles(inputs, settings))
+    held: list[DataFrame] = []
+    profiles = staged(source_profiles(inputs, settings, held))
+    release(*held)
     fused = staged(fuse(profiles.where("error is null"), settings))
     validated = validate_projected(validate(fused), config)
     good = accepted(validated, config).drop("validation", "projection_errors")

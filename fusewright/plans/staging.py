@@ -31,4 +31,14 @@ def staged(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = new_folder(spark)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``staged`` returned and that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(frame._staged_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-#: Used when neither a given nor a default configuration is there.
+#: Fixed values, used when neither a given nor a default configuration is there.
 BUILT_IN_CONFIG = {"fields": [{"path": "full_name"}, {"path": "emails"}, {"path": "skills"}], "on_missing": "null"}
 
 

@@ -1,5 +1,6 @@
 """Fusion, projection, validation, store, command line and stream."""
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,21 @@ def test_whole_pipeline(spark):
     assert json.loads(only(got.projected_json)["projected"])["primary_email"] == "ines@corvid.example"
 
 
+def test_staged_tables_go(spark):
+    got = run(sample_inputs(spark), CONFIG)
+    assert got.fused.count() == 1
+    at = [f._staged_at.removeprefix("file:") for f in (got.profiles, got.fused)]
+    assert all(os.path.isdir(x) for x in at)
+    got.close()
+    assert not any(os.path.exists(x) for x in at)
+
+
+def test_paths_of_any_characters(spark):
+    row = fuse(frame(spark, profile("a", 0, full_name='Q "x" \\ é')))
+    fields = [{"path": 'the "name"\\é', "from": "full_name"}, {"path": 'a"b', "from": "headline"}]
+    assert json.loads(only(project_json(row, {"fields": fields}))["projected"]) == {'the "name"\\é': 'Q "x" \\ é', 'a"b': None}
+
+
 def test_store(spark, tmp_path):
     got = run(sample_inputs(spark), CONFIG)
     confidence = only(got.fused)["overall_confidence"]
