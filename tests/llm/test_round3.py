@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fusewright.llm import embedding_dedup, lexical_search, line_dedup, ngram_jaccard, queries, rolling_features
+from fusewright.llm import chat_format, decontamination, embedding_dedup, lexical_search, line_dedup, ngram_jaccard, queries, rolling_features, url_filter
 from fusewright.llm.cuckoo import Cuckoo
 
 SF = "/root/testdata/sf0.001"
@@ -338,3 +338,36 @@ def test_long_columns_by_bands_of_size(spark, block_rows, num, den):
     pairs = {tuple(sorted((x, y))) for r in links.collect() for x in of[r["a"]] for y in of[r["b"]]}
     pairs |= {tuple(sorted((x, y))) for own in of.values() for x in own for y in own if x < y}
     assert pairs == wanted and len(wanted) > 20
+
+
+# ----------------------------------------------------------------------------------------- cases of earlier operators
+
+
+def test_urls_with_clashing_columns(spark):
+    rows = [(1, "http://example.com/en/1", "h", "p", "r", "v", 1.0), (2, None, "h", "p", "r", "v", 1.0), (3, "no scheme", "h", "p", "r", "v", 1.0), (3, "no scheme", "h", "p", "r", "v", 1.0), (4, "ftp://A.Example.NET/de/8?q", "h", "p", "r", "v", 1.0)]
+    names = ("host", "path", "rule", "verdict", "score")
+    plain = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    odd = spark.createDataFrame(rows, "page_id long, url string, " + ", ".join(f"{c} {'double' if c == 'score' else 'string'}" for c in names))
+    key = lambda f: sorted(map(repr, f.select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert key(url_filter.filter_urls(odd)) == key(url_filter.filter_urls(plain)) and len(key(url_filter.filter_urls(odd))) == 5
+
+
+def test_a_very_long_conversation(spark):
+    """Snapshots of one of 20,000 turns: a prefix of it goes, what differs in its last turn stays."""
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), "id").alias("text"))
+    prefix = turns.where("turn < 15000").withColumn("conv_id", F.lit(2))
+    other = turns.where("turn < 15000").withColumns({"conv_id": F.lit(3), "text": F.when(F.col("turn") == 14_999, "else").otherwise(F.col("text"))})
+    rows = turns.unionByName(prefix).unionByName(other).withColumns({"pos": F.lit("x"), "h1": F.lit(1), "n_turns": F.lit(None).cast("int"), "chat": F.lit("y")}).repartition(5)
+    found = {r["conv_id"]: (r["n_turns"], r["n_copies"], len(r["chat"])) for r in chat_format.collapse(rows).collect()}
+    size = sum(len(f"<|im_start|>{'user' if k % 2 == 0 else 'assistant'}\nsaid {k}<|im_end|>\n") for k in range(n))
+    assert set(found) == {1, 3} and found[1] == (n, 1, size) and found[3][:2] == (15_000, 1)
+
+
+@needs_tables
+def test_decontamination_in_parts_of_whole_tables(spark):
+    """The same from parts of 300 windows as from one broadcast, over all documents."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    digest = lambda most: sorted((r["doc_id"], r["hits"]["n_words"], str(r["hits"]["spans"]), str(r["hits"]["items"])) for r in decontamination.find_hits(docs, bench, max_broadcast_windows=most).select("doc_id", "hits").collect())
+    whole = digest(500_000)
+    assert digest(300) == whole and any(x[2] != "[]" for x in whole)
