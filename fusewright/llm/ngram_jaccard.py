@@ -245,12 +245,12 @@ def _apart(num: int, den: int):
 
     def run(batches):
         found, held = [], 0
-        for _, low, high, i, j, side, pos, n, rid, comp in _runs(batches, ["h", "low", "high", "i", "j", "side", "pos", "n", "rid", "comp"], 5):
+        for _, pair, side, pos, n, rid, comp in _runs(batches, ["h", "pair", "side", "pos", "n", "rid", "comp"], 2):
             if (comp == comp[0]).all():
                 continue
             order = np.argsort(n, kind="stable")
             pos, n, rid, comp, side = pos[order].astype(np.int64), n[order].astype(np.int64), rid[order], comp[order], side[order]
-            if low[0] == high[0] and i[0] == j[0]:
+            if not pair[0] >> 40 & 1 and pair[0] >> 20 & 0xFFFFF == pair[0] & 0xFFFFF:
                 side = np.arange(len(side))  # one block with itself: any two rows; else one row of either side
             ends = np.searchsorted(n, n * den // num, side="right")
             for a in range(len(n) - 1):
@@ -425,27 +425,32 @@ class _Matrix:
         else:
             rest = entries.join(known.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "pos", "n", F.coalesce("component", "rid").alias("comp"))
         rest = cut(rest)
-        # of a long column, rows go into bands by size, so wide that a pair that reaches the similarity is in one band or in two neighbours
+        # rows of a long column may go into bands by size, so wide that a pair that reaches the similarity is in one band or in two
+        # neighbours; a column whose rows are much of one size would have more copies of its rows that way, and stays one band
         width = np.log(self.den / self.num) * (1 + 1e-6)
-        counts = rest.groupBy("h", F.floor(F.log("n") / width).cast("int").alias("band")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
+        banded = F.floor(F.log("n") / width).cast("int")
+        counts = rest.groupBy("h", banded.alias("band")).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"))
         blocks_of = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / self.block_rows).cast("int").alias("k"))))
-        mixed = counts.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c"), blocks_of.alias("of")).where("low <> high")
-        mixed = cut(mixed.select("h", F.when(F.col("c") > self.block_rows, F.col("of")).alias("of")))
-        met = rest.join(mixed, "h").withColumn("band", F.when(F.col("of").isNotNull(), F.floor(F.log("n") / width).cast("int")).otherwise(0))
-        k = lambda band: F.coalesce(F.try_element_at("of", band), F.when(F.col("of").isNull() & (band == 0), 1).otherwise(0))
-        met = met.withColumns({"k": k(F.col("band")), "k_next": k(F.col("band") + 1), "k_before": k(F.col("band") - 1)})
-        met = met.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("k").cast("long")).cast("int"))
-        band, own = F.col("band"), F.col("own")
-        block = lambda low, high, i, j, side: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), side.alias("side"))
-        each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f))
-        within = each(F.col("k"), lambda o: block(band, band, F.least(own, o), F.greatest(own, o), own))
-        above = each(F.col("k_next"), lambda o: block(band, band + 1, own, o, band))
-        below = each(F.col("k_before"), lambda o: block(band - 1, band, o, own, band))
-        none = F.array().cast("array<struct<low:int,high:int,i:int,j:int,side:int>>")
+        mixed = counts.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("c"), F.collect_list(F.struct("band", "c")).alias("bands"), blocks_of.alias("of")).where("low <> high")
+        at = lambda band: F.coalesce(F.try_element_at("of", band), F.lit(0))
+        copies = F.aggregate("bands", F.lit(0).cast("long"), lambda t, x: t + x["c"] * (at(x["band"]) + at(x["band"] + 1) + at(x["band"] - 1)))
+        plain = F.ceil(F.col("c") / self.block_rows).cast("int")
+        worth = copies < F.col("c") * plain
+        mixed = cut(mixed.select("h", worth.alias("banded"), F.when(worth, F.col("of")).otherwise(F.create_map(F.lit(0), plain)).alias("of")))
+        met = rest.join(mixed, "h").withColumn("band", F.when(F.col("banded"), banded).otherwise(0))
+        met = met.withColumns({"k": at(F.col("band")), "k_next": at(F.col("band") + 1), "k_before": at(F.col("band") - 1)})
+        band, own = F.col("band").cast("long"), F.pmod(F.xxhash64("rid"), F.col("k").cast("long"))
+        # a pair of blocks by one number: the lower band, whether the other is above it, and the blocks in them
+        block = lambda low, above, i, j, side: F.struct((F.shiftleft(low, 41) + F.shiftleft(above, 40) + F.shiftleft(i, 20) + j).alias("pair"), side.cast("int").alias("side"))
+        each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), f))
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        within = each(F.col("k"), lambda o: block(band, zero, F.least(own, o), F.greatest(own, o), own))
+        above = each(F.col("k_next"), lambda o: block(band, one, own, o, band))
+        below = each(F.col("k_before"), lambda o: block(band - 1, one, o, own, band))
+        none = F.array().cast("array<struct<pair:bigint,side:int>>")
         blocks = met.select("h", F.explode(F.concat(within, *[F.coalesce(x, none) for x in (above, below)])).alias("b"), "pos", "n", "rid", "comp")
-        blocks = blocks.select("h", "b.low", "b.high", "b.i", "b.j", "b.side", "pos", "n", "rid", "comp")
-        key = ["h", "low", "high", "i", "j"]
-        blocks = blocks.repartition(*key).sortWithinPartitions(*key, "n", "rid")
+        blocks = blocks.select("h", "b.pair", "b.side", "pos", "n", "rid", "comp")
+        blocks = blocks.repartition("h", "pair").sortWithinPartitions("h", "pair", "n", "rid")
         pairs = cut(blocks.mapInArrow(_apart(self.num, self.den), "x long, y long").distinct())
         discard(rest, mixed)
         return pairs
