@@ -114,6 +114,11 @@ def mean_of(*terms: Column) -> Column:
     return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda s, t: s + t) / F.size(there))
 
 
+def hundredths(mean: Column) -> Column:
+    """To two places, as databases round doubles: the product by 100 to a whole number. Rounding by decimal digits takes 0.575, whose product lies below 57.5, the other way."""
+    return F.round(mean * 100) / 100
+
+
 def candidate_id(email: Column, name: Column) -> Column:
     return F.coalesce(F.md5(F.lower(strip_ws(F.coalesce(truthy(email), truthy(name))))), F.lit("unknown"))
 
@@ -150,7 +155,7 @@ def records(rows: DataFrame) -> DataFrame:
         "experience": listed("experience"),
         "education": listed("education"),
         "provenance": F.filter(F.array(*trail), lambda p: p.isNotNull()),
-        "overall_confidence": F.coalesce(F.round(overall, 2), F.lit(0.0)),
+        "overall_confidence": F.coalesce(hundredths(overall), F.lit(0.0)),
     }
     scored = joined.withColumn("l", F.col("l_skill")).withColumn("skill_mean", _skill_mean())
     return scored.select("candidate_key", *[cells[k].cast(kind).alias(k) for k, kind in CANONICAL_FIELDS.items()], "sources_attempted", "sources_used")
