@@ -44,8 +44,8 @@ def word_count(c: Column) -> Column:
 
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
-    """The first match's group; null without a match."""
-    return F.when(F.regexp_like(c, F.lit(pattern)), F.regexp_extract(c, pattern, group))
+    """The first match's group, which holds a character at least; null without a match."""
+    return let(F.regexp_extract(c, pattern, group), lambda found: F.when(found != "", found))
 
 
 def title_case(c: Column) -> Column:
@@ -134,7 +134,7 @@ def extract_location(text: Column) -> Column:
     lines = F.slice(F.split(text, "\n"), 1, 5)
     parts = F.flatten(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("|")), F.transform(F.split(x, r"\|"), strip_ws)).otherwise(F.array(strip_ws(x)))))
     at = lambda c, pattern, k: strip_ws(F.regexp_extract(c, pattern, k))
-    far = F.when(text.rlike(PLACE_ANYWHERE), place(at(text, PLACE_ANYWHERE, 1), at(text, PLACE_ANYWHERE, 2)))
+    far = let(first_match(text, PLACE_ANYWHERE, 1), lambda city: F.when(city.isNotNull(), place(strip_ws(city), at(text, PLACE_ANYWHERE, 2))))
     return let(F.get(F.filter(parts, lambda p: p.rlike(PLACE)), 0), lambda near: F.when(near.isNotNull(), place(at(near, PLACE, 1), at(near, PLACE, 2))).otherwise(far))
 
 

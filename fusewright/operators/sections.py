@@ -45,13 +45,18 @@ BARE_NUMBER = r"\s*\b\d+(?:\.\d+)?%?\b"
 
 def header_of(line: Column, headers=HEADERS) -> Column:
     """The header that a line is, else null."""
-    upper = F.upper(line)
-    shouted = (F.length(line) < 30) & (upper == line) & (F.lower(line) != line)
-    found = None
-    for h in headers:
-        is_h = (upper == h) | upper.startswith(h + " ") | upper.endswith(" " + h) | (shouted & F.contains(upper, F.lit(h)))
-        found = F.when(is_h, F.lit(h)) if found is None else found.when(is_h, F.lit(h))
-    return found
+    shouted = (F.length(line) < 30) & (F.upper(line) == line) & (F.lower(line) != line)
+
+    def of(upper: Column, shouted: Column) -> Column:
+        found = None
+        for h in headers:
+            is_h = (upper == h) | upper.startswith(h + " ") | upper.endswith(" " + h) | (shouted & F.contains(upper, F.lit(h)))
+            found = F.when(is_h, F.lit(h)) if found is None else found.when(is_h, F.lit(h))
+        # most lines hold none of them anywhere
+        return F.when(X.any_of(*[F.contains(upper, F.lit(h)) for h in roots]), found)
+
+    roots = [h for h in headers if not any(other != h and other in h for other in headers)]
+    return X.let(F.struct(F.upper(line).alias("upper"), shouted.alias("shouted")), lambda v: of(v["upper"], v["shouted"]))
 
 
 def cut_at(lines: Column, label) -> Column:
@@ -115,8 +120,8 @@ def is_bullet(line: Column) -> Column:
 
 
 def opens_job(line: Column) -> Column:
-    titled = X.any_of(*[F.contains(F.lower(line), F.lit(w)) for w in JOB_WORDS]) & (X.word_count(line) < 8) & ~is_bullet(line)
-    return F.contains(line, F.lit("|")) | (date_span(line).isNotNull() & ~is_bullet(line)) | titled
+    named = X.let(F.lower(line), lambda low: X.any_of(*[F.contains(low, F.lit(w)) for w in JOB_WORDS]))
+    return F.contains(line, F.lit("|")) | (~is_bullet(line) & ((named & (X.word_count(line) < 8)) | date_span(line).isNotNull()))
 
 
 def _span_dates(span: Column) -> Column:
@@ -177,7 +182,7 @@ def parse_experience(lines: Column) -> Column:
 
 
 def is_degree(line: Column) -> Column:
-    return X.any_of(*[F.contains(F.lower(line), F.lit(w)) for w in DEGREE_WORDS])
+    return X.let(F.lower(line), lambda low: X.any_of(*[F.contains(low, F.lit(w)) for w in DEGREE_WORDS]))
 
 
 def lookahead(lines: Column, flag) -> Column:

@@ -36,6 +36,12 @@ def staged(frame: DataFrame) -> DataFrame:
     return out
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to all cores. Parsing a text costs far more than reading it, and a file of some MB is one task's, however many its rows."""
+    spark = frame.sparkSession
+    return frame.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the tables of frames that ``staged`` returned and that nothing reads any more."""
     for frame in frames:

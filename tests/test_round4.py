@@ -1,12 +1,14 @@
-"""Means of confidences at the half of a hundredth."""
+"""Means at the half of a hundredth, rows of one split parsed by many tasks."""
 import itertools
 import math
 import operator
 from functools import reduce
 
+from pyspark.sql import functions as F
 from test_fusion import frame, profile
 
 from fusewright.operators.fuse import fuse
+from fusewright.sources.resume import parse_resumes
 
 
 def test_means_at_a_half_are_rounded_by_their_product(spark):
@@ -18,3 +20,11 @@ def test_means_at_a_half_are_rounded_by_their_product(spark):
         wanted[f"k{n}"] = math.floor(mean * 100 + 0.5) / 100
     found = {r["candidate_key"]: r["overall_confidence"] for r in fuse(frame(spark, *rows)).collect()}
     assert found == wanted
+
+
+def test_rows_of_one_split_are_parsed_by_many_tasks(spark):
+    one = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("candidate_key"), F.lit('{"name": "Ada"}').alias("raw"), F.lit("Name: Ada").alias("text"), F.lit("txt").alias("ext"))
+    assert one.rdd.getNumPartitions() == 1
+    for found in (parse_resumes(one),):
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 and len(sizes) >= 4 and max(sizes) <= 100
