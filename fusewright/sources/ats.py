@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.functions.text import EDGES
+from fusewright.plans.staging import spread
 from fusewright.settings import Settings
 from fusewright.sources.profile import profiles, skill_claims, tagged
 
@@ -158,9 +159,11 @@ def _number(v: str) -> str:
 def parse_ats(frame: DataFrame, raw: str = "raw", key: str = "candidate_key", settings: Settings | None = None, lenient: bool = False) -> DataFrame:
     """Profiles of JSON texts in the column ``raw``; ``lenient`` also takes comments and trailing commas."""
     settings = settings or Settings()
-    text = clean_json(F.col(raw)) if lenient else F.col(raw)
+    # rows are spread before they are parsed
+    frame = spread(frame.select(F.col(key).alias("key"), F.col(raw).alias("raw")))
+    text = clean_json(F.col("raw")) if lenient else F.col("raw")
     # each step is a projection of its own, so that nothing is parsed or looked up twice
-    parsed = frame.select(F.col(key).alias("key"), F.try_parse_json(text).alias("json")).selectExpr("key", f"{_map('json')} AS root").selectExpr("key", "root", f"{_flat('root')} AS m")
+    parsed = frame.select("key", F.try_parse_json(text).alias("json")).selectExpr("key", f"{_map('json')} AS root").selectExpr("key", "root", f"{_flat('root')} AS m")
     found = parsed.selectExpr("key", "root", f"{_scalars('m')} AS texts", *[f"{_by_presence('m', f)} AS at_{f}" for f in ALIASES])
     split = f"filter(transform(split({_text('at_skills')}, ','), part -> {_strip('part')}), part -> part <> '')"
     values = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_fusion import frame, profile
 
 from fusewright.operators.fuse import fuse
+from fusewright.sources.ats import parse_ats
 from fusewright.sources.notes import parse_notes
 from fusewright.sources.resume import parse_resumes
 
@@ -26,6 +27,6 @@ def test_means_at_a_half_are_rounded_by_their_product(spark):
 def test_rows_of_one_split_are_parsed_by_many_tasks(spark):
     one = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("candidate_key"), F.lit('{"name": "Ada"}').alias("raw"), F.lit("Name: Ada").alias("text"), F.lit("txt").alias("ext"))
     assert one.rdd.getNumPartitions() == 1
-    for found in (parse_notes(one), parse_resumes(one)):
+    for found in (parse_ats(one), parse_notes(one), parse_resumes(one)):
         sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 400 and len(sizes) >= 4 and max(sizes) <= 100
