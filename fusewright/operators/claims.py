@@ -102,7 +102,7 @@ def claims(profiles: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
     return rows.select("candidate_key", *[F.col(f"c.{k}").alias(k) for k in (*NAMES[1:], *CELLS)])
 
 
-def combine(rows: DataFrame) -> DataFrame:
+def combine(rows: DataFrame, names: Iterable[str] = NAMES) -> DataFrame:
     """One row for each name of ``claims``, or of claims that were combined before; rows are merged before the one exchange."""
     merged = {"n": F.sum, "used": F.sum, "top": F.max, "first": F.min} | dict.fromkeys(("long1", "long2", "long3", "best"), F.max)
-    return rows.groupBy(*NAMES).agg(*[merged[k](k).alias(k) for k in CELLS])
+    return rows.groupBy(*names).agg(*[merged[k](k).alias(k) for k in CELLS])

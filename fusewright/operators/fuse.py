@@ -56,8 +56,14 @@ def _sorted(kind: str) -> Column:
 _LISTED = {"skill": SKILLS, "experience": EXPERIENCE, "education": EDUCATION, "other": "array<string>"}
 
 
+def _facts(profiles: DataFrame, kind: str, settings: Settings) -> DataFrame:
+    """Rows of one kind for a list. But for skills, whose sources are still to meet, combined claims have one row of their name and move once."""
+    rows = claims(profiles, (kind,))
+    return together(combine(rows), settings) if kind == "skill" else combine(rows, ("candidate_key", "a", "b", "alone")).withColumn("kind", F.lit(kind))
+
+
 def _listed(profiles: DataFrame, kind: str, name: str, settings: Settings, *more: Column) -> DataFrame:
-    rows = together(combine(claims(profiles, (kind,))), settings)
+    rows = _facts(profiles, kind, settings)
     return rows.groupBy("candidate_key").agg(_sorted(kind).alias("l")).select("candidate_key", F.transform("l", lambda x: x["e"]).cast(_LISTED[kind]).alias(name), *more)
 
 
@@ -96,7 +102,7 @@ def entries(profiles: DataFrame, kind: str, settings: Settings | None = None) ->
     """
     if kind not in LISTS:
         raise ValueError(f"kind must be one of {LISTS}")
-    rows = together(combine(claims(profiles, (kind,))), settings or Settings())
+    rows = _facts(profiles, kind, settings or Settings())
     c = -F.col("skill.confidence") if kind == "skill" else F.lit(0.0)
     order = ["candidate_key", "c", "place", "a"]
     flat = rows.select("candidate_key", c.alias("c"), F.col("first").alias("place"), "a", _entry(kind).alias("entry"))

@@ -1,4 +1,4 @@
-"""Means at the half of a hundredth, rows of one split parsed by many tasks."""
+"""Means at the half of a hundredth, rows of one split parsed by many tasks, lists whose facts move once."""
 import itertools
 import math
 import operator
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from test_fusion import frame, profile
 
-from fusewright.operators.fuse import fuse
+from fusewright.operators.fuse import fuse, fuse_education
 from fusewright.sources.ats import parse_ats
 from fusewright.sources.notes import parse_notes
 from fusewright.sources.resume import parse_resumes
@@ -30,3 +30,10 @@ def test_rows_of_one_split_are_parsed_by_many_tasks(spark):
     for found in (parse_ats(one), parse_notes(one), parse_resumes(one)):
         sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 400 and len(sizes) >= 4 and max(sizes) <= 100
+
+
+def test_facts_of_a_list_move_once_before_their_candidate(spark):
+    rows = [profile("s", n, key=str(n % 3), education=[("MIT", "BSc", "Glass", 1999 + n)]) for n in range(9)]
+    found = fuse_education(frame(spark, *rows))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {r["candidate_key"]: r["education"][0]["end_year"] for r in found.collect()} == {"0": 2005, "1": 2006, "2": 2007}
