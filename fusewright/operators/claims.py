@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fusewright.functions.text import strip_ws, truthy
+from fusewright.functions.text import let, strip_ws, truthy
 from fusewright.schema import LOCATION
 from fusewright.sources.profile import has_any_field
 
@@ -66,13 +66,16 @@ def _longest(value: Column, order: Column, pos: Column) -> Column:
     return F.when(given.isNotNull(), F.struct(F.length(given).alias("n"), (-order).alias("o"), (-pos).alias("p"), given.alias("v")))
 
 
-def _entry_names(entry: Column, names: tuple[str, str], order: Column, pos: Column, hashed: Column) -> dict[str, Column]:
-    """The key by which duplicates meet; an entry without both of its parts is alone."""
-    a, b = (F.lower(strip_ws(truthy(entry[k]))) for k in names)
-    both = a.isNotNull() & b.isNotNull()
-    alone = F.concat_ws(":", order.cast("string"), pos.cast("string"), hashed.cast("string"))
-    first = F.struct(order.alias("ord"), pos.alias("pos"), hashed.alias("h"), F.lit(None).cast("double").alias("c"), entry[names[0]].alias("x"), entry[names[1]].alias("y"))
-    return {"a": F.when(both, a), "b": F.when(both, b), "alone": F.when(~both, alone), "first": first}
+def _entry_claim(kind: str, entry: Column, names: tuple[str, str], order: Column, pos: Column, hashed: Column, **cells: Column) -> Column:
+    """A claim with the key by which duplicates meet, worked out once; an entry without both of its parts is alone."""
+
+    def of(key: Column) -> Column:
+        both = key["a"].isNotNull() & key["b"].isNotNull()
+        alone = F.concat_ws(":", order.cast("string"), pos.cast("string"), hashed.cast("string"))
+        first = F.struct(order.alias("ord"), pos.alias("pos"), hashed.alias("h"), F.lit(None).cast("double").alias("c"), entry[names[0]].alias("x"), entry[names[1]].alias("y"))
+        return _claim(kind, F.when(both, key["a"]), F.when(both, key["b"]), F.when(~both, alone), first=first, **cells)
+
+    return let(F.struct(*[F.lower(strip_ws(truthy(entry[name]))).alias(k) for k, name in zip("ab", names)]), of)
 
 
 def claims(profiles: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
@@ -92,8 +95,8 @@ def claims(profiles: DataFrame, kinds: Iterable[str] = KINDS) -> DataFrame:
     of["other"] = F.transform("links.value.other", lambda x, i: _claim("other", a=x, first=place(i)))
     hashed = lambda e: F.xxhash64(F.col("source"), F.to_json(e))
     long = lambda e, i, names: {f"long{k}": _longest(e[n], order, i) for k, n in enumerate(names, 1)}
-    of["experience"] = F.transform("experience", lambda e, i: _claim("experience", **_entry_names(e, ("company", "title"), order, i, hashed(e)), **long(e, i, ("start", "end", "summary"))))
-    of["education"] = F.transform("education", lambda e, i: _claim("education", **_entry_names(e, ("institution", "degree"), order, i, hashed(e)), **long(e, i, ("field",)), top=e["end_year"]))
+    of["experience"] = F.transform("experience", lambda e, i: _entry_claim("experience", e, ("company", "title"), order, i, hashed(e), **long(e, i, ("start", "end", "summary"))))
+    of["education"] = F.transform("education", lambda e, i: _entry_claim("education", e, ("institution", "degree"), order, i, hashed(e), **long(e, i, ("field",)), top=e["end_year"]))
     holds = has_any_field()
     of["profile"] = F.array(_claim("profile", n=F.lit(1), used=holds.cast("int"), top=F.col("links").isNotNull().cast("int")))
     empty = F.array().cast(f"array<struct<kind:string,a:string,b:string,alone:string,sub:string,{','.join(f'{k}:{v}' for k, v in CELLS.items())}>>")
